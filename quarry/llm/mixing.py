@@ -3,8 +3,9 @@
 Every source gets a share of the word budget in proportion to its weight. A source is clamped at ``max_epochs`` times its
 own size, and what it can't take is shared again among the others by weight, until no source is above its cap. A source
 with target ``t`` and size ``s`` takes every document ``floor(t / s)`` times, and the rest by a seeded order of documents:
-the documents before a cut in that order are taken once more. The cut is where the running size comes nearest to the
-target, so the words taken are within half a document of it, and a rerun gives the same documents.
+the documents up to a cut in that order are taken once more, the cut being the last where the running size is within the
+target, and so is the one document beyond it whose size comes nearest to what is then missing. A rerun gives the same
+documents.
 
 The order is by a hash of the id. It is found without sorting a source: sizes are summed by ``BUCKETS`` hash ranges, and
 only the range that holds the cut is ordered, so a source with a third of all rows costs no task more than its share.
@@ -48,7 +49,7 @@ def water_fill(sizes: list[float], weights: list[float], share: float, max_epoch
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """``(sized, sources)``: doc_id, source, size, h of each document; and of each source its size, target, ``whole``
-    repetitions, and the cut: documents with (h, doc_id) up to (cut_h, cut_id) are taken once more.
+    repetitions, and the cut: documents with (h, doc_id) up to (cut_h, cut_id), and the extra one, are taken once more.
 
     ``weights`` repeat over the sources in code point order, null last."""
     spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -78,15 +79,16 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         .groupBy("source", "bucket", "h", "doc_id", "before", "rest").agg(F.sum("size").alias("size"))
     )
     run = in_edge.withColumn("upto", F.col("before") + F.sum("size").over(in_range.rowsBetween(Window.unboundedPreceding, 0)))
-    off = F.struct(F.abs(F.col("upto") - F.col("rest")).alias("off"), F.col("h").alias("h"), F.col("doc_id").alias("doc_id"))
-    cut = run.groupBy("source").agg(F.min(off).alias("best"), F.first("bucket").alias("edge"), F.first("before").alias("before"), F.first("rest").alias("rest"))
-    cut = cut.select(
-        "source", "edge",
-        F.when(F.col("rest") - F.col("before") < F.col("best.off"), None).otherwise(F.col("best.h")).alias("cut_h"),
-        F.col("best.doc_id").alias("cut_id"),
-    )
-    joined = sources.alias("s").join(cut.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left")
-    return sized, store(joined.select("s.*", "c.edge", "c.cut_h", "c.cut_id"), f"{at}/sources")
+    last = F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("upto", "h", "doc_id")))
+    cut = run.groupBy("source").agg(last.alias("last"), F.first("bucket").alias("edge"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    cut = cut.select("source", "edge", F.col("last.h").alias("cut_h"), F.col("last.doc_id").alias("cut_id"), (F.col("rest") - F.coalesce("last.upto", "before")).alias("gap"))
+    cuts = store(sources.alias("s").join(cut.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left").select("s.*", "c.edge", "c.cut_h", "c.cut_id", "c.gap"), f"{at}/cuts")
+    # The one document beyond the cut whose size comes nearest to what is missing.
+    none = cuts.withColumns({"extra_h": F.lit(None).cast("long"), "extra_id": F.lit(None).cast("string")})
+    beyond = repetitions(sized.drop("bucket"), none).where((F.col("times") == F.col("whole")) & (F.col("gap") > 0) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
+    extra = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("h"), F.col("doc_id").cast("string").alias("id"))).alias("x"))
+    joined = cuts.alias("s").join(extra.alias("x"), F.col("s.source").eqNullSafe(F.col("x.source")), "left")
+    return sized, store(joined.select("s.*", F.col("x.x.h").alias("extra_h"), F.col("x.x.id").alias("extra_id")), f"{at}/sources")
 
 
 def _told(sources: DataFrame) -> DataFrame:
@@ -97,6 +99,7 @@ def repetitions(frame: DataFrame, sources: DataFrame) -> DataFrame:
     """``frame`` (with source, doc_id, h) beside its source's plan and ``times``, how often the mix takes each row."""
     bucket = F.shiftrightunsigned("h", 54).cast("int")
     more = (bucket < F.col("edge")) | ((bucket == F.col("edge")) & F.col("cut_h").isNotNull() & ((F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & F.coalesce(F.col("doc_id") <= F.col("cut_id"), F.lit(True)))))
+    more |= (F.col("h") == F.col("extra_h")) & F.col("doc_id").cast("string").eqNullSafe(F.col("extra_id"))
     own = _told(sources.withColumnRenamed("source", "own_source"))
     return frame.join(own, F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source").withColumn("times", F.col("whole") + F.coalesce(more, F.lit(False)).cast("int"))
 
@@ -106,7 +109,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     seed = how.setdefault("seed", 7)
     _, sources = plan(docs, **how)
     names = docs.columns
-    narrow = sources.select("source", "whole", "edge", "cut_h", "cut_id")
+    narrow = sources.select("source", "whole", "edge", "cut_h", "cut_id", "extra_h", "extra_id")
     kept = docs.select(*names).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     rows = repetitions(kept, narrow).where("times > 0")
     return rows.withColumn("times", F.explode(F.expr("sequence(1, times)"))).select(*names)
