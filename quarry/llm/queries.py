@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, media, mixing, rans, simhash, token_counts
+from . import decontaminate, langid, media, mixing, rans, simhash, suffix, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_rans": rans.op2_rans,
+    "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_langid": langid.op6_langid,
     "op7_mixing": mixing.op7_mixing,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_simhash": simhash.op9_simhash,
     "op10_media": media.op10_media,
 }
-SQL = {"op8_decontaminate": decontaminate.SQL}
+SQL = {"op5_suffix_dedup": suffix.SQL, "op8_decontaminate": decontaminate.SQL}
