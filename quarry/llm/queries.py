@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lm_score, media, mixing, rans, simhash, suffix, token_counts
+from . import decontaminate, langid, line_dedup, lm_score, media, mixing, rans, simhash, suffix, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_rans": rans.op2_rans,
     "op3_lm_score": lm_score.op3_lm_score,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_langid": langid.op6_langid,
     "op7_mixing": mixing.op7_mixing,
