@@ -125,6 +125,8 @@ def settle(found: DataFrame) -> DataFrame:
 
         def open_(cols: list[np.ndarray]) -> tuple[list, np.ndarray]:
             gram = cols[0]
+            if not len(gram):
+                return cols, gram
             bound = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True])))
             many = np.repeat(np.diff(bound), np.diff(bound))
             return [c[many > 1] for c in cols], many[many > 1]
