@@ -17,8 +17,10 @@ stored as the least long; a document may go over many blocks; an empty table giv
 
 from __future__ import annotations
 
+import array
 import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,7 +37,7 @@ from .common import drop, shared_dir, store, table
 END, SCALE, LOW = 2, 20, 1 << 31
 BLOCK, LANES = 1 << 17, 512
 #: Words whose ids a worker keeps.
-MEMO = 400_000
+MEMO = 350_000
 NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIIIQIIII")
 
@@ -48,34 +50,55 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_LETTERS = re.compile(rb"[a-z]+")
+_BEFORE_STOP = re.compile(rb"(?<=[a-z])(?=[.,])")
+
+
 class Encoder:
     """Token ids of whole texts by the tokenizers library. The vocabulary's model never joins text over ASCII white space,
-    so words between it are encoded once and their ids kept."""
+    nor a letter with the full stop or comma after it, so the words between are encoded once and their ids kept. It lower-cases
+    letters itself, so ASCII ones may be before, but for texts with special tokens or combining marks."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = _tokenizer(path), {}
+        self.tokenizer, self.memo, self.old = _tokenizer(path), {}, {}
 
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers, the end id last."""
-        words = (text or "").encode().split()
-        new = list(set(words).difference(self.memo))
+        raw = (text or "").encode()
+        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = _BEFORE_STOP.sub(b" ", raw.lower())
+        words = raw.split()
+        new = set(words).difference(self.memo)
         if new:
             if len(self.memo) + len(new) > MEMO:
-                self.memo = {}
-                new = list(set(words))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
+                self.old, self.memo, new = self.memo, {}, set(words)
+            others = []
+            for w in new:
+                if (ids := self.old.get(w)) is not None:
+                    self.memo[w] = ids
+                elif _LETTERS.fullmatch(w):
+                    self.memo[w] = array.array("I", [t.id for t in self.tokenizer.model.tokenize(w.decode())]).tobytes()
+                else:
+                    others.append(w)
+            for i in range(0, len(others), 4096):
+                part = others[i : i + 4096]
                 got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                self.memo.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in got), strict=True))
+                self.memo.update(zip(part, (array.array("I", e.ids).tobytes() for e in got), strict=True))
         return b"".join(map(self.memo.__getitem__, words)) + END.to_bytes(4, "little")
 
 
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, so that its words stay known from task to task."""
+    return Encoder(path)
+
+
 def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids): ids as 16- or 32-bit little-endian integers, by the vocabulary's size."""
     wide = _tokenizer(vocabulary).get_vocab_size() > 1 << 16
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode = _encoder(vocabulary)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
