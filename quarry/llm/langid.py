@@ -29,6 +29,8 @@ from .common import crc_mod, table
 DIM, N, SLOTS, SEED = 1024, 3, 512, 20240601
 #: Characters that are counted at once.
 PIECE = 4_000_000
+#: Texts that are compared at once.
+TOGETHER = 96
 
 
 @functools.cache
@@ -69,7 +71,7 @@ def vectors(codes: np.ndarray) -> np.ndarray:
 class _Known:
     """Vectors of the n-grams seen last, kept as float rows."""
 
-    def __init__(self, most: int = 24_000):
+    def __init__(self, most: int = 20_000):
         self.most, self.codes, self.rows = most, np.empty(0, np.int32), np.empty((0, DIM), np.float32)
 
     def at(self, codes: np.ndarray) -> np.ndarray | None:
@@ -97,12 +99,29 @@ def bundle(codes: np.ndarray, counts: np.ndarray, known: _Known) -> np.ndarray:
     return total
 
 
+def bundles(rows: list[tuple[np.ndarray, np.ndarray]], known: _Known) -> np.ndarray:
+    """The vectors of texts given as (n-grams, counts), by one product of their counts with the n-grams' vectors."""
+    every = np.unique(np.concatenate([codes for codes, _ in rows]))
+    if known.at(every) is None:
+        return np.array([bundle(codes, counts, known) if len(codes) else np.zeros(DIM) for codes, counts in rows])
+    counts = np.zeros((len(rows), len(known.codes)), np.float32)
+    for row, (codes, n) in zip(counts, rows, strict=True):
+        row[np.searchsorted(known.codes, codes)] = n
+    return counts @ known.rows
+
+
+@functools.cache
+def _known() -> _Known:
+    """One for each worker process."""
+    return _Known()
+
+
 def learn(rows: DataFrame) -> dict[str, np.ndarray]:
     """Unit prototypes by language from all rows of ``rows`` (text, lang) that have both."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
-        known = _Known()
+        known = _known()
 
         def add(lang: str, parts: list[np.ndarray]) -> None:
             codes, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -138,20 +157,17 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     at = docs.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
+        known = _known()
         for batch in batches:
             langs, scores = [], []
-            for value in batch.column(at):
-                codes, counts = np.unique(grams(value.as_py() or ""), return_counts=True)
-                codes, counts = codes[codes > 0], counts[codes > 0]
-                best, score = "und", 0.0
-                if len(codes) and names:
-                    x = bundle(codes, counts, known)
-                    near = matrix @ (x / max(np.linalg.norm(x), 1e-9)).astype(np.float32)
-                    k = int(np.argmax(near))
-                    best, score = names[k], float(np.clip(near[k], 0, 1))
-                langs.append(best)
-                scores.append(score)
+            for i in range(0, batch.num_rows, TOGETHER):
+                rows = [np.unique(grams(value.as_py() or ""), return_counts=True) for value in batch.column(at).slice(i, TOGETHER)]
+                for x in bundles(rows, known):
+                    norm = np.linalg.norm(x)
+                    near = matrix @ (x / norm).astype(np.float32) if norm and names else np.zeros(0)
+                    k = int(np.argmax(near)) if len(near) else -1
+                    langs.append(names[k] if len(near) else "und")
+                    scores.append(float(np.clip(near[k], 0, 1)) if len(near) else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(predict, schema)
