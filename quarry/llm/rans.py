@@ -20,7 +20,6 @@ from __future__ import annotations
 import array
 import functools
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +36,7 @@ from .common import drop, shared_dir, store, table
 END, SCALE, LOW = 2, 20, 1 << 31
 BLOCK, LANES = 1 << 17, 512
 #: Words whose ids a worker keeps.
-MEMO = 350_000
+MEMO = 450_000
 NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIIIQIIII")
 
@@ -50,40 +49,41 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_LETTERS = re.compile(rb"[a-z]+")
-_BEFORE_STOP = re.compile(rb"(?<=[a-z])(?=[.,])")
-
-
 class Encoder:
     """Token ids of whole texts by the tokenizers library. The vocabulary's model never joins text over ASCII white space,
-    nor a letter with the full stop or comma after it, so the words between are encoded once and their ids kept. It lower-cases
+    nor letters with a full stop or comma after them, so words are encoded once and their ids kept. It lower-cases
     letters itself, so ASCII ones may be before, but for texts with special tokens or combining marks."""
 
     def __init__(self, path: str):
         self.tokenizer, self.memo, self.old = _tokenizer(path), {}, {}
+        self.stops = {s: array.array("I", self.tokenizer.encode(s.decode(), add_special_tokens=False).ids).tobytes() for s in (b".", b",")}
 
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers, the end id last."""
         raw = (text or "").encode()
         if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
-            raw = _BEFORE_STOP.sub(b" ", raw.lower())
+            raw = raw.lower()
         words = raw.split()
         new = set(words).difference(self.memo)
         if new:
             if len(self.memo) + len(new) > MEMO:
                 self.old, self.memo, new = self.memo, {}, set(words)
-            others = []
+            memo, old, others = self.memo, self.old, []
             for w in new:
-                if (ids := self.old.get(w)) is not None:
-                    self.memo[w] = ids
-                elif _LETTERS.fullmatch(w):
-                    self.memo[w] = array.array("I", [t.id for t in self.tokenizer.model.tokenize(w.decode())]).tobytes()
-                else:
-                    others.append(w)
+                if (ids := old.get(w)) is None:
+                    stop = self.stops.get(w[-1:], b"")
+                    core = w[:-1] if stop else w
+                    if not core.isalpha():  # of ASCII letters alone
+                        others.append(w)
+                        continue
+                    if (ids := memo.get(core) or old.get(core)) is None:
+                        ids = memo[core] = array.array("I", [t.id for t in self.tokenizer.model.tokenize(core.lower().decode())]).tobytes()
+                    ids += stop
+                memo[w] = ids
             for i in range(0, len(others), 4096):
                 part = others[i : i + 4096]
                 got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                self.memo.update(zip(part, (array.array("I", e.ids).tobytes() for e in got), strict=True))
+                memo.update(zip(part, (array.array("I", e.ids).tobytes() for e in got), strict=True))
         return b"".join(map(self.memo.__getitem__, words)) + END.to_bytes(4, "little")
 
 
