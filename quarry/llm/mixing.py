@@ -108,11 +108,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as its source's target asks, with the columns of ``docs``."""
     seed = how.setdefault("seed", 7)
     _, sources = plan(docs, **how)
-    names = docs.columns
     narrow = sources.select("source", "whole", "edge", "cut_h", "cut_id", "extra_h", "extra_id")
-    kept = docs.select(*names).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    kept = docs.select(F.struct(*docs.columns).alias("row"), "source", "doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h"))  # columns of any name
     rows = repetitions(kept, narrow).where("times > 0")
-    return rows.withColumn("times", F.explode(F.expr("sequence(1, times)"))).select(*names)
+    return rows.withColumn("times", F.explode(F.expr("sequence(1, times)"))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
