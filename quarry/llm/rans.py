@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import drop, shared_dir, store, table
 
 END, SCALE, LOW = 2, 20, 1 << 31
-BLOCK, LANES = 1 << 17, 512
+BLOCK, LANES = 1 << 18, 1024
 #: Words whose ids a worker keeps.
 MEMO = 450_000
 NULL_ID = -(1 << 63)
