@@ -210,7 +210,7 @@ def unpack(data: bytes, table_: Table) -> tuple[int, int, int, np.ndarray, np.nd
 def write(docs: DataFrame, vocabulary: str, at: str, files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Tokenize, count, encode and store: (blocks, frequencies), read back from ``at``."""
     spark, kind = docs.sparkSession, _width(vocabulary)
-    tokens = store(tokenize(docs, vocabulary), f"{at}/tokens", compression="zstd")
+    tokens = store(tokenize(docs, vocabulary), f"{at}/tokens", compression="snappy")
     freq = scaled(count_ids(tokens, _tokenizer(vocabulary).get_vocab_size(), kind))
     seen = np.flatnonzero(freq)
     table_ = store(spark.createDataFrame(pd.DataFrame({"id": seen, "freq": freq[seen]}), "id long, freq long"), f"{at}/frequencies")
