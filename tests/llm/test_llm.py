@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -113,6 +114,16 @@ def test_gru_distribution_sums_to_one():
     assert np.exp(model.log_probs(h, np.arange(n))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_partial_counts(texts, monkeypatch):
+    monkeypatch.setattr(lm_score, "HELD", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got = Counter()
+    for part in lm_score.partial_counts(iter([batch, batch.slice(0, 0)])):
+        for word, c in zip(part["word"].to_pylist(), part["c"].to_pylist(), strict=True):
+            got[word] += c
+    assert got == Counter(w for t in texts for w in words(t))
+
+
 def test_lm_base(docs, texts, spark):
     rows = docs.select("doc_id", (common.crc_mod(docs.doc_id, 10) == 0).alias("held_out"), "text")
     train = rows.where("not held_out")
