@@ -31,23 +31,29 @@ TILE = 4096
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        h = np.array([hashed(joined, 42)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-shingle])).tolist()
-        h = np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
+        return np.array([hashed(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-shingle])).tolist()
+    return np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 100_000):
         counts += np.unpackbits(h[i : i + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from quarry.llm import common, decontaminate, gru, langid, line_dedup, lm_score, media, mixing, rans, simhash, suffix, token_counts
+from quarry.llm import common, decontaminate, gru, langid, line_dedup, lm_score, media, mixing, near_copies, rans, simhash, suffix, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, hash string, times string"
 LOW = str.maketrans(common.UPPER, common.UPPER.lower())
@@ -265,6 +265,30 @@ def test_simhash_chain(spark):
     assert {r.root for r in simhash.components(common.store(links, f"{at}/links"), at).collect()} == {0}
 
 
+@pytest.mark.parametrize("tile", [4096, 2])
+def test_near_dedup_is_jaccard(spark, tmp_path, monkeypatch, tile):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rng = np.random.default_rng(5)
+    made = []
+    for _ in range(12):
+        own = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 300))]
+        made.append(" ".join(own))
+        for edits in (1, 2, 4, 8, 12):
+            made.append(" ".join(f"e{rng.integers(0, 5000)}" if k in rng.choice(len(own), edits, False) else w for k, w in enumerate(own)))
+    made += [made[0].upper(), "one two", "One two", "", None]
+    shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in made]
+    root = list(range(len(made)))
+    for i, a in enumerate(shingles):
+        for j, b in enumerate(shingles[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = {r.doc_id for r in pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(root) and 12 < len(kept) < 50
+
+
 def test_media(docs, texts, empty):
     stored = media.media(docs)
     got = by_id(media.digests(stored))
