@@ -289,6 +289,17 @@ def test_near_dedup_is_jaccard(spark, tmp_path, monkeypatch, tile):
     assert kept == set(root) and 12 < len(kept) < 50
 
 
+def test_near_dedup_of_shared_and_missing_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "one text", "b"), (1, "another text", "b"), (1, "one text", "a"), (None, long, "c"), (None, long + " more", "c"), (None, long + " again", "c"), (None, "alone", "c"), (2, None, "d"), (None, "", "d")]
+    want = {(1, "one text", "a"), (1, "another text", "b"), (None, min((r[1] for r in rows[3:6]), key=lambda t: hashlib.sha256(t.encode()).hexdigest()), "c"), (None, "alone", "c"), (2, None, "d")}
+    for n in (1, 5):
+        for own in (rows, rows[::-1]):
+            kept = pipeline.near_dedup(spark, spark.createDataFrame(own, "doc_id long, text string, source string").repartition(n), str(tmp_path)).collect()
+            assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_media(docs, texts, empty):
     stored = media.media(docs)
     got = by_id(media.digests(stored))
