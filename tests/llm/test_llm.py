@@ -192,6 +192,16 @@ def test_langid(spark, empty):
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
 
 
+def test_texts_of_no_learned_language_go(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(3)
+    clean = [("der die das und nicht ein haus am see " if i % 2 else "the and that with not a house by the lake ") * (1 + i % 5) for i in range(40)]
+    other = ["".join(rng.choice(list(letters), n)) for letters in ("абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω", "qxzjkvwpyg") for n in (40, 200, 1000) for _ in range(10)]
+    rows = [*((i, t, "de" if i % 2 else "en") for i, t in enumerate(clean)), (40, "the house", None), (41, "das haus", None), *((100 + i, t, None) for i, t in enumerate(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in pipeline.identify_language(spark, docs, str(tmp_path)).collect()} == set(range(42))
+
+
 def test_water_fill():
     assert mixing.water_fill([100, 100], [3, 1], 1, 2) == [150, 50]
     assert mixing.water_fill([10, 100, 100], [5, 2, 1], 1.5, 2)[0] == 20
