@@ -20,6 +20,8 @@ import numpy as np
 HEAD, TAILS, CLASSES = 4096, 32, 64
 EMBED, HIDDEN = 32, 40
 WINDOW, TRAIN_LANES, STEPS, RATE = 24, 64, 2000, 4e-3
+#: Of the pass over all documents: lanes, windows of all lanes that are held at once, and the rate at first.
+PASS_LANES, PASS_WINDOWS, PASS_RATE = 256, 32, 1.5e-3
 #: Steps that are scored at once, and documents side by side.
 STRIDE, LANES = 64, 256
 END = 0
@@ -131,15 +133,33 @@ class Model:
         return total
 
 
-def train(model: Model, docs: list[np.ndarray], steps: int = STEPS, seed: int = 11) -> Model:
-    """Truncated backpropagation with Adam over the documents, again and again in seeded orders."""
+class Moments:
+    """Adam's moments; ``done`` counts its steps."""
+
+    def __init__(self, model: Model):
+        self.m = {k: np.zeros_like(x) for k, x in model.p.items()}
+        self.v = {k: np.zeros_like(x) for k, x in model.p.items()}
+        self.done = 0
+
+
+def train_on(model: Model, docs: list[np.ndarray], moments: Moments) -> int:
+    """One pass over all tokens of the documents, windows of long ones included; the number of tokens."""
+    tokens = sum(map(len, docs))
+    lanes = max(1, min(PASS_LANES, tokens // (8 * WINDOW)))
+    train(model, docs, -(-tokens // (lanes * WINDOW)), lanes=lanes, moments=moments)
+    return tokens
+
+
+def train(model: Model, docs: list[np.ndarray], steps: int = STEPS, seed: int = 11, lanes: int = TRAIN_LANES, moments: Moments | None = None) -> Model:
+    """Truncated backpropagation with Adam over the documents, again and again in seeded orders. Given moments are gone on
+    with, at the rate of the pass."""
     docs = [d for d in docs if len(d)]
     if not docs or not steps:
         return model
     rng, p = np.random.default_rng(seed), model.p
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    v = {k: np.zeros_like(x) for k, x in p.items()}
-    need, parts, firsts, have = (WINDOW * steps + 1) * TRAIN_LANES, [], [], 0
+    held = moments or Moments(model)
+    m, v, begun = held.m, held.v, held.done
+    need, parts, firsts, have = WINDOW * steps * lanes, [], [], 0
     while have < need:
         for i in rng.permutation(len(docs)):
             parts.append(docs[i])
@@ -147,19 +167,19 @@ def train(model: Model, docs: list[np.ndarray], steps: int = STEPS, seed: int =
             have += len(docs[i])
             if have >= need:
                 break
-    stream = np.concatenate(parts)[:need].reshape(TRAIN_LANES, -1).T
+    stream = np.concatenate(parts)[:need].reshape(lanes, -1).T
     new = np.zeros(need, bool)
     new[[f for f in firsts if f < need]] = True
-    new = new.reshape(TRAIN_LANES, -1).T
+    new = new.reshape(lanes, -1).T
     new[0] = True
-    h = np.zeros((TRAIN_LANES, HIDDEN), np.float32)
+    h = np.zeros((lanes, HIDDEN), np.float32)
     for s in range(steps):
         a = s * WINDOW
         target, fresh = stream[a : a + WINDOW], new[a : a + WINDOW]
         before = np.where(fresh, END, np.concatenate((stream[a - 1 : a] if a else stream[:1] * 0, target[:-1])))
         x = p["emb"][before]
         gates = x @ p["wx"] + p["b"]
-        kept, states = [], np.empty((WINDOW, TRAIN_LANES, HIDDEN), np.float32)
+        kept, states = [], np.empty((WINDOW, lanes, HIDDEN), np.float32)
         for t in range(WINDOW):
             own = h * ~fresh[t][:, None]
             h, *rest = model.step(gates[t], own)
@@ -195,10 +215,13 @@ def train(model: Model, docs: list[np.ndarray], steps: int = STEPS, seed: int =
         np.add.at(grad["emb"], before.reshape(-1), dg2 @ p["wx"].T)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-        rate = np.float32(RATE * (1 - s / steps) + 1e-5) * np.float32(np.sqrt(1 - 0.99 ** (s + 1)) / (1 - 0.9 ** (s + 1)))
+        n = begun + s
+        rate = PASS_RATE / np.sqrt(1 + n / 64) if moments else RATE * (1 - s / steps) + 1e-5
+        rate = np.float32(rate) * np.float32(np.sqrt(1 - 0.99 ** (n + 1)) / (1 - 0.9 ** (n + 1)))
         for k, g in grad.items():
             g = g * clip
             m[k] += np.float32(0.1) * (g - m[k])
             v[k] += np.float32(0.01) * (g * g - v[k])
             p[k] -= rate * m[k] / (np.sqrt(v[k]) + np.float32(1e-8))
+    held.done += steps
     return model

@@ -1,8 +1,10 @@
 """LM scoring: each whole text's log-likelihood under a gated recurrent language model (`gru`), beside a unigram base.
 
 Word counts, and all that follows from them (both vocabularies, classes, the base, the tail distributions), are over every
-training text, and so grow with the corpus: they are summed in a shuffled table. Only the network's weights are fitted on a bounded sample: the
-``SAMPLE`` training documents of least seeded hash, each whole (those of over ``SAMPLE_CHARS`` characters left out).
+training text, and so grow with the corpus: they are summed in a shuffled table. The network's weights are begun on a sample,
+the first ``SAMPLE_CHARS`` characters of each of the ``SAMPLE`` training documents of least seeded hash, and then trained
+over every training text, whole: in each of ``ROUNDS`` rounds tasks train from the same weights over their texts of the
+round, and the weights they store are averaged by their tokens. A text is in one round.
 Workers know the counts of the ``MID`` most frequent words; each document's other words are joined to the counts table.
 
 Cases: null and empty texts are one end token; words never seen in training have count 0 and a tail class; without any
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from . import gru
 from .common import UPPER, crc_mod, shared_dir, store, table
 
-MID, SAMPLE, SAMPLE_CHARS, SEED = 1 << 17, 3000, 1 << 16, 17
+MID, SAMPLE, SAMPLE_CHARS, SEED, ROUNDS = 1 << 17, 3000, 1 << 16, 17, 2
 #: Tokens that are scored at once.
 PIECE = 2_000_000
 #: Distinct words that a task counts before it sends them on.
@@ -95,21 +97,67 @@ def count_words(train: DataFrame, at: str) -> tuple[Vocabulary, DataFrame]:
 
 
 def sample(train: DataFrame) -> list[str]:
-    """Whole texts of the SAMPLE documents of least hash, at most SAMPLE_CHARS characters each."""
+    """The first SAMPLE_CHARS characters of the SAMPLE documents of least hash."""
     h = F.xxhash64(F.lit(SEED), "doc_id")
     low = train.select(h.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     if low is None:
         return []
-    rows = train.where((h <= low) & (F.length("text") <= SAMPLE_CHARS)).select(h.alias("h"), "text").limit(2 * SAMPLE).collect()
+    rows = train.where((h <= low) & F.col("text").isNotNull()).select(h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE).collect()
     return [r.text for r in sorted(rows)]
 
 
-def fit(train: DataFrame, vocabulary: Vocabulary, steps: int = gru.STEPS) -> gru.Model:
+def begin(train: DataFrame, vocabulary: Vocabulary, steps: int = gru.STEPS) -> gru.Model:
+    """The model fitted on the sample."""
     head = min(gru.HEAD, len(vocabulary.counts))
     model = gru.Model.fresh(vocabulary.counts[:head], vocabulary.tails[:, 0])
-    index = {w: i for i, w in enumerate(vocabulary.words[: head - 1], 1)}
-    docs = [np.array([*[index[w] if w in index else head + gru.tail_class(w) for w in words_of(text)], gru.END], np.int32) for text in sample(train)]
-    return gru.train(model, docs, steps)
+    tokens = head_tokens(vocabulary.words[: head - 1])
+    return gru.train(model, [tokens(text) for text in sample(train)], steps)
+
+
+def head_tokens(words: list[bytes]):
+    """A function from a text to the model's tokens, the end token last."""
+    head, index = len(words) + 1, {w: i for i, w in enumerate(words, 1)}
+    return lambda text: np.array([*[index[w] if w in index else head + gru.tail_class(w) for w in words_of(text)], gru.END], np.int32)
+
+
+def go_on(train: DataFrame, vocabulary: Vocabulary, model: gru.Model, at: str) -> gru.Model:
+    """The model trained over all texts of ``train``; the tasks' weights are stored under ``at``."""
+    spark, shapes = train.sparkSession, {k: x.shape for k, x in model.p.items()}
+    words, turn = vocabulary.words[: len(model.of) - 1], F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(ROUNDS))
+
+    def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
+        parts = np.split(flat.astype(np.float32), np.cumsum([math.prod(x) for x in shapes.values()])[:-1])
+        return {k: part.reshape(shape) for (k, shape), part in zip(shapes.items(), parts, strict=True)}
+
+    for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((words, model.p, model.of))
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            words, p, of = shared.value
+            own = gru.Model({k: x.copy() for k, x in p.items()}, of)
+            moments, tokens, held, size, n = gru.Moments(own), head_tokens(words), [], 0, 0
+            for batch in batches:
+                for text in batch.column(0):
+                    held.append(tokens(text.as_py()))
+                    size += len(held[-1])
+                    if size >= gru.PASS_LANES * gru.WINDOW * gru.PASS_WINDOWS:
+                        n += gru.train_on(own, held, moments)
+                        held, size = [], 0
+            if held:
+                n += gru.train_on(own, held, moments)
+            if n:
+                flat = np.concatenate([own.p[k].reshape(-1) for k in shapes])
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "weights"])
+
+        trained = store(train.where(turn == k).select("text").mapInArrow(each, "n long, weights binary"), f"{at}/weights{k}")
+        if not trained.isEmpty():
+            n, total = trained.rdd.map(lambda r: (r.n, r.n * np.frombuffer(r.weights, np.float32).astype(np.float64))).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+            model = gru.Model(unpacked(total / n), model.of)
+    return model
+
+
+def fit(train: DataFrame, vocabulary: Vocabulary, steps: int = gru.STEPS) -> gru.Model:
+    return go_on(train, vocabulary, begin(train, vocabulary, steps), shared_dir(train.sparkSession))
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, counts: DataFrame, model: gru.Model) -> DataFrame:

@@ -140,6 +140,24 @@ def test_lm_base(docs, texts, spark):
         assert got[i].score < 0
 
 
+def test_lm_trains_over_every_text(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE", 2)
+    monkeypatch.setattr(lm_score, "SAMPLE_CHARS", 100)
+    rng = np.random.default_rng(2)
+    made = [*(" ".join(f"w{x}" for x in rng.integers(0, 200, 200)) for _ in range(10)), *("in every other text the same words come " * 50 for _ in range(40)), "a long one of its own " * 4000, None, ""]
+    train = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    at = common.shared_dir(spark)
+    vocabulary, _ = lm_score.count_words(train, at)
+    model = lm_score.begin(train, vocabulary, 20)
+    tokens = lm_score.head_tokens(vocabulary.words)
+    tests = [tokens("in every other text the same words come " * 3), tokens("a long one of its own " * 3)]
+    before = model.score(tests)
+    after = lm_score.go_on(train, vocabulary, model, at).score(tests)
+    stored = [spark.read.parquet(f"{at}/weights{k}") for k in range(lm_score.ROUNDS)]
+    assert sum(r.n for t in stored for r in t.collect()) == sum(len(words(t)) + 1 for t in made)
+    assert (after > before + 1).all()
+
+
 def test_line_dedup(docs, texts):
     seen, late, first, order = [], set(), {}, []
     for i, t in enumerate(texts):
