@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy on small fixtures."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -62,6 +63,22 @@ def test_token_copies(spark):
     assert got == {"a": (-1, -3), None: (-1, -3)}
 
 
+def test_token_counts_are_of_all_documents(docs, texts, spark, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    n_docs, n_tokens = Counter(), Counter()
+    for r in docs.collect():
+        n_docs[r.source, r.lang] += 1
+        n_tokens[r.source, r.lang] += len(encoding.encode_ordinary(r.text or ""))
+    got = token_counts.op1_token_counts(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got} == {k: (n_docs[k], n_tokens[k]) for k in n_docs}
+
+
 def test_rans_round_trip(docs, texts, empty, spark, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
