@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,24 +9,12 @@ from ..functions import text as tx
 from ..operators import context, ledger, retrieval, scoring
 from ..sources.files import tables
 from ..streaming.ledger_stream import stream_latest
+from .registry import QUERIES, SQL, Query, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 LABELS = ["user", "assistant", "system", "the", "and", "not"]
 VALUE = r"[A-Z]{2,}-?[0-9]+|[0-9]{3,}"
 
 
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 _W = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _C = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:[._-][a-z0-9]+)*')"
 
