@@ -1,18 +1,20 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct words (A-Z lower-cased, split at ASCII white space); two lines match where the Jaccard
-similarity of their token sets is ``NUM / DEN`` (0.8) or more. A line goes if any earlier line (by doc_id, then line number)
-matches it, whether that one stays or not. Lines without words always stay.
-
-A token is 63 bits: its frequency level (from counts of all words, summed in ``BUCKETS`` buckets of their hash), then 58
-bits of its hash, so sorting a line's tokens puts rare ones first and the order is the same everywhere. Lines with the
-same set are one class, represented by its first line. Classes meet by the tokens of their prefixes; pairs pass the
-length filter, the positional filter, and a filter on 128-bit signatures whose differing bits can't outnumber the differing
-tokens. What passes is verified on the whole token sets, read again from the documents for the classes concerned alone.
-
-Cases: null and empty texts have one line without words; blank lines stay; ties don't occur, as places are distinct (of
-rows that share a doc_id and a line number, all copies of the first line stay); a long line is one set; an empty table
-gives no rows; other columns are ignored.
+similarity of their word sets is ``NUM / DEN`` (0.8) or more. A line goes if any earlier line matches it, whether that one
+stays or not. Places are ordered by doc_id, then the text's hash (which only tells apart rows that share an id), then line
+number. Lines without words always stay.
+
+A token is a long: the rarity level of the word (1.5 log2 of how often its bucket of ``BUCKETS`` occurs in all texts; levels
+end at 2**42 occurrences), then 57 bits of its hash, so that sorting puts rare words first and the order is the same
+everywhere. Lines with the same tokens are one class, represented by its first line. Classes meet by the tokens of their
+prefixes; pairs pass the length and the positional filter. A pair that also shares the token before is left to that one, so
+near copies aren't repeated for every token they share. What passes is verified on the words themselves, read again from
+the documents for the classes concerned alone.
+
+Cases: null and empty texts have one line without words; blank lines stay; a long line is one set; rows that repeat id and
+text are one row (their lines are no copies of each other), rows that share an id alone are told apart; null ids come
+first; ties don't occur, as places are distinct; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,41 +25,57 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, drop, shared_dir, split_words, store, table
+from .common import UPPER, drop, shared_dir, store, table
 
 NUM, DEN = 4, 5
-BUCKETS = 1 << 17
+BUCKETS = 1 << 18
+#: Bits of a token's hash, below its level.
+BITS = 57
+BLANKS = "\t\x0b\x0c\r"
+
+
+def _plain(text: Column, breaks: str = BLANKS) -> Column:
+    """A-Z lower-cased, and each of ``breaks`` a space."""
+    return F.translate(F.coalesce(text, F.lit("")), UPPER + breaks, UPPER.lower() + " " * len(breaks))
+
+
+def _words(plain: Column) -> Column:
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, words)."""
-    rows = docs.select("doc_id", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("line", "own"))
-    return rows.select("doc_id", "line", split_words(F.col("own"), SPACE).alias("words"))
+    """(doc_id, h, line, words): h tells rows apart that share an id."""
+    split = F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "own")
+    return docs.select("doc_id", text_key(F.col("text")).alias("h"), split).select("doc_id", "h", "line", _words(F.col("own")).alias("words"))
 
 
 def levels(docs: DataFrame) -> Column:
-    """The frequency level of each bucket as a constant array: 1.5 log2 of its words' count, at most 31."""
-    words = docs.select(F.explode(split_words(ascii_lower(F.col("text")), SPACE)).alias("w"))
-    rows = words.select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).groupBy("b").count().collect()  # BUCKETS rows at most
+    """The rarity level of each bucket as a constant array; counts are over all words of all texts."""
+    words = docs.select(F.explode(F.split(_plain(F.col("text"), BLANKS + "\n"), " ")).alias("w")).where("w <> ''")
+    rows = words.select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).groupBy("b").count().toPandas()  # BUCKETS rows at most
     out = [0] * BUCKETS
-    for r in rows:
-        out[r.b] = min(31, int(1.5 * math.log2(r["count"] + 1)))
+    for b, n in zip(rows["b"].tolist(), rows["count"].tolist(), strict=True):
+        out[b] = min(63, int(1.5 * math.log2(n)))
     return F.from_json(F.lit(json.dumps(out)), "array<int>")
 
 
 def tokens(words: Column, level: Column) -> Column:
-    """The line's token set, rarest first."""
+    """The line's tokens, rarest first."""
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return (F.get(level, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long") * (1 << 58)).bitwiseOR(F.shiftrightunsigned(h, 6))
+    def token(h: Column) -> Column:
+        rarity = F.get(level, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
+        return F.shiftleft(rarity, BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS))
 
-    return F.sort_array(F.array_distinct(F.transform(words, token)))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), token))
 
 
-def _bits(toks: str, half: int) -> Column:
-    """One half of the 128-bit signature."""
-    return F.aggregate(toks, F.lit(0).cast("long"), lambda acc, t: F.when(F.shiftright(t, 6).bitwiseAND(F.lit(1)) == half, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc))
+def least_shared(n: Column) -> Column:
+    """The least number of tokens that a set of n shares with any match."""
+    return F.ceil(n * NUM / F.lit(float(DEN)) - 1e-9).cast("int")
 
 
 def needed(a: Column, b: Column) -> Column:
@@ -65,53 +83,84 @@ def needed(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * NUM / F.lit(float(NUM + DEN)) - 1e-9)
 
 
-def matched(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, late): every line's class (doc_id, line, k1, k2), and of each class its first place and whether an earlier class matches."""
-    spark, level = docs.sparkSession, levels(docs)
-    rows = lines_of(docs).where(F.size("words") > 0).select("doc_id", "line", tokens(F.col("words"), level).alias("toks"))
-    keyed = rows.select("doc_id", "line", "toks", F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(1), "toks").alias("k2"))
+def classes_of(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, classes), both stored: (doc_id, h, line, k1, k2) of each line with words; (c, k1, k2, first, lines, n, prefix) of each token set."""
+    rows = lines_of(docs).where(F.size("words") > 0).select("doc_id", "h", "line", tokens(F.col("words"), levels(docs)).alias("toks"))
     n = F.size("toks")
-    sized = keyed.select("doc_id", "line", "k1", "k2", n.alias("n"), F.slice("toks", F.lit(1), n - F.ceil(n * NUM / F.lit(float(DEN)) - 1e-9).cast("int") + 1).alias("prefix"), _bits("toks", 0).alias("b0"), _bits("toks", 1).alias("b1"))
-    classes = sized.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
-    classes = store(classes, f"{at}/classes", compression="zstd")
-    drop(spark)
-    posts = classes.select("k1", "k2", "n", "b0", "b1", F.posexplode("prefix").alias("pos", "tok"))
+    prefix = F.slice("toks", F.lit(1), n - least_shared(n) + 1)
+    keyed = rows.select("doc_id", "h", "line", F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(1), "toks").alias("k2"), n.alias("n"), prefix.alias("prefix"))
+    wide = store(keyed, f"{at}/wide", compression="zstd")
+    place = F.struct("doc_id", "h", "line")
+    grouped = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = store(grouped.withColumn("c", F.monotonically_increasing_id()), f"{at}/classes", compression="zstd")
+    lines = store(wide.drop("n", "prefix"), f"{at}/lines", compression="zstd")
+    drop(docs.sparkSession, f"{at}/wide")
+    return lines, classes
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): classes that the filters don't keep apart, each pair at least once at its first common token."""
+    posts = classes.select("c", "n", "prefix", F.posexplode("prefix").alias("pos", "tok"))
+    posts = posts.select("tok", "c", "n", "pos", F.coalesce(F.get("prefix", F.col("pos") - 1), F.lit(-1).cast("long")).alias("before"))
     a, b = posts.alias("a"), posts.alias("b")
-    rest = 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
-    apart = F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))) + F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1")))
-    need = needed(F.col("a.n"), F.col("b.n"))
-    # The smaller set stands on the left, so each pair comes once for each token.
-    order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & ((F.col("a.k1") < F.col("b.k1")) | ((F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") < F.col("b.k2")))))
-    near = (F.col("a.tok") == F.col("b.tok")) & order & (F.col("a.n") * DEN >= F.col("b.n") * NUM) & (rest >= need) & (apart <= F.col("a.n") + F.col("b.n") - 2 * need)
-    pairs = store(a.join(b, near).select(*[F.col(f"{s}.k{i}").alias(f"{s}{i}") for s in "ab" for i in (1, 2)]).distinct(), f"{at}/pairs")
+    same = F.col("a.tok") == F.col("b.tok")
+    # The smaller set stands on the left.
+    order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c")))
+    lengths = F.col("a.n") * DEN >= F.col("b.n") * NUM
+    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    positions = rest >= needed(F.col("a.n"), F.col("b.n"))
+    first = (F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1)
+    return a.join(b, same & order & lengths & positions & first).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+
+
+def word_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(c, place, words): the words of the lines at ``places`` (c, first)."""
+    wanted = places.groupBy(F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")).agg(F.collect_list(F.struct("first.line", "c")).alias("want"))
+    own = docs.select("doc_id", text_key(F.col("text")).alias("h"), "text").alias("d")
+    both = own.join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.id")) & (F.col("d.h") == F.col("w.h")))
+    texts = both.select("d.doc_id", "d.h", F.split(_plain(F.col("d.text")), "\n").alias("own"), F.explode("want").alias("w"))
+    place = F.struct("doc_id", "h", F.col("w.line").alias("line"))
+    return texts.select(F.col("w.c").alias("c"), place.alias("place"), F.array_distinct(_words(F.get("own", F.col("w.line")))).alias("words")).dropDuplicates(["c"])
+
+
+def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, late, links): of each class that matches others, whether one of them is earlier, and how many they are."""
+    left = sets.select(F.col("c").alias("a"), F.col("place").alias("pa"), F.col("words").alias("wa"))
+    right = sets.select(F.col("c").alias("b"), F.col("place").alias("pb"), F.col("words").alias("wb"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
+    true = both.where(F.col("shared") * DEN >= (F.size("wa") + F.size("wb") - F.col("shared")) * NUM)
+    ends = F.array(F.struct(F.col("a").alias("c"), (F.col("pb") < F.col("pa")).alias("late")), F.struct(F.col("b").alias("c"), (F.col("pa") < F.col("pb")).alias("late")))
+    return true.select(F.explode(ends).alias("x")).groupBy("x.c").agg(F.bool_or("x.late").alias("late"), F.count("*").alias("links"))
+
+
+def matched(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, status), both stored: of each class that has several lines or matches others (k1, k2, first, late, links)."""
+    spark = docs.sparkSession
+    lines, classes = classes_of(docs, at)
+    pairs = store(candidates(classes), f"{at}/pairs")
     drop(spark)
-    # Token sets of the classes in pairs, from their first lines.
-    sides = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
-    wanted = classes.select("k1", "k2", "first").join(sides, ["k1", "k2"]).groupBy(F.col("first.doc_id").alias("own_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "k1", "k2")).alias("want"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id"))).select(F.split(ascii_lower(F.col("text")), "\n").alias("own"), "want")
-    again = texts.select("own", F.explode("want").alias("w")).select("w.k1", "w.k2", split_words(F.get("own", F.col("w.line")), SPACE).alias("words"))
-    sets = again.select("k1", "k2", tokens(F.col("words"), level).alias("toks")).where((F.xxhash64("toks") == F.col("k1")) & (F.xxhash64(F.lit(1), "toks") == F.col("k2"))).dropDuplicates(["k1", "k2"])
-    places = store(sets.join(classes.select("k1", "k2", "first"), ["k1", "k2"]), f"{at}/sets", compression="zstd")
+    concerned = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    sets = store(word_sets(docs, classes.select("c", "first").join(concerned, "c")), f"{at}/sets", compression="zstd")
     drop(spark)
-    left = places.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("toks").alias("ta"), F.col("first").alias("fa"))
-    right = places.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("toks").alias("tb"), F.col("first").alias("fb"))
-    both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).withColumn("shared", F.size(F.array_intersect("ta", "tb")))
-    true = both.where(F.col("shared") * DEN >= (F.size("ta") + F.size("tb") - F.col("shared")) * NUM)
-    links = true.select(F.explode(F.array(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2"), (F.col("fb") < F.col("fa")).alias("late")), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2"), (F.col("fa") < F.col("fb")).alias("late")))).alias("x"))
-    found = links.groupBy("x.k1", "x.k2").agg(F.max("x.late").alias("late"), F.count("*").alias("links"))
-    late = classes.select("k1", "k2", "first").join(found, ["k1", "k2"], "left").select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    return sized.select("doc_id", "line", "k1", "k2"), store(late, f"{at}/late")
+    found = classes.select("c", "k1", "k2", "first", "lines").join(links(pairs, sets), "c", "left").where("lines > 1 or links > 0")
+    status = found.select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    status = store(status, f"{at}/status")
+    drop(spark, f"{at}/pairs", f"{at}/sets", f"{at}/classes")
+    return lines, status
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_links, kept): kept is the text of the lines that stay; links count other classes that match the document's lines."""
     at = shared_dir(docs.sparkSession)
-    own, late = matched(docs, at)
-    gone = own.join(late, ["k1", "k2"]).select("doc_id", "line", (F.col("late") | (F.struct("doc_id", "line") != F.col("first"))).alias("gone"), "links")
-    by_doc = gone.where("gone or links > 0").groupBy("doc_id").agg(F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("gone"), F.sum("links").alias("links"))
-    rows = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("own")).alias("d").join(by_doc.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    some = F.coalesce("g.gone", F.array().cast("array<int>"))
-    rows = rows.select("d.doc_id", "d.own", some.alias("gone"), F.coalesce("g.links", F.lit(0).cast("long")).alias("n_links"))
+    lines, status = matched(docs, at)
+    judged = lines.join(status, ["k1", "k2"]).dropDuplicates(["doc_id", "h", "line"])
+    judged = judged.select("doc_id", "h", "line", (F.col("late") | (F.struct("doc_id", "h", "line") != F.col("first"))).alias("gone"), "links")
+    by_row = judged.where("gone or links > 0").groupBy("doc_id", "h").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"), F.sum("links").alias("links"))
+    by_row = store(by_row, f"{at}/gone")
+    drop(docs.sparkSession, f"{at}/lines", f"{at}/status")
+    own = docs.select("doc_id", text_key(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text")).alias("d")
+    rows = own.join(by_row.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.h") == F.col("g.h")), "left")
+    rows = rows.select("d.doc_id", F.split("d.text", "\n").alias("own"), F.coalesce("g.gone", F.array().cast("array<int>")).alias("gone"), F.coalesce("g.links", F.lit(0).cast("long")).alias("n_links"))
     stay = F.when(F.size("gone") == 0, F.col("own")).otherwise(F.filter("own", lambda x, i: ~F.array_contains("gone", i)))
     return rows.select("doc_id", F.size("own").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), "n_links", F.array_join(stay, "\n").alias("kept"))
 
@@ -119,3 +168,19 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Pairs of word sets that share one of their rarest words, by true counts, are compared in full.
+SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+w AS (SELECT doc_id, line, x, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda t: t <> ''))) AS words FROM l),
+c AS MATERIALIZED (SELECT words, len(words) AS n, row_number() OVER (ORDER BY words) AS c, min((doc_id, line)) AS first FROM w WHERE len(words) > 0 GROUP BY words),
+t AS (SELECT c, n, t, count(*) OVER (PARTITION BY t) AS df FROM (SELECT c, n, unnest(words) AS t FROM c)),
+r AS MATERIALIZED (SELECT c, n, t FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY df, t) AS k FROM t) WHERE k <= n - (4 * n + 4) // 5 + 1),
+q AS (SELECT DISTINCT a.c AS a, b.c AS b FROM r a JOIN r b ON a.t = b.t AND a.n <= b.n AND a.n * 5 >= b.n * 4 AND (a.n < b.n OR a.c < b.c)),
+m AS (SELECT q.a, q.b, x.first AS fa, y.first AS fb, len(list_intersect(x.words, y.words)) AS shared, x.n + y.n AS total FROM q JOIN c x ON x.c = q.a JOIN c y ON y.c = q.b),
+s AS (SELECT c, bool_or(late) AS late, count(*) AS links FROM (SELECT a AS c, fb < fa AS late FROM m WHERE shared * 5 >= (total - shared) * 4 UNION ALL SELECT b, fa < fb FROM m WHERE shared * 5 >= (total - shared) * 4) GROUP BY c),
+j AS (SELECT w.doc_id, w.line, w.x, len(w.words) > 0 AND (coalesce(s.late, false) OR (w.doc_id, w.line) <> c.first) AS gone, coalesce(s.links, 0) AS links FROM w LEFT JOIN c ON c.words = w.words LEFT JOIN s ON s.c = c.c)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (coalesce(gone, false)) AS BIGINT) AS n_removed, CAST(sum(links) AS BIGINT) AS n_links,
+sha256(coalesce(string_agg(x, chr(10) ORDER BY line) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256 FROM j GROUP BY doc_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_media": media.op10_media,
 }
-SQL = {"op5_suffix_dedup": suffix.SQL, "op8_decontaminate": decontaminate.SQL}
+SQL = {"op4_line_dedup": line_dedup.SQL, "op5_suffix_dedup": suffix.SQL, "op8_decontaminate": decontaminate.SQL}
