@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space that separates words, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
+#: Bytes of a row group of a stored table.
+ROW_GROUP = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame, path: str, **options: str) -> DataFrame:
-    """Write ``df`` to ``path`` in the shared folder and read it back: lineage is cut and no executor is needed any more."""
-    df.write.mode("overwrite").options(**options).parquet(path)
+    """Write ``df`` to ``path`` in the shared folder and read it back: lineage is cut and no executor is needed any more.
+
+    Row groups are small, as a task holds one of them while it writes."""
+    df.write.mode("overwrite").options(**{"parquet.block.size": str(ROW_GROUP)} | options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +45,13 @@ def drop(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns the memory that a Python worker has freed to the system, as workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

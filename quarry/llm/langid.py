@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, give_back, table
 
 DIM, N, SLOTS, SEED = 1024, 3, 512, 20240601
 #: Characters that are counted at once.
 PIECE = 4_000_000
-#: Texts that are compared at once.
-TOGETHER = 96
+#: Texts that are compared at once, and n-grams whose vectors are made numbers at once.
+TOGETHER, TOGETHER_GRAMS = 96, 4096
 
 
 @functools.cache
@@ -69,51 +69,47 @@ def vectors(codes: np.ndarray) -> np.ndarray:
 
 
 class _Known:
-    """Vectors of the n-grams seen last, kept as float rows."""
+    """Vectors of the n-grams seen last, a byte each for its numbers: ``most`` rows, so 20 MB."""
 
     def __init__(self, most: int = 20_000):
-        self.most, self.codes, self.rows = most, np.empty(0, np.int32), np.empty((0, DIM), np.float32)
+        self.most, self.codes, self.rows = most, np.empty(0, np.int32), np.empty((0, DIM), np.int8)
 
     def at(self, codes: np.ndarray) -> np.ndarray | None:
         """Row numbers of sorted, distinct codes; None where they are too many to keep."""
+        if len(codes) > self.most:
+            return None
         new = np.setdiff1d(codes, self.codes, assume_unique=True)
         if len(new):
             if len(self.codes) + len(new) > self.most:
                 self.codes, self.rows, new = self.codes[:0], self.rows[:0], codes
-            if len(codes) > self.most:
-                return None
             joined = np.concatenate((self.codes, new))
             order = np.argsort(joined, kind="stable")
-            self.rows = np.concatenate((self.rows, vectors(new).astype(np.float32)))[order]
+            self.rows = np.concatenate((self.rows, vectors(new)))[order]
             self.codes = joined[order]
         return np.searchsorted(self.codes, codes)
 
 
-def bundle(codes: np.ndarray, counts: np.ndarray, known: _Known) -> np.ndarray:
-    at = known.at(codes)
-    if at is not None:
-        return counts.astype(np.float32) @ known.rows[at]
-    total = np.zeros(DIM, np.float64)
-    for i in range(0, len(codes), 4096):
-        total += counts[i : i + 4096].astype(np.float64) @ vectors(codes[i : i + 4096])
+def bundles(codes: np.ndarray, counts: np.ndarray, known: _Known) -> np.ndarray:
+    """The vectors of texts, a row of ``counts`` each, over the sorted, distinct n-grams ``codes``."""
+    at, total = known.at(codes), np.zeros((len(counts), DIM), np.float64)
+    for i in range(0, len(codes), TOGETHER_GRAMS):
+        part = slice(i, i + TOGETHER_GRAMS)
+        rows = vectors(codes[part]) if at is None else known.rows[at[part]]
+        total += counts[:, part].astype(np.float32) @ rows.astype(np.float32)
     return total
 
 
-def bundles(rows: list[tuple[np.ndarray, np.ndarray]], known: _Known) -> np.ndarray:
-    """The vectors of texts given as (n-grams, counts), by one product of their counts with the n-grams' vectors."""
+def together(rows: list[tuple[np.ndarray, np.ndarray]], known: _Known) -> Iterator[np.ndarray]:
+    """The vectors of texts given as (n-grams, counts), by one product unless their n-grams are too many."""
     every = np.unique(np.concatenate([codes for codes, _ in rows]))
-    if known.at(every) is None:
-        return np.array([bundle(codes, counts, known) if len(codes) else np.zeros(DIM) for codes, counts in rows])
-    counts = np.zeros((len(rows), len(known.codes)), np.float32)
+    if len(every) > known.most:
+        for codes, n in rows:
+            yield bundles(codes, n[None, :], known)[0]
+        return
+    counts = np.zeros((len(rows), len(every)), np.float32)
     for row, (codes, n) in zip(counts, rows, strict=True):
-        row[np.searchsorted(known.codes, codes)] = n
-    return counts @ known.rows
-
-
-@functools.cache
-def _known() -> _Known:
-    """One for each worker process."""
-    return _Known()
+        row[np.searchsorted(every, codes)] = n
+    yield from bundles(every, counts, known)
 
 
 def learn(rows: DataFrame) -> dict[str, np.ndarray]:
@@ -121,11 +117,11 @@ def learn(rows: DataFrame) -> dict[str, np.ndarray]:
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
-        known = _known()
+        known = _Known()
 
         def add(lang: str, parts: list[np.ndarray]) -> None:
             codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-            total[lang] = total.get(lang, 0) + bundle(codes, counts, known).astype(np.float64)
+            total[lang] = total.get(lang, 0) + bundles(codes, counts[None, :], known)[0]
 
         for batch in batches:
             for lang, texts in batch.groupby("lang").text:
@@ -138,6 +134,8 @@ def learn(rows: DataFrame) -> dict[str, np.ndarray]:
                         parts, held = [], 0
                 if held:
                     add(lang, parts)
+        del known
+        give_back()
         for lang, x in total.items():
             yield pd.DataFrame({"lang": lang, "i": np.arange(DIM, dtype=np.int32), "x": x})
 
@@ -157,18 +155,20 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     at = docs.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known()
+        known = _Known()
         for batch in batches:
             langs, scores = [], []
             for i in range(0, batch.num_rows, TOGETHER):
                 rows = [np.unique(grams(value.as_py() or ""), return_counts=True) for value in batch.column(at).slice(i, TOGETHER)]
-                for x in bundles(rows, known):
+                for x in together(rows, known):
                     norm = np.linalg.norm(x)
                     near = matrix @ (x / norm).astype(np.float32) if norm and names else np.zeros(0)
                     k = int(np.argmax(near)) if len(near) else -1
                     langs.append(names[k] if len(near) else "und")
                     scores.append(float(np.clip(near[k], 0, 1)) if len(near) else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        del known
+        give_back()
 
     return docs.mapInArrow(predict, schema)
 

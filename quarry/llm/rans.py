@@ -35,7 +35,7 @@ from .common import drop, shared_dir, store, table
 
 END, SCALE, LOW = 2, 20, 1 << 31
 BLOCK, LANES = 1 << 18, 1024
-#: Words whose ids a worker keeps.
+#: Words whose ids a worker keeps twice over (now and before), some 140 bytes each.
 MEMO = 450_000
 NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIIIQIIII")
@@ -54,8 +54,8 @@ class Encoder:
     nor letters with a full stop or comma after them, so words are encoded once and their ids kept. It lower-cases
     letters itself, so ASCII ones may be before, but for texts with special tokens or combining marks."""
 
-    def __init__(self, path: str):
-        self.tokenizer, self.memo, self.old = _tokenizer(path), {}, {}
+    def __init__(self, path: str, most: int = MEMO):
+        self.tokenizer, self.most, self.memo, self.old = _tokenizer(path), most, {}, {}
         self.stops = {s: array.array("I", self.tokenizer.encode(s.decode(), add_special_tokens=False).ids).tobytes() for s in (b".", b",")}
 
     def __call__(self, text: str | None) -> bytes:
@@ -66,7 +66,7 @@ class Encoder:
         words = raw.split()
         new = set(words).difference(self.memo)
         if new:
-            if len(self.memo) + len(new) > MEMO:
+            if len(self.memo) + len(new) > self.most:
                 self.old, self.memo, new = self.memo, {}, set(words)
             memo, old, others = self.memo, self.old, []
             for w in new:
@@ -88,17 +88,17 @@ class Encoder:
 
 
 @functools.cache
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, most: int) -> Encoder:
     """One for each worker process, so that its words stay known from task to task."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
-def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids): ids as 16- or 32-bit little-endian integers, by the vocabulary's size."""
+def tokenize(docs: DataFrame, vocabulary: str, memo: int = MEMO) -> DataFrame:
+    """(doc_id, ids): ids as 16- or 32-bit little-endian integers, by the vocabulary's size. ``memo``: see ``MEMO``."""
     wide = _tokenizer(vocabulary).get_vocab_size() > 1 << 16
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary)
+        encode = _encoder(vocabulary, memo)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -207,10 +207,10 @@ def unpack(data: bytes, table_: Table) -> tuple[int, int, int, np.ndarray, np.nd
     return shard, block, first, decode(n, out[2].astype(np.uint64), out[3].astype(np.uint64), table_), out[0], out[1]
 
 
-def write(docs: DataFrame, vocabulary: str, at: str, files: int | None = None) -> tuple[DataFrame, DataFrame]:
+def write(docs: DataFrame, vocabulary: str, at: str, files: int | None = None, memo: int = MEMO) -> tuple[DataFrame, DataFrame]:
     """Tokenize, count, encode and store: (blocks, frequencies), read back from ``at``."""
     spark, kind = docs.sparkSession, _width(vocabulary)
-    tokens = store(tokenize(docs, vocabulary), f"{at}/tokens", compression="snappy")
+    tokens = store(tokenize(docs, vocabulary, memo), f"{at}/tokens", compression="snappy")
     freq = scaled(count_ids(tokens, _tokenizer(vocabulary).get_vocab_size(), kind))
     seen = np.flatnonzero(freq)
     table_ = store(spark.createDataFrame(pd.DataFrame({"id": seen, "freq": freq[seen]}), "id long, freq long"), f"{at}/frequencies")
@@ -308,13 +308,13 @@ def join_parts(rows: DataFrame) -> DataFrame:
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
-def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, memo: int = MEMO) -> DataFrame:
     """Write ``docs`` and read the files back."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return read(*write(docs, vocabulary, shared_dir(spark)))
+    return read(*write(docs, vocabulary, shared_dir(spark), memo=memo))
 
 
 def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
