@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, readers  # noqa: F401
+from . import catalog, checks, ledgers, prompts, readers  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
