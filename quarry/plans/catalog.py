@@ -98,7 +98,18 @@ def chunk_lines_500(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(tx.line_chunks(F.col("text"))).alias("chunk_id", "c")).select("doc_id", "chunk_id", F.length("c").alias("chars"))
 
 
-@query()
+#: Sentences that fit are parts as they are; a longer one is cut at its last space within the limit, else at the limit.
+_PARTS = r"""SELECT doc_id, k, 0 AS j, CASE WHEN length(s) <= 800 THEN trim(s) ELSE trim(left(s, CASE WHEN strpos(reverse(left(s, 801)), ' ') BETWEEN 1 AND 800 THEN 801 - strpos(reverse(left(s, 801)), ' ') ELSE 800 END)) END AS part,
+CASE WHEN length(s) > 800 THEN trim(substr(s, CASE WHEN strpos(reverse(left(s, 801)), ' ') BETWEEN 1 AND 800 THEN 802 - strpos(reverse(left(s, 801)), ' ') ELSE 801 END)) ELSE '' END AS rest
+FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '<>', '()'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents))
+UNION ALL SELECT doc_id, k, j + 1, CASE WHEN length(rest) <= 800 THEN rest ELSE trim(left(rest, CASE WHEN strpos(reverse(left(rest, 801)), ' ') BETWEEN 1 AND 800 THEN 801 - strpos(reverse(left(rest, 801)), ' ') ELSE 800 END)) END,
+CASE WHEN length(rest) > 800 THEN trim(substr(rest, CASE WHEN strpos(reverse(left(rest, 801)), ' ') BETWEEN 1 AND 800 THEN 802 - strpos(reverse(left(rest, 801)), ' ') ELSE 801 END)) ELSE '' END FROM p WHERE rest <> ''"""
+
+
+@query(f"""WITH RECURSIVE p AS ({_PARTS}), m AS (SELECT doc_id, length(part) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS i FROM p WHERE part <> ''),
+f AS (SELECT doc_id, i, len AS used, 1 AS chunk FROM m WHERE i = 1 UNION ALL
+SELECT f.doc_id, m.i, CASE WHEN f.used + 1 + m.len > 800 THEN m.len ELSE f.used + 1 + m.len END, CASE WHEN f.used + 1 + m.len > 800 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN m ON m.doc_id = f.doc_id AND m.i = f.i + 1)
+SELECT doc_id, CAST(chunk - 1 AS INTEGER) AS chunk_id, CAST(max(used) AS INTEGER) AS chars FROM f GROUP BY doc_id, chunk""")
 def chunk_sentences_800(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(tx.sentence_chunks(F.col("text"))).alias("chunk_id", "c")).select("doc_id", "chunk_id", F.length("c").alias("chars"))
 
@@ -365,18 +376,6 @@ def babi_slices(spark, d):
     return t.withColumn("facts", F.count(F.when(F.col("role") != "user", 1)).over(w)).where("role = 'user'").select("conv_id", "turn", "facts")
 
 
-@query()
-def noise_injection(spark, d):
-    """Each conversation's turns put, in order, between a document's sentences at places chosen by a seeded hash."""
-    facts = tables(spark, d, "conversations").select(F.col("conv_id").alias("k"), "turn", "text")
-    n = _docs(spark, d).count()
-    noise = _docs(spark, d).select(F.col("doc_id").alias("doc"), tx.sentences(F.col("text")).alias("s"))
-    at = facts.withColumn("doc", F.pmod(F.xxhash64("k"), F.lit(n))).join(noise, "doc")
-    spot = F.pmod(F.xxhash64("k", "turn"), F.size("s") + 1)
-    w = Window.partitionBy("k").orderBy("turn")
-    return at.select("k", "turn", spot.alias("spot")).withColumn("place", F.max("spot").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
 @query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
 def ledger_stream(spark, d):
     return stream_latest(spark, f"{d}/events.parquet", ["user_id", "event_type"], ["ts", "event_id"], "value")
