@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import checks
+
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,19 +20,70 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
-def json_array(spark: SparkSession, path: str, element: str) -> DataFrame:
-    """A JSON array in one file, an element a row with its ``position``; file order is kept."""
+def json_array(spark: SparkSession, path: str, element: str, first: int | None = None) -> DataFrame:
+    """A JSON array in each file, an element a row with its ``position``; file order is kept. With ``first`` the first so many
+    elements of each file, and an error where a file has fewer."""
     kind = T.ArrayType(T._parse_datatype_string(element))
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("x"), F.input_file_name().alias("file"))
+    if first is not None:
+        enough = F.assert_true(F.size("x") >= first, F.concat(F.col("file"), F.lit(f" has fewer than {first} elements")))
+        rows = rows.select("file", F.when(enough.isNull(), F.slice("x", 1, first)).alias("x"))
     return rows.select("file", F.posexplode("x").alias("position", "e")).select("file", "position", "e.*")
 
 
+def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON object that goes over many lines."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def json_map(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of texts by integer key: (idx, text)."""
     rows = spark.read.text(path, wholetext=True)
     return rows.select(F.explode(F.from_json("value", "map<string,string>")).alias("idx", "text")).select(F.col("idx").cast("int"), "text")
 
 
+def arm_contexts(spark: SparkSession, folder: str, arm: str, files: dict[str, str]) -> DataFrame:
+    """(idx, text) of an arm, by the name of its file; an unknown arm or a missing file is an error."""
+    if arm not in files:
+        raise ValueError(f"no file is known for arm {arm}")
+    return json_map(spark, f"{folder.rstrip('/')}/{files[arm]}")
+
+
+def tolerant_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, events, invalid): lines that are JSON objects, and lines that are no JSON; other values are neither."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    return rows.groupBy("file").agg(F.count_if(F.json_object_keys("value").isNotNull()).alias("events"), F.count_if(F.get_json_object("value", "$").isNull()).alias("invalid"))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256, bytes) of whole files."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+def packets(spark: SparkSession, folder: str, schema: str, expected: DataFrame, frozen: dict[str, object]) -> DataFrame:
+    """The packets of a folder (packets.jsonl beside packet-manifest.json), checked: the manifest's fields are those of
+    ``frozen``, the file's hash is the manifest's, keys are unique and exactly those of ``expected`` (key)."""
+    manifest = spark.read.text(f"{folder}/packet-manifest.json", wholetext=True).first()["value"]
+    found = json.loads(manifest)
+    wrong = {k: found.get(k) for k, v in frozen.items() if found.get(k) != v}
+    if wrong:
+        raise ValueError(f"the manifest differs: {wrong}")
+    digest = file_hashes(spark, f"{folder}/packets.jsonl").first()["sha256"]
+    if digest != found.get("packet_jsonl_sha256"):
+        raise ValueError("packets.jsonl isn't the file of the manifest")
+    rows = jsonl(spark, f"{folder}/packets.jsonl", schema)
+    checks.demand(checks.repeated(rows, ["key"]), "keys occur again")
+    checks.demand(checks.mismatched(rows, expected, ["key"], []), "keys are missing or too many")
+    return rows
+
+
+def snapshot_hashes(rows: DataFrame, expected: int) -> DataFrame:
+    """(key, source_sha): the hash of each key's source text, an error unless there are ``expected`` keys."""
+    found = rows.select("key", F.sha2("text", 256).alias("source_sha"))
+    checks.demand(checks.counted(found.select("key").distinct(), expected, "keys"), "the snapshot isn't whole")
+    return found
+
+
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.shared import shared_dir
 
 
 def stream_latest(spark: SparkSession, path: str, keys: list[str], order: list[str], value: str) -> DataFrame:
     """(keys, value): the value of each key's last row, over all files that are there (``availableNow``).
 
     A micro-batch writes its own last rows under its number, so a batch that runs again replaces what it wrote."""
-    at = shared(spark)
+    at = f"{shared_dir(spark)}/stream"
     schema = spark.read.parquet(path).schema
     last = F.struct(*order)
 
