@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks that end the part of an answer that counts.
 ENDS = r"\.|<context>|<example>"
 
+#: Phrases that say that something isn't there.
+ABSENCE = [
+    "not found", "no information", "not in", "not provided", "cannot find", "cannot answer", "cannot locate",
+    "cannot determine", "cannot say", "don't have", "no record", "not available", "not mention",
+]
+
 
 def answer_part(c: Column) -> Column:
     return F.get(F.split(F.lower(c), ENDS), F.lit(0))
@@ -41,8 +47,45 @@ def contains_all_score(text: Column, gold: Column, ordered: Column, pattern: str
     return F.forall(spots, lambda i: i > 0) & (F.size(value_tokens(text, pattern)) <= F.size(F.array_distinct(gold))) & (~ordered | (spots == F.array_sort(spots)))
 
 
-def abstain_score(text: Column, pattern: str, absence: str = r"not found|no record|unknown") -> Column:
-    return F.lower(text).rlike(absence) & (F.size(value_tokens(text, pattern)) == 0)
+def abstain_score(text: Column, pattern: str, absence: list[str] | None = None) -> Column:
+    low, says = F.lower(text), F.lit(False)
+    for phrase in absence or ABSENCE:
+        says = says | low.contains(phrase)
+    return says & (F.size(value_tokens(text, pattern)) == 0)
+
+
+def all_values(text: Column, pattern: str, vocabulary: list[str]) -> Column:
+    """The distinct values in a text: those of the pattern, and words of the vocabulary, which count as values wherever they stand."""
+    low = F.lower(text)
+    words = F.filter(F.array(*[F.lit(w.lower()) for w in vocabulary]), lambda w: F.contains(low, w)) if vocabulary else F.array().cast("array<string>")
+    return F.array_union(value_tokens(text, pattern), words)
+
+
+def value_score(kind: Column, text: Column, answer: Column, answers: Column, ordered: Column, pattern: str, vocabulary: list[str]) -> Column:
+    """The score of an answer by its question's kind.
+
+    ``contains``: the gold value, and no second value. ``contains_all``: every gold value and no more values than there are
+    different gold ones; where ``ordered``, their first places in the gold order. ``abstain``: a phrase of absence and no value."""
+    low, values = F.lower(text), F.size(all_values(text, pattern, vocabulary))
+    one = F.contains(low, F.lower(answer)) & (values <= 1)
+    spots = F.transform(answers, lambda g: F.call_function("instr", low, F.lower(g)))
+    every = F.forall(spots, lambda i: i > 0) & (values <= F.size(F.array_distinct(F.transform(answers, F.lower)))) & (~F.coalesce(ordered, F.lit(False)) | (spots == F.array_sort(spots)))
+    says = F.lit(False)
+    for phrase in ABSENCE:
+        says = says | low.contains(phrase)
+    scored = F.when(kind == "contains", one).when(kind == "contains_all", every).when(kind == "abstain", says & (values == 0)).otherwise(False)
+    return F.coalesce(scored, F.lit(False))
+
+
+def gold_in_context(kind: Column, context: Column, answer: Column, answers: Column) -> Column:
+    """Whether a context holds the gold at all; null where a question has none."""
+    low = F.lower(context)
+    return F.when(kind == "contains", F.contains(low, F.lower(answer))).when(kind == "contains_all", F.forall(answers, lambda g: F.contains(low, F.lower(g))))
+
+
+def first_sentence_score(answer: Column, target: Column) -> Column:
+    """The older rule: the target stands in the answer's first sentence."""
+    return F.coalesce(F.contains(answer_part(answer), F.lower(target)), F.lit(False))
 
 
 def letter_pick(c: Column) -> Column:
@@ -57,3 +100,18 @@ def mcnemar_p(b: Column, c: Column) -> Column:
     first = F.struct(F.pow(F.lit(0.5), n).alias("t"), F.pow(F.lit(0.5), n).alias("s"))
     add = F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")), first, lambda acc, i: F.struct((acc.t * (n - i + 1) / i).alias("t"), (acc.s + acc.t * (n - i + 1) / i).alias("s")))
     return F.when(n == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), 2 * add.s), 6))
+
+
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, median, upper): exact medians, and upper medians (the value at half the count, counted from 0).
+
+    Equal values are counted before they are ordered, so a key's window sees its distinct values alone."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    own = Window.partitionBy(*keys)
+    upto = counts.withColumns({"upto": F.sum("c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(own)})
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("upto") > place, F.col(value)))
+
+    lower, upper = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
+    return upto.groupBy(*keys).agg(F.first("n").alias("n"), ((lower + upper) / 2).alias("median"), upper.alias("upper"))
