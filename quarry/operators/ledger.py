@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import store
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, by an aggregate rather than a sort of the ledger."""
@@ -49,6 +51,14 @@ def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: str) -> Da
 
 
 def positions(rows: DataFrame, order: str, scope: str | None = None) -> DataFrame:
-    """``position`` from 0 in each scope, the base of shards and batches."""
-    w = Window.partitionBy(scope).orderBy(order) if scope else Window.partitionBy(F.lit(0)).orderBy(order)
-    return rows.withColumn("position", F.row_number().over(w) - 1)
+    """``position`` from 0 in each scope, the base of shards and batches. Without a scope rows are sorted by ranges, and each
+    range begins where the counts of those before end, so no task sees them all."""
+    if scope:
+        return rows.withColumn("position", F.row_number().over(Window.partitionBy(scope).orderBy(order)) - 1)
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order)
+    ranges = store(dealt.withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("c"))
+    before = sizes.select("_range", (F.sum("c").over(Window.orderBy("_range")) - F.col("c")).alias("_before"))  # a row for each range
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranges.join(F.broadcast(before), "_range").withColumn("position", F.col("_before") + nth).drop("_range", "_before")

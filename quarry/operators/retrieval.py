@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import small, store
+
 K1, B = 1.5, 0.75
+#: Terms that are broadcast to the chunks, and bytes of the queries that go to each task at once.
+BROADCAST_TERMS, QUERY_BYTES = 100_000, 64 << 20
 
 
 def postings(chunks: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -27,6 +36,17 @@ def idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(stats, "scope").withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
+def asked_postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(scope, id, term, tf, dl), stored: the postings of the terms ``asked`` (scope, term), and a row with a null term for every chunk.
+
+    Chunks are read and tokenised once. Terms that nobody asks for are counted into the null row before anything is shuffled."""
+    terms = chunks.select("scope", "id", F.size("tokens").cast("long").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    wanted = asked.withColumn("wanted", F.lit(True))
+    marked = terms.join(F.broadcast(wanted) if small(asked, BROADCAST_TERMS) else wanted, ["scope", "term"], "left")
+    kept = marked.select("scope", "id", "dl", F.when(F.col("wanted"), F.col("term")).alias("term"))
+    return store(kept.groupBy("scope", "id", "dl", "term").agg(F.count("*").alias("tf")).select("scope", "id", "term", "tf", "dl"))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, distinct_terms: bool, zero_fill: bool = False) -> DataFrame:
     """(qid, id, score, rank): the k best chunks of each query's scope, ties by id.
 
@@ -35,38 +55,67 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, distinct_terms: bool, ze
     queries never meet all chunks. Query terms prune the postings before anything is scored."""
     terms = queries.select("scope", "qid", F.explode(F.array_distinct("tokens") if distinct_terms else F.col("tokens")).alias("term"))
     terms = terms.groupBy("scope", "qid", "term").agg(F.count("*").alias("qtf"))
-    dl = lengths(chunks)
-    stats = corpus_stats(dl)
-    asked = terms.select("scope", "term").distinct()
-    posts = postings(chunks.join(queries.select("scope").distinct(), "scope", "left_semi")).join(asked, ["scope", "term"], "left_semi")
-    weights = idf(posts, stats)
-    per = posts.join(weights, ["scope", "term"]).join(dl, ["scope", "id"])
+    every = asked_postings(chunks, terms.select("scope", "term").distinct())
+    stats = corpus_stats(every.where("term is null"))
+    posts = every.where("term is not null")
+    weights = idf(posts, stats).select("scope", "term", "idf", "avgdl")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    per = per.select("scope", "id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
+    per = posts.join(weights, ["scope", "term"]).select("scope", "id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
     scored = per.join(terms, ["scope", "term"]).groupBy("scope", "qid", "id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 9).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     if not zero_fill:
         return ranked.select("qid", "id", "score", "rank")
-    # Of the 2k lowest ids of a scope at least k have no match among k matches.
-    low = dl.select("scope", "id", F.row_number().over(Window.partitionBy("scope").orderBy("id")).alias("turn")).where(F.col("turn") <= 2 * k).drop("turn")
+    # Of the 2k lowest ids of a scope at least k have no match among k matches. A scope's window is cut short in each task.
+    low = every.where("term is null").select("scope", "id", F.row_number().over(Window.partitionBy("scope").orderBy("id")).alias("turn")).where(F.col("turn") <= 2 * k).drop("turn")
     rest = queries.select("scope", "qid").distinct().join(low, "scope").join(ranked.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.lit(0.0).alias("score"))
     both = ranked.select("qid", "id", "score").unionByName(rest)
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
 
 
-def cosine(a: str, b: str):
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-    def norm(c: str):
-        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-    return dot / (norm(a) * norm(b))
-
-
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) by cosine; the queries are a stated few, broadcast against all vectors (id, vector)."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).where("id <> qid").select("qid", "id", F.round(cosine("vector", "query"), 6).alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    """(qid, id, score, rank) by cosine, ties by id; ``vectors`` is (id, vector), ``queries`` (qid, query), a query not being
+    its own hit.
+
+    Queries go to the tasks in blocks of ``QUERY_BYTES``; each task multiplies its vectors with a block and keeps the k best
+    of each query, so what is shuffled is k rows a query and task."""
+    spark = vectors.sparkSession
+    asked = store(queries.select(F.col("qid").cast("long").alias("qid"), F.col("query").cast("array<float>").alias("query")))
+    shape = asked.agg(F.count("*").alias("n"), F.max(F.size("query")).alias("dim")).first()
+    blocks = max(1, -(-shape.n * (shape.dim or 1) * 8 // QUERY_BYTES))
+    out = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
+        found = vectors.select("id", "vector").mapInArrow(_nearest(spark.sparkContext.broadcast(_unit(own["qid"], own["query"])), k), "qid long, id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def _unit(ids: pa.Array, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and the vectors as rows of length 1."""
+    if not len(ids):
+        return np.empty(0, np.int64), np.empty((0, 0))
+    x = np.stack([np.asarray(v, np.float64) for v in rows.to_pylist()])
+    return np.asarray(ids.to_numpy(), np.int64), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(shared: Broadcast, k: int):
+    """The k best of a task's vectors for each query of a block."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, asked = shared.value
+        best = [(np.empty(0), np.empty(0, np.int64))] * len(qids)
+        for batch in batches:
+            for i in range(0, batch.num_rows if len(qids) else 0, 2048):
+                ids, x = _unit(batch.column(0).slice(i, 2048), batch.column(1).slice(i, 2048))
+                scores = np.round(asked @ x.T, 6)
+                for q, row in enumerate(scores):
+                    every, of = np.concatenate((best[q][0], row[ids != qids[q]])), np.concatenate((best[q][1], ids[ids != qids[q]]))
+                    first = np.lexsort((of, -every))[:k]
+                    best[q] = every[first], of[first]
+        for q, (score, of) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), qids[q]), pa.int64()), pa.array(of, pa.int64()), pa.array(score, pa.float64())], names=["qid", "id", "score"])
+
+    return each
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int, c: int = 60) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ledger import positions
+
 
 def samples(lines: DataFrame, file: str = "file", order: str = "line") -> DataFrame:
     """``sample``: how often phrase numbers began again at 1 within the file, from 0."""
@@ -37,12 +39,10 @@ def long_enough(tokens: Column, least: int, most: int | None = None) -> Column:
     return n >= least if most is None else n.between(least, most)
 
 
-def ring(texts: DataFrame, order: str, start: Column | int) -> DataFrame:
-    """``place`` of each text where the corpus is read in a circle from position ``start``; an order over the whole corpus, so
-    it is for a background corpus, and sizes are counted by a window over ranges first."""
+def ring(texts: DataFrame, order: str, start: int) -> DataFrame:
+    """``place`` of each text where the corpus is read in a circle from position ``start``."""
     n = texts.agg(F.count("*").alias("n"))
-    at = texts.withColumn("position", F.row_number().over(Window.orderBy(order)) - 1)
-    return at.crossJoin(F.broadcast(n)).withColumn("place", F.pmod(F.col("position") - F.lit(start), F.col("n"))).drop("position", "n")
+    return positions(texts, order).crossJoin(F.broadcast(n)).withColumn("place", F.pmod(F.col("position") - start, F.col("n"))).drop("position", "n")
 
 
 def open_positions(sentences: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:

@@ -286,12 +286,10 @@ def token_reduction(spark, d):
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS p50, round(list_sort(list(value))[CAST(count(*) // 2 AS BIGINT) + 1], 6) AS upper_p50 FROM events GROUP BY event_type")
 def latency_summary(spark, d):
-    # The upper median is a row of the ordered values, found by rank rather than by gathering them.
     rows = tables(spark, d, "events").select("event_type", "value")
-    w = Window.partitionBy("event_type")
-    ranked = rows.withColumns({"k": F.row_number().over(w.orderBy("value")), "n": F.count("*").over(w)})
-    upper = F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("value")))
-    return ranked.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("p50"), F.round(upper, 6).alias("upper_p50"))
+    means = rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    middle = scoring.medians(rows, ["event_type"], "value")
+    return means.join(middle, "event_type").select("event_type", "n", "mean", F.round("median", 6).alias("p50"), F.round("upper", 6).alias("upper_p50"))
 
 
 @query("SELECT user_id, count(*) AS attempts, count(*) FILTER (event_type = 'purchase') AS successes, count(*) FILTER (event_type = 'purchase') > 0 AS done, arg_max(event_type, event_id) <> 'purchase' AS failed_last FROM events GROUP BY user_id")
@@ -364,7 +362,9 @@ SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number(
 def hybrid_fusion(spark, d):
     e = tables(spark, d, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
-    same = e.join(F.broadcast(q), "label").where("vec_id <> qid").select("qid", F.col("vec_id").alias("id"))
+    least = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    low = e.select("label", "vec_id", least.alias("turn")).where("turn <= 21")  # 20 beside the query itself
+    same = q.join(low, "label").where("vec_id <> qid").select("qid", F.col("vec_id").alias("id"))
     same = same.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).where("rank <= 20")
     return retrieval.fuse(_dense(spark, d, 20), same, 10).select("qid", "id", "score", "rank")
 

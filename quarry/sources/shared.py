@@ -19,6 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
+def store(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read again, for what is read several times."""
+    path = shared_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def small(rows: DataFrame, most: int) -> bool:
+    """Whether there are at most ``most`` rows; counts no further than that."""
+    return rows.limit(most + 1).count() <= most
+
+
 def replace(rows: DataFrame, path: str, kind: str = "json", **options: str) -> None:
     """Write ``rows`` beside ``path`` and put them in its place when they are complete: readers see the old table or the new."""
     spark = rows.sparkSession

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarry.plans import catalog
+from quarry.plans import queries as catalog
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
