@@ -13,9 +13,13 @@ runs is dealt out anew, window by window by the hash of its bytes, and those uni
 
 A full difference-cover sort of the corpus, a row for each byte, was not used: its rows alone are over ten times the input.
 
+Equal runs are aggregated before they are sorted: within a task's piece of text, where later ones are removed at once, and
+then for each gram. They are equal by the 64-bit hash of their bytes among runs that share the gram's 64-bit hash.
+
 Cases: null and empty texts have no bytes; a text shorter than ``SPAN`` keeps all; overlaps within a document count; rows
-of one doc_id are one document (equal ones share their result, and are no copies of each other); null ids come first;
-long texts are read in pieces; an empty table gives no rows; other columns are ignored.
+that repeat id and text are one document (they share their result, and are no copies of each other), rows that share an id
+alone are told apart and ordered by their texts' hash; ids are integers; null ids come first; long texts are read in pieces;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from .common import drop, shared_dir, store, table
 SPAN, GRAM = 100, 20
 PIECE, UNIT, HOT = 1 << 21, 1 << 20, 20_000
 NULL_ID = -(1 << 63)
+RUN = ["gram", "content", "doc", "h", "at", "n"]
 _BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,48 +85,87 @@ def runs(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return places[first], np.diff(np.concatenate((first, [len(places)]))), full[own[first]]
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """(ids, places in the document, bytes), about PIECE bytes at once; long texts come in pieces that overlap by a window."""
-    ids, at, texts, size = [], [], [], 0
+def _batches(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[int], list[bytes]]]:
+    """(ids, text hashes, places in the document, bytes), about PIECE bytes at once; long texts come in pieces that overlap by a window."""
+    ids, own, at, texts, size = [], [], [], [], 0
     for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
         raw = (value.as_py() or "").encode()
+        h = text_hash(raw)
         for i in range(0, max(1, len(raw) - SPAN + 1), PIECE):
             ids.append(NULL_ID if doc is None else doc)
+            own.append(h)
             at.append(i)
             texts.append(raw[i : i + PIECE + SPAN - 1])
             size += len(texts[-1])
             if size >= PIECE:
-                yield ids, at, texts
-                ids, at, texts, size = [], [], [], 0
+                yield ids, own, at, texts
+                ids, own, at, texts, size = [], [], [], [], 0
     if ids:
-        yield ids, at, texts
+        yield ids, own, at, texts
+
+
+def text_hash(raw: bytes) -> int:
+    """What tells documents of one id apart, and orders them."""
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+
+
+def _same(cols: list[np.ndarray]) -> np.ndarray:
+    """Whether each row has the values of the row before."""
+    same = np.ones(len(cols[0]), bool)
+    same[:1] = False
+    for c in cols:
+        same[1:] &= c[1:] == c[:-1]
+    return same
+
+
+def _local(gram: np.ndarray, content: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Runs of one task's piece: of each content the first stays a run; later ones, which are removed whatever else there
+    is, have a negative ``n``, a key of their own place instead of the gram, and are joined where they follow each other."""
+    order = np.lexsort((at, h, doc, content, gram))
+    cols = [c[order] for c in (gram, content, doc, h, at, n)]
+    again = _same(cols[:2])
+    twice = _same(cols[:5])  # a row that is there again
+    late = again & ~twice
+    first = [c[~again] for c in cols]
+    gone = [c[late] for c in cols[2:]]
+    order = np.lexsort((gone[2], gone[1], gone[0]))
+    doc, h, at, n = (c[order] for c in gone)
+    on = _same([doc, h])
+    on[1:] &= at[1:] <= at[:-1] + n[:-1]
+    head = np.flatnonzero(~on)
+    last = np.append(head[1:], len(on)) - 1 if len(head) else head
+    doc, h, start, n = doc[head], h[head], at[head], at[last] + n[last] - at[head]
+    key = (start * 0x9E3779B1) ^ doc ^ h
+    return [np.concatenate(x) for x in zip(first, (key, np.zeros_like(key), doc, h, start, -n), strict=True)]
 
 
 def all_runs(docs: DataFrame) -> DataFrame:
-    """(gram, content, doc, at, n): all runs; ``at`` is the first window's place and n the number of windows."""
+    """(gram, content, doc, h, at, n): all runs; ``at`` is the first window's place and n the number of windows, negative
+    where the run is settled (see ``_local``)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for ids, at, texts in _batches(batch):
+            for ids, own, at, texts in _batches(batch):
                 text = b"".join(texts)
                 ends = np.cumsum([len(t) for t in texts])
                 first, n, gram = runs(np.frombuffer(text, np.uint8), ends)
                 of = np.searchsorted(ends, first, side="right")
                 content = np.fromiter((hashed(text[a:b]) for a, b in zip(first.tolist(), (first + n + SPAN - 1).tolist(), strict=True)), np.uint64, len(first))
                 place = first - np.concatenate(([0], ends[:-1]))[of] + np.array(at)[of]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), content.view(np.int64), np.array(ids, np.int64)[of], place.astype(np.int64), n.astype(np.int32))], names=["gram", "content", "doc", "at", "n"])
+                cols = _local(gram.view(np.int64), content.view(np.int64), np.array(ids, np.int64)[of], np.array(own, np.int64)[of], place.astype(np.int64), n.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:5]), pa.array(cols[5].astype(np.int32))], names=RUN)
 
-    return docs.select("doc_id", "text").mapInArrow(each, "gram long, content long, doc long, at long, n int")
+    return docs.select("doc_id", "text").mapInArrow(each, "gram long, content long, doc long, h long, at long, n int")
 
 
 def settle(found: DataFrame) -> DataFrame:
-    """(gram, doc, at, n, many): with gram null the runs to remove, else the first runs of each content that share their
-    gram with other contents, and how many do."""
+    """(gram, doc, h, at, n, many): with gram null the runs to remove, else the first runs of each content that share their
+    gram with other contents, and how many do (``HOT`` + 1 where they are more than ``HOT``)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64) for _ in range(4)]  # the first runs of the last gram's contents
-        before = None
+        held = [np.empty(0, np.int64) for _ in range(5)]  # the first runs of the last gram's contents, HOT at most
+        before, hot = None, None  # the last row; the gram that held is no longer kept for
 
         def open_(cols: list[np.ndarray]) -> tuple[list, np.ndarray]:
             gram = cols[0]
@@ -135,26 +179,41 @@ def settle(found: DataFrame) -> DataFrame:
             k = len(removed[0])
             gram = pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(shared[0], pa.int64())])
             rest = [pa.array(np.concatenate((r, s)), pa.int64()) for r, s in zip(removed, shared[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([gram, *rest, pa.array(np.concatenate((np.zeros(k, np.int64), many)), pa.int64())], names=["gram", "doc", "at", "n", "many"])
+            return pa.RecordBatch.from_arrays([gram, *rest, pa.array(np.concatenate((np.zeros(k, np.int64), many)), pa.int64())], names=["gram", "doc", "h", "at", "n", "many"])
 
-        none = [np.empty(0, np.int64)] * 3
+        none = [np.empty(0, np.int64)] * 4
         for batch in batches:
-            gram, content, doc, at, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
-            if not len(gram):
+            cols = [batch.column(i).to_numpy().astype(np.int64) for i in range(6)]
+            settled = cols[5] < 0
+            early = [c[settled] for c in cols[2:5]] + [-cols[5][settled]]
+            cols = [c[~settled] for c in cols]
+            if not len(cols[0]):
+                yield rows(early, [none[0], *none], none[0])
                 continue
-            pg, pc, pd_, pa_ = before if before else (gram[0] - 1, 0, 0, 0)
-            same = (gram == np.concatenate(([pg], gram[:-1]))) & (content == np.concatenate(([pc], content[:-1])))
-            again = same & (doc == np.concatenate(([pd_], doc[:-1]))) & (at == np.concatenate(([pa_], at[:-1])))
-            before = (gram[-1], content[-1], doc[-1], at[-1])
+            gram, content, doc, h, at, n = cols
+            last = before or (gram[0] - 1, 0, 0, 0, 0)
+            shifted = [np.concatenate(([x], c[:-1])) for x, c in zip(last, cols, strict=False)]
+            same = (gram == shifted[0]) & (content == shifted[1])
+            again = same & (doc == shifted[2]) & (h == shifted[3]) & (at == shifted[4])
+            before = tuple(c[-1] for c in cols[:5])
             gone = same & ~again
-            firsts = [np.concatenate((h, c[~same])) for h, c in zip(held, (gram, doc, at, n), strict=True)]
-            last = firsts[0] == gram[-1]
-            held = [c[last] for c in firsts]
-            yield rows([doc[gone], at[gone], n[gone]], *open_([c[~last] for c in firsts]))
+            firsts = [c[~same] for c in (gram, doc, h, at, n)]
+            if hot is not None:  # go on with a gram that is hot already
+                more = firsts[0] == hot
+                yield rows(none, [c[more] for c in firsts], np.full(int(more.sum()), HOT + 1))
+                firsts = [c[~more] for c in firsts]
+                hot = hot if gram[-1] == hot else None
+            firsts = [np.concatenate((x, c)) for x, c in zip(held, firsts, strict=True)]
+            tail = firsts[0] == gram[-1]
+            held = [c[tail] for c in firsts]
+            yield rows([np.concatenate(x) for x in zip(early, [c[gone] for c in (doc, h, at, n)], strict=True)], *open_([c[~tail] for c in firsts]))
+            if len(held[0]) > HOT:
+                yield rows(none, held, np.full(len(held[0]), HOT + 1))
+                hot, held = gram[-1], [c[:0] for c in held]
         if len(held[0]):
             yield rows(none, *open_(held))
 
-    return found.repartition("gram").sortWithinPartitions("gram", "content", "doc", "at").mapInArrow(each, "gram long, doc long, at long, n long, many long")
+    return found.repartition("gram").sortWithinPartitions(*RUN[:5]).mapInArrow(each, "gram long, doc long, h long, at long, n long, many long")
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -237,51 +296,74 @@ def repeated(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.nd
     return of[late], inner[late]
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Whole grams of sorted rows (gram, doc, at, bytes), about UNIT bytes at once."""
-    gram, doc, at, texts, size, last = [], [], [], [], 0, None
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Whole grams of sorted rows (gram, doc, h, at, bytes), about UNIT bytes at once."""
+    doc, own, at, texts, size, last = [], [], [], [], 0, None
     for batch in batches:
-        for g, d, p, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for g, d, h, p, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if size >= UNIT and g != last:
-                yield np.array(doc), np.array(at), texts
-                gram, doc, at, texts, size = [], [], [], [], 0
+                yield np.array(doc), np.array(own), np.array(at), texts
+                doc, own, at, texts, size = [], [], [], [], 0
             doc.append(d)
+            own.append(h)
             at.append(p)
             texts.append(t)
             size += len(t)
             last = g
     if texts:
-        yield np.array(doc), np.array(at), texts
+        yield np.array(doc), np.array(own), np.array(at), texts
+
+
+def _ordinals(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The places of (id, text hash) in their order, equal ones alike."""
+    order = np.lexsort((h, doc))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(~_same([doc[order], h[order]]))
+    return out
 
 
 def resolve(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc, at, n): the repeated windows of runs that share their gram with others, as runs to remove."""
-    by_doc = shared.groupBy("doc").agg(F.collect_list(F.struct("gram", "at", "n", "many")).alias("runs"))
-    own = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text").join(by_doc, "doc")
+    """(doc, h, at, n): the repeated windows of runs that share their gram with others, as runs to remove."""
+    by_doc = shared.groupBy("doc", "h").agg(F.collect_list(F.struct("gram", "at", "n", "many")).alias("runs"))
+    own = keyed(docs).join(by_doc, ["doc", "h"]).select("doc", "h", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, raw, rows = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode(), batch.column(2)[i].values
+                doc, h, raw, rows = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode(), batch.column(3)[i].values
                 gram, at, n, many = (rows.field(k).to_numpy() for k in range(4))
-                out = [(g, p, raw[p : p + k + SPAN - 1]) for g, p, k, m in zip(gram.tolist(), at.tolist(), n.tolist(), many.tolist(), strict=True) if m <= HOT and p + k + SPAN - 1 <= len(raw)]
+                out = [(g, p, raw[p : p + k + SPAN - 1]) for g, p, k, m in zip(gram.tolist(), at.tolist(), n.tolist(), many.tolist(), strict=True) if m <= HOT]
                 for p, k in zip(at[many > HOT].tolist(), n[many > HOT].tolist(), strict=True):
-                    for q in range(p, min(p + k, len(raw) - SPAN + 1)):
+                    for q in range(p, p + k):
                         out.append((xxhash.xxh64_intdigest(raw[q : q + SPAN]) - (1 << 63), q, raw[q : q + SPAN]))
                 for j in range(0, len(out), 20_000):
                     g, p, t = zip(*out[j : j + 20_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([doc] * len(g), pa.int64()), pa.array(p, pa.int64()), pa.array(t, pa.binary())], names=["gram", "doc", "at", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([doc] * len(g), pa.int64()), pa.array([h] * len(g), pa.int64()), pa.array(p, pa.int64()), pa.array(t, pa.binary())], names=["gram", "doc", "h", "at", "bytes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, at, texts in _units(batches):
-            which, place = repeated(texts, doc, at)
+        for doc, h, at, texts in _units(batches):
+            which, place = repeated(texts, _ordinals(doc, h), at)
             if len(which):
                 new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1))))
                 n = np.diff(np.concatenate((new, [len(which)])))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[which[new]]), pa.array(at[which[new]] + place[new]), pa.array(n)], names=["doc", "at", "n"])
+                of = which[new]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(h[of]), pa.array(at[of] + place[new]), pa.array(n)], names=["doc", "h", "at", "n"])
+
+    pieces = own.mapInArrow(cut, "gram long, doc long, h long, at long, bytes binary")
+    return pieces.repartition("gram").sortWithinPartitions("gram", "doc", "h", "at").mapInArrow(compare, "doc long, h long, at long, n long")
+
 
-    pieces = own.mapInArrow(cut, "gram long, doc long, at long, bytes binary")
-    return pieces.repartition("gram").sortWithinPartitions("gram", "doc", "at").mapInArrow(compare, "doc long, at long, n long")
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc, h): the keys that runs have, made by the same hash."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [text_hash((value.as_py() or "").encode()) for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h, pa.int64())], names=["doc_id", "text", "doc", "h"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"))
+    return rows.mapInArrow(each, f"doc_id {kind}, text string, doc long, h long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -291,9 +373,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     drop(spark)
     late = store(resolve(docs, found.where("gram is not null")), f"{at}/resolved")
     drop(spark)
-    gone = found.where("gram is null").select("doc", "at", "n").unionByName(late)
-    gone = gone.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    own = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc")).join(gone, "doc", "left").select("doc_id", "text", "runs")
+    gone = found.where("gram is null").select("doc", "h", "at", "n").unionByName(late)
+    gone = gone.groupBy("doc", "h").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    own = keyed(docs).join(gone, ["doc", "h"], "left").select("doc_id", "text", "runs")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,8 +387,8 @@ def dedup(docs: DataFrame) -> DataFrame:
                     if rows.is_valid:
                         first, n = (rows.values.field(k).to_numpy() for k in range(2))
                         step = np.zeros(len(raw) + 1, np.int32)
-                        np.add.at(step, np.minimum(first, len(raw)), 1)
-                        np.add.at(step, np.minimum(first + n + SPAN - 1, len(raw)), -1)
+                        np.add.at(step, first, 1)
+                        np.add.at(step, first + n + SPAN - 1, -1)
                         stays = np.cumsum(step[:-1]) == 0
                         kept = np.frombuffer(raw, np.uint8)[stays].tobytes()
                         spans = int(np.count_nonzero(np.diff(np.concatenate(([True], stays)).astype(np.int8)) == -1))
