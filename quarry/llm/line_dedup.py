@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct words (A-Z lower-cased, split at ASCII white space); two lines match where the Jaccard
+A line's tokens are its distinct words (lower-cased, split at ASCII white space); two lines match where the Jaccard
 similarity of their word sets is ``NUM / DEN`` (0.8) or more. A line goes if any earlier line matches it, whether that one
 stays or not. Places are ordered by doc_id, then the text's hash (which only tells apart rows that share an id), then line
 number. Lines without words always stay.
@@ -9,8 +9,9 @@ A token is a long: the rarity level of the word (1.5 log2 of how often its bucke
 end at 2**42 occurrences), then 57 bits of its hash, so that sorting puts rare words first and the order is the same
 everywhere. Lines with the same tokens are one class, represented by its first line. Classes meet by the tokens of their
 prefixes; pairs pass the length and the positional filter. A pair that also shares the token before is left to that one, so
-near copies aren't repeated for every token they share. What passes is verified on the words themselves, read again from
-the documents for the classes concerned alone.
+near copies aren't repeated for every token they share. Pairs whose 128-bit parities differ in more bits than matching sets
+can differ in tokens go. What passes is verified on the words themselves, read again from the documents for the classes
+concerned alone.
 
 Cases: null and empty texts have one line without words; blank lines stay; a long line is one set; rows that repeat id and
 text are one row (their lines are no copies of each other), rows that share an id alone are told apart; null ids come
@@ -25,24 +26,33 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, drop, shared_dir, store, table
+from .common import drop, shared_dir, store, table
 
 NUM, DEN = 4, 5
-BUCKETS = 1 << 18
+BUCKET_BITS = 18
 #: Bits of a token's hash, below its level.
 BITS = 57
+#: Bytes of a table that is broadcast, by an estimate of its rows.
+BROADCAST_BYTES = 32 << 20
 BLANKS = "\t\x0b\x0c\r"
 
 
 def _plain(text: Column, breaks: str = BLANKS) -> Column:
-    """A-Z lower-cased, and each of ``breaks`` a space."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER + breaks, UPPER.lower() + " " * len(breaks))
+    """Lower-cased, and each of ``breaks`` a space."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for c in breaks:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
 
 
 def _words(plain: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -56,8 +66,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def levels(docs: DataFrame) -> Column:
     """The rarity level of each bucket as a constant array; counts are over all words of all texts."""
     words = docs.select(F.explode(F.split(_plain(F.col("text"), BLANKS + "\n"), " ")).alias("w")).where("w <> ''")
-    rows = words.select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).groupBy("b").count().toPandas()  # BUCKETS rows at most
-    out = [0] * BUCKETS
+    rows = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().toPandas()  # a row for each bucket at most
+    out = [0] * (1 << BUCKET_BITS)
     for b, n in zip(rows["b"].tolist(), rows["count"].tolist(), strict=True):
         out[b] = min(63, int(1.5 * math.log2(n)))
     return F.from_json(F.lit(json.dumps(out)), "array<int>")
@@ -67,12 +77,23 @@ def tokens(words: Column, level: Column) -> Column:
     """The line's tokens, rarest first."""
 
     def token(h: Column) -> Column:
-        rarity = F.get(level, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
-        return F.shiftleft(rarity, BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS))
+        rarity = F.coalesce(F.get(level, _bucket(h)), F.lit(0)).cast("long")  # never null, so tokens sort as plain numbers
+        return F.shiftleft(rarity, BITS).bitwiseOR(h.bitwiseAND((1 << BITS) - 1))
 
     return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), token))
 
 
+def parity(toks: str, half: int) -> Column:
+    """One half of the 128-bit signature: of each bit, whether an odd number of tokens has it. Sets differ in as many tokens at least."""
+
+    def flip(acc: Column, t: Column) -> Column:
+        chosen = F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(1).cast("long"))
+        chosen = chosen if half else chosen.bitwiseXOR(F.lit(1).cast("long"))
+        return acc.bitwiseXOR(F.call_function("shiftleft", chosen, t.bitwiseAND(F.lit(63).cast("long")).cast("int")))
+
+    return F.aggregate(toks, F.lit(0).cast("long"), flip)
+
+
 def least_shared(n: Column) -> Column:
     """The least number of tokens that a set of n shares with any match."""
     return F.ceil(n * NUM / F.lit(float(DEN)) - 1e-9).cast("int")
@@ -84,16 +105,16 @@ def needed(a: Column, b: Column) -> Column:
 
 
 def classes_of(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, classes), both stored: (doc_id, h, line, k1, k2) of each line with words; (c, k1, k2, first, lines, n, prefix) of each token set."""
+    """(lines, classes), both stored: (doc_id, h, line, k1, k2) of each line with words; (c, k1, k2, first, lines, n, s0, s1, prefix) of each token set."""
     rows = lines_of(docs).where(F.size("words") > 0).select("doc_id", "h", "line", tokens(F.col("words"), levels(docs)).alias("toks"))
     n = F.size("toks")
     prefix = F.slice("toks", F.lit(1), n - least_shared(n) + 1)
-    keyed = rows.select("doc_id", "h", "line", F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(1), "toks").alias("k2"), n.alias("n"), prefix.alias("prefix"))
+    keyed = rows.select("doc_id", "h", "line", F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(1), "toks").alias("k2"), n.alias("n"), parity("toks", 0).alias("s0"), parity("toks", 1).alias("s1"), prefix.alias("prefix"))
     wide = store(keyed, f"{at}/wide", compression="zstd")
     place = F.struct("doc_id", "h", "line")
-    grouped = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    grouped = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "prefix")])
     classes = store(grouped.withColumn("c", F.monotonically_increasing_id()), f"{at}/classes", compression="zstd")
-    lines = store(wide.drop("n", "prefix"), f"{at}/lines", compression="zstd")
+    lines = store(wide.drop("n", "s0", "s1", "prefix"), f"{at}/lines", compression="zstd")
     drop(docs.sparkSession, f"{at}/wide")
     return lines, classes
 
@@ -110,17 +131,31 @@ def candidates(classes: DataFrame) -> DataFrame:
     rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     positions = rest >= needed(F.col("a.n"), F.col("b.n"))
     first = (F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1)
-    return a.join(b, same & order & lengths & positions & first).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    met = a.join(b, same & order & lengths & positions & first).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    signed = [classes.select(F.col("c").alias(x), *[F.col(k).alias(f"{x}_{k}") for k in ("n", "s0", "s1")]) for x in "ab"]
+    apart = F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) + F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
+    both = met.join(signed[0], "a").join(signed[1], "b")
+    return both.where(apart <= F.col("a_n") + F.col("b_n") - 2 * needed(F.col("a_n"), F.col("b_n"))).select("a", "b")
+
+
+def light(rows: DataFrame, size: Column) -> DataFrame:
+    """``rows`` (stored), broadcast where the sum of ``size`` says that they are small."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(rows) if total <= BROADCAST_BYTES else rows
 
 
-def word_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+def word_sets(docs: DataFrame, places: DataFrame, at: str) -> DataFrame:
     """(c, place, words): the words of the lines at ``places`` (c, first)."""
     wanted = places.groupBy(F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")).agg(F.collect_list(F.struct("first.line", "c")).alias("want"))
+    wanted = light(store(wanted, f"{at}/wanted"), 64 + 32 * F.size("want"))
     own = docs.select("doc_id", text_key(F.col("text")).alias("h"), "text").alias("d")
     both = own.join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.id")) & (F.col("d.h") == F.col("w.h")))
-    texts = both.select("d.doc_id", "d.h", F.split(_plain(F.col("d.text")), "\n").alias("own"), F.explode("want").alias("w"))
+    texts = both.select("d.doc_id", "d.h", F.split(_plain(F.col("d.text")), "\n").alias("own"), "want")
+    # The lines wanted alone go on. Read twice here, ``own`` stays a column; else the lambda would split the text for each line.
+    lines = F.transform("want", lambda w: F.struct(w.c.alias("c"), w.line.alias("line"), F.get("own", w.line).alias("text")))
+    each = texts.select("doc_id", "h", F.size("own").alias("n"), lines.alias("lines")).select("doc_id", "h", "n", F.explode("lines").alias("w")).where("w.line < n")
     place = F.struct("doc_id", "h", F.col("w.line").alias("line"))
-    return texts.select(F.col("w.c").alias("c"), place.alias("place"), F.array_distinct(_words(F.get("own", F.col("w.line")))).alias("words")).dropDuplicates(["c"])
+    return each.select(F.col("w.c").alias("c"), place.alias("place"), F.array_distinct(_words(F.col("w.text"))).alias("words")).dropDuplicates(["c"])
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -140,7 +175,7 @@ def matched(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
     pairs = store(candidates(classes), f"{at}/pairs")
     drop(spark)
     concerned = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    sets = store(word_sets(docs, classes.select("c", "first").join(concerned, "c")), f"{at}/sets", compression="zstd")
+    sets = store(word_sets(docs, classes.select("c", "first").join(concerned, "c"), at), f"{at}/sets", compression="zstd")
     drop(spark)
     found = classes.select("c", "k1", "k2", "first", "lines").join(links(pairs, sets), "c", "left").where("lines > 1 or links > 0")
     status = found.select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
@@ -156,7 +191,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     judged = lines.join(status, ["k1", "k2"]).dropDuplicates(["doc_id", "h", "line"])
     judged = judged.select("doc_id", "h", "line", (F.col("late") | (F.struct("doc_id", "h", "line") != F.col("first"))).alias("gone"), "links")
     by_row = judged.where("gone or links > 0").groupBy("doc_id", "h").agg(F.collect_list(F.when(F.col("gone"), F.col("line"))).alias("gone"), F.sum("links").alias("links"))
-    by_row = store(by_row, f"{at}/gone")
+    by_row = light(store(by_row, f"{at}/gone"), 64 + 4 * F.size("gone"))
     drop(docs.sparkSession, f"{at}/lines", f"{at}/status")
     own = docs.select("doc_id", text_key(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text")).alias("d")
     rows = own.join(by_row.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.h") == F.col("g.h")), "left")
@@ -173,7 +208,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Pairs of word sets that share one of their rarest words, by true counts, are compared in full.
 SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
-w AS (SELECT doc_id, line, x, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda t: t <> ''))) AS words FROM l),
+w AS (SELECT doc_id, line, x, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda t: t <> ''))) AS words FROM l),
 c AS MATERIALIZED (SELECT words, len(words) AS n, row_number() OVER (ORDER BY words) AS c, min((doc_id, line)) AS first FROM w WHERE len(words) > 0 GROUP BY words),
 t AS (SELECT c, n, t, count(*) OVER (PARTITION BY t) AS df FROM (SELECT c, n, unnest(words) AS t FROM c)),
 r AS MATERIALIZED (SELECT c, n, t FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY df, t) AS k FROM t) WHERE k <= n - (4 * n + 4) // 5 + 1),
