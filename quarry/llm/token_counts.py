@@ -2,9 +2,9 @@
 
 A ``Ledger`` is a folder of committed batches. A batch is the signed sum of its changes by source, language and tokenizer
 version: an insert adds a document and its tokens, a delete takes them away, a revised count adds the difference. Totals
-are the sum over batches, so a batch costs what its changes cost and nothing is counted again. A batch is written under
-its name and counts from the moment Spark's commit marks it done: committing it again changes nothing, and a batch that
-was broken off counts for nothing until it is done over.
+are the sum over batches, so a batch costs what its changes cost and nothing is counted again; folding sums the batches
+there are into one table. A batch is written aside and counts from the moment it is given its name: committing it again
+changes nothing (other changes under its name are an error), and a batch that was broken off counts for nothing.
 
 The query keeps the counts of ``documents`` through three batches: documents arrive with an estimate of their tokens (a
 quarter of their characters), the tokenizer revises every count, later exact copies of a text are deleted, and as documents
@@ -18,6 +18,8 @@ and adds nothing; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,29 +34,69 @@ _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens l
 
 
 class Ledger:
+    """``path``/batches holds a table for each batch, ``path``/folds the sums of the batches whose names it lists."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self._at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[str]:
-        """Names of the batches that are done."""
-        root = self._at(self.path)
+    def _names(self, kind: str) -> list[str]:
+        root = self._at(f"{self.path}/{kind}")
         if not self._fs.exists(root):
             return []
-        names = [x.getPath().getName() for x in self._fs.listStatus(root)]
-        return sorted(n for n in names if self._fs.exists(self._at(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(n for x in self._fs.listStatus(root) if not (n := x.getPath().getName()).startswith("_"))
+
+    def _put(self, fresh: str, kind: str, name: str) -> None:
+        """Gives a complete folder its name; of two writers the first does, and the other's stays without effect."""
+        self._fs.mkdirs(self._at(f"{self.path}/{kind}"))
+        target = self._at(f"{self.path}/{kind}/{name}")
+        if self._fs.exists(target) or not self._fs.rename(self._at(fresh), target):
+            self._fs.delete(self._at(fresh), True)
+
+    def _folded(self) -> tuple[str | None, list[str]]:
+        """The last fold and the names of its batches."""
+        folds = self._names("folds")
+        if not folds:
+            return None, []
+        at = f"{self.path}/folds/{folds[-1]}"
+        return at, [r.name for r in self.spark.read.schema("name string").parquet(f"{at}/names").collect()]
+
+    def committed(self) -> list[str]:
+        """Names of the batches that are done, folded ones included."""
+        return sorted({*self._names("batches"), *self._folded()[1]})
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add signed changes (source, lang, tokenizer, n_docs, n_tokens); False where the batch was there already."""
+        """Add signed changes (source, lang, tokenizer, n_docs, n_tokens); False where the batch was there already, and an
+        error where it was there with other changes (a folded batch isn't compared)."""
+        summed = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        before = f"{self.path}/batches/{batch}"
+        if self._fs.exists(self._at(before)):
+            old = self.spark.read.schema(_SCHEMA).parquet(before)
+            if not summed.exceptAll(old).unionAll(old.exceptAll(summed)).isEmpty():
+                raise ValueError(f"batch {batch} was committed with other changes")
+            return False
         if batch in self.committed():
             return False
-        summed = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.path}/{batch}")
+        fresh = f"{self.path}/_{uuid.uuid4().hex}"
+        summed.write.parquet(fresh)
+        self._put(fresh, "batches", batch)
         return True
 
+    def fold(self) -> None:
+        """Sums all batches into one table, so that totals cost what came since; the batches go, their names stay."""
+        names, fresh = self.committed(), f"{self.path}/_{uuid.uuid4().hex}"
+        loose = self._names("batches")
+        self.totals().write.parquet(f"{fresh}/rows")
+        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{fresh}/names")
+        self._put(fresh, "folds", f"{len(self._names('folds')):08d}")
+        for n in loose:
+            self._fs.delete(self._at(f"{self.path}/batches/{n}"), True)
+
     def totals(self) -> DataFrame:
-        done = [f"{self.path}/{n}" for n in self.committed()]
+        fold, names = self._folded()
+        done = [f"{self.path}/batches/{n}" for n in self._names("batches") if n not in set(names)]
+        done += [f"{fold}/rows"] if fold else []
         rows = self.spark.read.schema(_SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], _SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
@@ -71,15 +113,21 @@ def revised(rows: DataFrame, old: str, new: str) -> DataFrame:
     return rows.select(*KEYS, F.lit(0).cast("long").alias("n_docs"), (F.col(new) - F.col(old)).alias("n_tokens"))
 
 
+@functools.cache
+def _encoding(ranks_path: str, pattern: str):
+    """One for each worker process."""
+    import tiktoken
+
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, source, lang, estimate, n_tokens, text_key) of each document, by byte-level BPE over the whole text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = _encoding(ranks_path, pattern)
         for batch in batches:
             n = [len(encoding.encode_ordinary(x.as_py() or "")) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64())], names=[*batch.schema.names[1:], "n_tokens"])
@@ -112,6 +160,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.commit("2-counted", revised(counted, "estimate", "n_tokens"))
     gone = copies(counted)
     ledger.commit("3-copies", gone)
+    ledger.fold()
     ledger.commit("4-copies-again", gone.select(*KEYS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")))
     ledger.commit("2-counted", revised(counted, "estimate", "n_tokens"))  # delivered again: no effect
     return ledger.totals()
