@@ -4,8 +4,8 @@ Every source gets a share of the word budget in proportion to its weight. A sour
 own size, and what it can't take is shared again among the others by weight, until no source is above its cap. A source
 with target ``t`` and size ``s`` takes every document ``floor(t / s)`` times, and the rest by a seeded order of documents:
 the documents up to a cut in that order are taken once more, the cut being the last where the running size is within the
-target, and so is the one document beyond it whose size comes nearest to what is then missing. A rerun gives the same
-documents.
+target, and so are up to ``EXTRAS`` documents beyond it, each the one whose size comes nearest to what is then missing. A
+rerun gives the same documents.
 
 The order is by a hash of the id. It is found without sorting a source: sizes are summed by ``BUCKETS`` hash ranges, and
 only the range that holds the cut is ordered, so a source with a third of all rows costs no task more than its share.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, shared_dir, small, store, table
 
-BUCKETS = 1024
+BUCKETS, EXTRAS = 1024, 4
 #: Sources up to this number are broadcast to the documents.
 BROADCAST_SOURCES = 5_000
 
@@ -83,12 +83,19 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     cut = run.groupBy("source").agg(last.alias("last"), F.first("bucket").alias("edge"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     cut = cut.select("source", "edge", F.col("last.h").alias("cut_h"), F.col("last.doc_id").alias("cut_id"), (F.col("rest") - F.coalesce("last.upto", "before")).alias("gap"))
     cuts = store(sources.alias("s").join(cut.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left").select("s.*", "c.edge", "c.cut_h", "c.cut_id", "c.gap"), f"{at}/cuts")
-    # The one document beyond the cut whose size comes nearest to what is missing.
-    none = cuts.withColumns({"extra_h": F.lit(None).cast("long"), "extra_id": F.lit(None).cast("string")})
-    beyond = repetitions(sized.drop("bucket"), none).where((F.col("times") == F.col("whole")) & (F.col("gap") > 0) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
-    extra = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("h"), F.col("doc_id").cast("string").alias("id"))).alias("x"))
-    joined = cuts.alias("s").join(extra.alias("x"), F.col("s.source").eqNullSafe(F.col("x.source")), "left")
-    return sized, store(joined.select("s.*", F.col("x.x.h").alias("extra_h"), F.col("x.x.id").alias("extra_id")), f"{at}/sources")
+    # Documents beyond the cut whose sizes come nearest to what is missing, one after the other.
+    cuts = cuts.withColumn("extras", F.array().cast("array<struct<h: bigint, id: string>>"))
+    for k in range(EXTRAS):
+        beyond = repetitions(sized.drop("bucket"), cuts).where((F.col("times") == F.col("whole")) & (F.col("gap") > 0) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
+        nearest = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("h"), F.col("doc_id").cast("string").alias("id"), F.col("size")))
+        extra = store(beyond.groupBy("source").agg(nearest.alias("x")), f"{at}/extra{k}")
+        if extra.isEmpty():
+            break
+        joined = cuts.alias("s").join(extra.alias("x"), F.col("s.source").eqNullSafe(F.col("x.source")), "left")
+        more = F.when(F.col("x.x").isNull(), F.col("s.extras")).otherwise(F.concat("s.extras", F.array(F.struct(F.col("x.x.h").alias("h"), F.col("x.x.id").alias("id")))))
+        own = [F.col(f"s.{c}") for c in cuts.columns if c not in ("gap", "extras")]
+        cuts = store(joined.select(*own, (F.col("s.gap") - F.coalesce("x.x.size", F.lit(0))).alias("gap"), more.alias("extras")), f"{at}/cuts{k}")
+    return sized, cuts
 
 
 def _told(sources: DataFrame) -> DataFrame:
@@ -99,7 +106,7 @@ def repetitions(frame: DataFrame, sources: DataFrame) -> DataFrame:
     """``frame`` (with source, doc_id, h) beside its source's plan and ``times``, how often the mix takes each row."""
     bucket = F.shiftrightunsigned("h", 54).cast("int")
     more = (bucket < F.col("edge")) | ((bucket == F.col("edge")) & F.col("cut_h").isNotNull() & ((F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & F.coalesce(F.col("doc_id") <= F.col("cut_id"), F.lit(True)))))
-    more |= (F.col("h") == F.col("extra_h")) & F.col("doc_id").cast("string").eqNullSafe(F.col("extra_id"))
+    more |= F.exists("extras", lambda x: (x.h == F.col("h")) & x.id.eqNullSafe(F.col("doc_id").cast("string")))
     own = _told(sources.withColumnRenamed("source", "own_source"))
     return frame.join(own, F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source").withColumn("times", F.col("whole") + F.coalesce(more, F.lit(False)).cast("int"))
 
@@ -108,7 +115,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as its source's target asks, with the columns of ``docs``."""
     seed = how.setdefault("seed", 7)
     _, sources = plan(docs, **how)
-    narrow = sources.select("source", "whole", "edge", "cut_h", "cut_id", "extra_h", "extra_id")
+    narrow = sources.select("source", "whole", "edge", "cut_h", "cut_id", "extras")
     kept = docs.select(F.struct(*docs.columns).alias("row"), "source", "doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h"))  # columns of any name
     rows = repetitions(kept, narrow).where("times > 0")
     return rows.withColumn("times", F.explode(F.expr("sequence(1, times)"))).select("row.*")
