@@ -133,10 +133,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     def groups(fps: np.ndarray, bounds: list[int]) -> list[tuple[int, int]]:
         out = []
         for i, j in zip(bounds, bounds[1:]):
-            if j - i == 2:
-                if int(fps[i] ^ fps[i + 1]).bit_count() <= radius:
-                    out.append((int(fps[i]), int(fps[i + 1])))
-            elif j - i > 2:
+            if j - i > 1:
                 out += _group_links(fps[i:j], radius)
         return out
 
