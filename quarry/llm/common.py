@@ -20,12 +20,20 @@ ROW_GROUP = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """A new folder under ``spark.checkpoint.dir``, gone when the driver ends. Where that is unset a temporary folder will do
+    on one machine, as in tests; a cluster has none that its executors share, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    at = f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return at
 
 
 def store(df: DataFrame, path: str, **options: str) -> DataFrame:

@@ -24,7 +24,8 @@ K, W = 5, 6
 SPAN = K + W - 1
 #: White space and ASCII signs: what separates words here, as a regular expression class body.
 BREAKS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-BROADCAST_ITEMS = 1_000_000
+#: Rows that are broadcast: fingerprints of 120 bytes, items of some four fingerprints, or ids of texts.
+BROADCAST_ITEMS = 200_000
 
 
 def word_array(text: Column) -> Column:
