@@ -72,6 +72,15 @@ class Model:
         p |= {"wc": np.zeros((HIDDEN, CLASSES + TAILS), np.float32), "bc": np.log(mass / mass.sum()).astype(np.float32), "ww": np.zeros((n, HIDDEN), np.float32), "bw": np.log(counts + 1.0).astype(np.float32)}
         return cls(p, of)
 
+    def flat(self) -> np.ndarray:
+        """All weights one after the other."""
+        return np.concatenate([x.reshape(-1) for x in self.p.values()])
+
+    def filled(self, flat: np.ndarray) -> Model:
+        """A model of this one's shapes with the weights of ``flat``."""
+        parts = np.split(flat, np.cumsum([x.size for x in self.p.values()])[:-1])
+        return Model({k: part.reshape(x.shape).copy() for (k, x), part in zip(self.p.items(), parts, strict=True)}, self.of)
+
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         g = h @ self.p["u"]
         zr = _sigmoid(gates[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
@@ -187,7 +196,7 @@ def train(model: Model, docs: list[np.ndarray], steps: int = STEPS, seed: int =
             states[t] = h
         flat, goal = states.reshape(-1, HIDDEN), target.reshape(-1)
         scale = np.float32(1 / len(goal))
-        grad = {k: np.zeros_like(w) for k, w in p.items() if k in ("ww", "bw", "emb", "u")}
+        grad = {k: np.zeros_like(w) for k, w in p.items() if k in ("ww", "bw", "emb")}
         dc = np.exp(_softmax_log(flat @ p["wc"] + p["bc"]))
         dc[np.arange(len(goal)), model.all_of[goal]] -= 1
         dc *= scale
@@ -200,19 +209,28 @@ def train(model: Model, docs: list[np.ndarray], steps: int = STEPS, seed: int =
                 dw *= scale
                 grad["ww"][own], grad["bw"][own] = dw.T @ flat[at], dw.sum(0)
                 dflat[at] += dw @ p["ww"][own]
+        # Through time only the state's gradient goes step by step; the weights' are products over the whole window.
         dstates, dgates, dh = dflat.reshape(states.shape), np.empty_like(gates), np.zeros_like(h)
+        drec, before_all = np.empty_like(gates), np.empty_like(states)
         for t in range(WINDOW - 1, -1, -1):
             own, z, r, n, gn = kept[t]
-            dh = dh + dstates[t]
-            da = dh * (1 - z) * (1 - n * n)
-            dz, dr = dh * (own - n) * z * (1 - z), da * gn * r * (1 - r)
-            dgates[t] = np.concatenate((dz, dr, da), 1)
-            dg = np.concatenate((dz, dr, da * r), 1)
-            grad["u"] += own.T @ dg
-            dh = (dh * z + dg @ p["u"].T) * ~fresh[t][:, None]
+            dh += dstates[t]
+            dz, dr, da = dgates[t, :, :HIDDEN], dgates[t, :, HIDDEN : 2 * HIDDEN], dgates[t, :, 2 * HIDDEN :]
+            np.multiply(dh * (1 - z), 1 - n * n, out=da)
+            np.multiply(dh * (own - n), z * (1 - z), out=dz)
+            np.multiply(da * gn, r * (1 - r), out=dr)
+            drec[t, :, : 2 * HIDDEN] = dgates[t, :, : 2 * HIDDEN]
+            np.multiply(da, r, out=drec[t, :, 2 * HIDDEN :])
+            before_all[t] = own
+            dh *= z
+            dh += drec[t] @ p["u"].T
+            dh *= ~fresh[t][:, None]
         dg2 = dgates.reshape(-1, 3 * HIDDEN)
+        grad["u"] = before_all.reshape(-1, HIDDEN).T @ drec.reshape(-1, 3 * HIDDEN)
         grad["wx"], grad["b"] = x.reshape(-1, EMBED).T @ dg2, dg2.sum(0)
-        np.add.at(grad["emb"], before.reshape(-1), dg2 @ p["wx"].T)
+        order = np.argsort(before, axis=None, kind="stable")
+        tokens, starts = np.unique(before.reshape(-1)[order], return_index=True)
+        grad["emb"][tokens] = np.add.reduceat((dg2 @ p["wx"].T)[order], starts)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         n = begun + s

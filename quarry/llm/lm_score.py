@@ -1,11 +1,12 @@
 """LM scoring: each whole text's log-likelihood under a gated recurrent language model (`gru`), beside a unigram base.
 
 Word counts, and all that follows from them (both vocabularies, classes, the base, the tail distributions), are over every
-training text, and so grow with the corpus: they are summed in a shuffled table. The network's weights are begun on a sample,
-the first ``SAMPLE_CHARS`` characters of each of the ``SAMPLE`` training documents of least seeded hash, and then trained
-over every training text, whole: in each of ``ROUNDS`` rounds tasks train from the same weights over their texts of the
-round, and the weights they store are averaged by their tokens. A text is in one round.
-Workers know the counts of the ``MID`` most frequent words; each document's other words are joined to the counts table.
+training text, and so grow with the corpus: they are summed in a shuffled table. The network's weights are begun in one
+task, on the training documents of the ``SAMPLE`` least seeded hashes, so that the others have a common start, and then
+trained over every training text, whole: in each of ``ROUNDS`` rounds tasks train from the same weights over their texts of
+the round, and the weights they store are averaged by their tokens. A text is in one round.
+Workers know the counts of the most frequent words, ``MID`` at most, cut where a count ends; each document's other words
+are joined to the counts table.
 
 Cases: null and empty texts are one end token; words never seen in training have count 0 and a tail class; without any
 training text the counts are 0 and the score is that of the untrained network; repeated rows are scored each; ties in the
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import gru
 from .common import UPPER, crc_mod, shared_dir, store, table
 
-MID, SAMPLE, SAMPLE_CHARS, SEED, ROUNDS = 1 << 17, 3000, 1 << 16, 17, 2
+MID, SAMPLE, SEED, ROUNDS = 1 << 17, 3000, 17, 2
 #: Tokens that are scored at once.
 PIECE = 2_000_000
 #: Distinct words that a task counts before it sends them on.
@@ -39,10 +40,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Vocabulary:
-    """The end token, then words by falling count. ``tails``: of each tail class the tokens and the distinct words."""
+    """The end token, then words by falling count, all those that occur ``least`` times. ``tails``: of each tail class the
+    tokens and the distinct words."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, distinct: int, tails: np.ndarray):
-        self.words, self.counts, self.tokens, self.distinct, self.tails = words, counts, tokens, distinct, tails
+    def __init__(self, words: list[bytes], counts: np.ndarray, tokens: int, distinct: int, tails: np.ndarray, least: int):
+        self.words, self.counts, self.tokens, self.distinct, self.tails, self.least = words, counts, tokens, distinct, tails, least
 
     @property
     def base(self) -> float:
@@ -79,12 +81,24 @@ def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield sent(counts)
 
 
+def least_count(counts: DataFrame) -> int:
+    """The least count at which no more than MID words are as frequent; from how many words have each count."""
+    left, least = MID, None
+    rows = counts.groupBy("c").agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)  # few: their sum is the corpus
+    for c, n in zip(rows.c.tolist(), rows.n.tolist(), strict=True):
+        if n > left:
+            return least if least is not None else c + 1
+        left, least = left - n, c
+    return 0
+
+
 def count_words(train: DataFrame, at: str) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary of the training rows and the stored table of all (word, c)."""
     words = train.select("text").mapInArrow(partial_counts, "word string, c long")
     counts = store(words.groupBy("word").agg(F.sum("c").alias("c")), f"{at}/counts")
     ends = train.count()
-    top = counts.orderBy(F.desc("c"), "word").limit(MID).toArrow()
+    least = least_count(counts)
+    top = counts.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tail = F.crc32(F.substring(F.encode("word", "utf-8"), 1, 2)) % gru.TAILS
     by_class = np.zeros((gru.TAILS, 2))
@@ -93,25 +107,33 @@ def count_words(train: DataFrame, at: str) -> tuple[Vocabulary, DataFrame]:
     listed, known = [w.encode() for w in top["word"].to_pylist()], top["c"].to_pylist()
     for w, c in zip(listed[: gru.HEAD - 1], known, strict=False):  # head words are in no tail class
         by_class[gru.tail_class(w)] -= c, 1
-    return Vocabulary(listed, np.array([ends, *known], np.int64), sums.n + ends, sums.v + (ends > 0), by_class), counts
+    return Vocabulary(listed, np.array([ends, *known], np.int64), sums.n + ends, sums.v + (ends > 0), by_class, least), counts
 
 
-def sample(train: DataFrame) -> list[str]:
-    """The first SAMPLE_CHARS characters of the SAMPLE documents of least hash."""
+def begin(train: DataFrame, vocabulary: Vocabulary, steps: int = gru.STEPS) -> gru.Model:
+    """The model trained in one task, on whole documents in the order of their hashes, as many as the steps take."""
+    spark, at = train.sparkSession, shared_dir(train.sparkSession)
+    head = min(gru.HEAD, len(vocabulary.counts))
+    counts, tails, words = vocabulary.counts[:head], vocabulary.tails[:, 0], vocabulary.words[: head - 1]
+    model = gru.Model.fresh(counts, tails)
     h = F.xxhash64(F.lit(SEED), "doc_id")
-    low = train.select(h.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    if low is None:
-        return []
-    rows = train.where((h <= low) & F.col("text").isNotNull()).select(h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE).collect()
-    return [r.text for r in sorted(rows)]
+    last = train.select(h.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if last is None:
+        return model
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, held, size = head_tokens(words), [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                if size < steps * gru.WINDOW * gru.TRAIN_LANES:
+                    held.append(tokens(text.as_py()))
+                    size += len(held[-1])
+        own = gru.train(gru.Model.fresh(counts, tails), held, steps)
+        yield pa.RecordBatch.from_arrays([pa.array([own.flat().tobytes()], pa.binary())], names=["weights"])
 
-def begin(train: DataFrame, vocabulary: Vocabulary, steps: int = gru.STEPS) -> gru.Model:
-    """The model fitted on the sample."""
-    head = min(gru.HEAD, len(vocabulary.counts))
-    model = gru.Model.fresh(vocabulary.counts[:head], vocabulary.tails[:, 0])
-    tokens = head_tokens(vocabulary.words[: head - 1])
-    return gru.train(model, [tokens(text) for text in sample(train)], steps)
+    rows = train.where(h <= last).select("text", h.alias("h")).repartition(1).sortWithinPartitions("h", F.xxhash64("text"), "text").select("text")
+    begun = store(rows.mapInArrow(each, "weights binary"), f"{at}/begun")
+    return model.filled(np.frombuffer(begun.first()["weights"], np.float32))
 
 
 def head_tokens(words: list[bytes]):
@@ -122,13 +144,9 @@ def head_tokens(words: list[bytes]):
 
 def go_on(train: DataFrame, vocabulary: Vocabulary, model: gru.Model, at: str) -> gru.Model:
     """The model trained over all texts of ``train``; the tasks' weights are stored under ``at``."""
-    spark, shapes = train.sparkSession, {k: x.shape for k, x in model.p.items()}
+    spark = train.sparkSession
     words, turn = vocabulary.words[: len(model.of) - 1], F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(ROUNDS))
 
-    def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
-        parts = np.split(flat.astype(np.float32), np.cumsum([math.prod(x) for x in shapes.values()])[:-1])
-        return {k: part.reshape(shape) for (k, shape), part in zip(shapes.items(), parts, strict=True)}
-
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((words, model.p, model.of))
 
@@ -146,13 +164,12 @@ def go_on(train: DataFrame, vocabulary: Vocabulary, model: gru.Model, at: str) -
             if held:
                 n += gru.train_on(own, held, moments)
             if n:
-                flat = np.concatenate([own.p[k].reshape(-1) for k in shapes])
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], names=["n", "weights"])
 
         trained = store(train.where(turn == k).select("text").mapInArrow(each, "n long, weights binary"), f"{at}/weights{k}")
         if not trained.isEmpty():
             n, total = trained.rdd.map(lambda r: (r.n, r.n * np.frombuffer(r.weights, np.float32).astype(np.float64))).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
-            model = gru.Model(unpacked(total / n), model.of)
+            model = model.filled((total / n).astype(np.float32))
     return model
 
 
@@ -204,8 +221,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, counts: DataFrame, model: gru
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.mapInArrow(each, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<string>")
     own = store(found.withColumn("row", F.monotonically_increasing_id()), f"{at}/scored", compression="zstd")
-    least = int(vocabulary.counts[-1]) if len(vocabulary.counts) > MID else -1
-    far = own.select("row", F.explode("rest").alias("word")).join(counts.where(F.col("c") <= least) if least >= 0 else counts.where("false"), "word", "left").select("row", "word", F.coalesce("c", F.lit(0)).alias("c"))
+    rare = counts.where(F.col("c") < vocabulary.least)
+    far = own.select("row", F.explode("rest").alias("word")).join(rare, "word", "left").select("row", "word", F.coalesce("c", F.lit(0)).alias("c"))
     tail = F.crc32(F.substring(F.encode("word", "utf-8"), 1, 2)) % gru.TAILS
     logs = F.get(F.array(*[F.lit(float(x)) for x in np.log10(vocabulary.tail_base())]), tail.cast("int"))
     sums = far.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.1)).alias("more"), F.sum(logs).alias("tails"), F.sum((F.col("c") > 0).cast("long")).alias("known"))
