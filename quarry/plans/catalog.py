@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import context, ledger, retrieval, scoring
+from ..operators import context, ledger, prompts, retrieval, scoring
 from ..sources.files import tables
 from ..streaming.ledger_stream import stream_latest
 from .registry import QUERIES, SQL, Query, query
@@ -141,7 +141,7 @@ def budget_pack_6000(spark, d):
 
 @query(_pack_sql(300, r"regexp_replace(text, '\s+$', '') || chr(10)", 150000))
 def budget_pack_150k(spark, d):
-    return _packed(context.pack(_top(spark, d, 300), F.concat(F.regexp_replace("text", r"\s+$", ""), F.lit("\n")), 150000))
+    return _packed(context.pack(_top(spark, d, 300), F.concat(prompts.rstrip(F.col("text")), F.lit("\n")), 150000))
 
 
 @query(f"WITH h AS ({_bm25_sql(5, True, False)}) SELECT qid, sha256(string_agg(text, chr(10) || chr(10) ORDER BY id)) AS sha FROM h JOIN documents ON doc_id = id GROUP BY qid")
@@ -320,15 +320,18 @@ def keyset_diff(spark, d):
     return ledger.keyset_diff(_docs(spark, d), tables(spark, d, "labels"), ["doc_id"])
 
 
-_MESSAGE = "'error ' || event_type || CASE event_id % 5 WHEN 0 THEN ' timed out' WHEN 1 THEN ' 429 too many requests, retry in ' || (event_id % 90) || ' s' WHEN 2 THEN ' quota, try again in ' || (event_id % 30) || ' m' WHEN 3 THEN ' 401' ELSE ' reset' END"
+_MESSAGE = """concat('error ', event_type, CASE event_id % 9 WHEN 0 THEN ' Timed out' WHEN 1 THEN concat(' 429 too many requests, retry in ', CAST(event_id % 90 AS STRING), ' s') WHEN 2 THEN concat(' quota, try again in ', CAST(event_id % 30 AS STRING), ' Minutes')
+WHEN 3 THEN ' status 401' WHEN 4 THEN concat(' busy', chr(10), '{"retryAfter": ', CAST(event_id % 2000 AS STRING), '}') WHEN 5 THEN ' Rate-limit' WHEN 6 THEN ' over the budget' WHEN 7 THEN concat(' ', CAST(event_id % 50 AS STRING), ' secs before retry') ELSE ' reset 4290' END)"""
+_FIELD = "TRY_CAST(json_extract_string(list_filter(string_split(m, chr(10)), lambda x: json_valid(x))[1], '$.retryAfter') AS DOUBLE)"
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(m, '(?i){marks}') THEN '{name}'" for name, marks in tx.MARKS.items()) + " ELSE 'transport' END"
+_NAMED = [f"CASE WHEN regexp_extract(m, '(?i){p}', 1) <> '' THEN CAST(regexp_extract(m, '(?i){p}', 1) AS DOUBLE) * CASE WHEN starts_with(lower(regexp_extract(m, '(?i){p}', 2)), 'm') THEN 60 ELSE 1 END END" for p in tx.RETRY]
 
 
-@query(f"""SELECT event_id, CASE WHEN regexp_matches(m, 'timed? ?out') THEN 'timeout' WHEN regexp_matches(m, 'unauthori|forbidden|api key|401|403') THEN 'auth' WHEN regexp_matches(m, 'quota|billing') THEN 'quota' WHEN regexp_matches(m, 'rate.?limit|too many|429') THEN 'rate_limit' ELSE 'transport' END AS failure,
-CASE WHEN r <> '' THEN least(CAST(r AS DOUBLE) * CASE WHEN u = 'm' THEN 60 ELSE 1 END, 900.0) END AS delay
-FROM (SELECT event_id, m, regexp_extract(m, '(?:retry|try again)[^0-9]*([0-9]+)\\s*(m|s)?', 1) AS r, regexp_extract(m, '(?:retry|try again)[^0-9]*([0-9]+)\\s*(m|s)?', 2) AS u FROM (SELECT event_id, lower({_MESSAGE}) AS m FROM events))""")
+@query(f"""SELECT event_id, failure, coalesce(named, CASE failure WHEN 'rate_limit' THEN 60.0 WHEN 'quota' THEN 300.0 END)::DOUBLE AS delay, named IS NULL AND failure IN ('rate_limit', 'quota') AS defaulted
+FROM (SELECT event_id, {_CLASS} AS failure, least(greatest(coalesce({_FIELD}, {", ".join(_NAMED)}), 0), 900.0)::DOUBLE AS named FROM (SELECT event_id, {_MESSAGE} AS m FROM events))""")
 def failure_class(spark, d):
     m = tables(spark, d, "events").select("event_id", F.expr(_MESSAGE).alias("m"))
-    return m.select("event_id", tx.failure_class(F.col("m")).alias("failure"), tx.retry_seconds(F.col("m")).alias("delay"))
+    return m.select("event_id", tx.failure_class(F.col("m")).alias("failure"), tx.cooldown(F.col("m")).alias("c")).select("event_id", "failure", "c.*")
 
 
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY sha256('s1' || event_id), event_id) AS k FROM events) WHERE k <= 20")

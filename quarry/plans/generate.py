@@ -70,6 +70,32 @@ def corpus_questions(spark, d):
     return generate.questions(_versions(spark, d), _slots(spark, d)).withColumn("options", F.array_join("options", "; "))
 
 
+_REASONS = ["it was cheaper", "a friend praised it", "it broke too often", "the season changed", "it took less time"]
+_NOTHING, _WRONG = "Nothing was said about it", ["It was said at first", "It changed twice", "It is that of a friend"]
+_PLACED = "SELECT persona, '{0}' AS type, kind, {1} AS question, array_to_string(list_concat(list_concat(w[1:p], [right_]), w[p + 1:3]), '; ') AS options, substr('ABCD', CAST(p + 1 AS INTEGER), 1) AS answer, right_ AS answer_text FROM ({2})"
+_WHY = f"SELECT persona, kind, {_REASONS!r}[a % 5 + 1] AS right_, [{_REASONS!r}[(a + 1) % 5 + 1], {_REASONS!r}[(a + 2) % 5 + 1], {_REASONS!r}[(a + 3) % 5 + 1]] AS w, {_draw(4, "'REASON'", 'persona', 'kind')} AS p FROM (SELECT persona, kind, {_draw(5, "'reason'", 'persona', 'kind', 'max(version)')} AS a FROM v WHERE version > 0 GROUP BY persona, kind)"
+_SUITS = f"SELECT persona, kind, 'item ' || x AS right_, ['item ' || (x + 1) % 6, 'item ' || (x + 2) % 6, 'item ' || (x + 3) % 6] AS w, {_draw(4, "'RECOMMEND'", 'persona', 'kind')} AS p FROM (SELECT persona, kind, CAST(split_part(arg_max(value, version), '/', 2) AS INTEGER) AS x FROM v WHERE kind = 'nation_3' GROUP BY persona, kind)"
+_ABSENT = f"SELECT c.persona, c.kind, {_NOTHING!r} AS right_, {_WRONG!r} AS w, {_draw(4, "'UNANSWER'", 'c.persona', 'c.kind')} AS p FROM (SELECT DISTINCT persona, kind FROM c WHERE place >= 22) c"
+
+
+@query(f"{_V} {_PLACED.format('REASON', chr(39) + 'Why did ' + chr(39) + ' || persona || ' + chr(39) + ' change the ' + chr(39) + ' || kind || ' + chr(39) + '?' + chr(39), _WHY)}")
+def corpus_reasons(spark, d):
+    return generate.reason_questions(_versions(spark, d), _REASONS).withColumn("options", F.array_join("options", "; "))
+
+
+@query(f"{_V} {_PLACED.format('RECOMMEND', chr(39) + 'What suits the taste of ' + chr(39) + ' || persona || ' + chr(39) + ' in ' + chr(39) + ' || kind || ' + chr(39) + '?' + chr(39), _SUITS)}")
+def corpus_recommendations(spark, d):
+    values = _slots(spark, d).where("kind = 'nation_3'").select(F.posexplode("values").alias("at", "value"))
+    items = values.select("value", F.concat(F.lit("item "), F.col("at").cast("string")).alias("item"))
+    return generate.recommend_questions(_versions(spark, d), _slots(spark, d), items, "nation_3").withColumn("options", F.array_join("options", "; "))
+
+
+@query(f"{_V} {_PLACED.format('UNANSWER', chr(39) + 'What is the ' + chr(39) + ' || kind || ' + chr(39) + ' of ' + chr(39) + ' || persona || ' + chr(39) + '?' + chr(39), _ABSENT)}")
+def corpus_unanswerable(spark, d):
+    got = generate.absent_questions(_personas(spark, d), _slots(spark, d), _versions(spark, d), _NOTHING, _WRONG)
+    return got.withColumn("options", F.array_join("options", "; "))
+
+
 @query(f"{_V} SELECT persona, count(*) AS slots, CAST(sum(n) AS BIGINT) AS told, bool_and(n = days) AS dates_differ FROM (SELECT persona, kind, count(*) AS n, count(DISTINCT session) AS days FROM v GROUP BY persona, kind) GROUP BY persona")
 def corpus_meta(spark, d):
     """Counts of each persona, and whether every version of a slot has a date of its own."""
