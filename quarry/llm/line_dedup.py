@@ -9,7 +9,7 @@ A token is a long: the rarity level of the word (1.5 log2 of how often its bucke
 end at 2**42 occurrences), then 57 bits of its hash, so that sorting puts rare words first and the order is the same
 everywhere. Lines with the same tokens are one class, represented by its first line. Classes meet by the tokens of their
 prefixes; pairs pass the length and the positional filter. A pair that also shares the token before is left to that one, so
-near copies aren't repeated for every token they share. Pairs whose 128-bit parities differ in more bits than matching sets
+near copies aren't repeated for every token they share. Pairs whose 64-bit parities differ in more bits than matching sets
 can differ in tokens go. What passes is verified on the words themselves, read again from the documents for the classes
 concerned alone.
 
@@ -83,15 +83,9 @@ def tokens(words: Column, level: Column) -> Column:
     return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), token))
 
 
-def parity(toks: str, half: int) -> Column:
-    """One half of the 128-bit signature: of each bit, whether an odd number of tokens has it. Sets differ in as many tokens at least."""
-
-    def flip(acc: Column, t: Column) -> Column:
-        chosen = F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(1).cast("long"))
-        chosen = chosen if half else chosen.bitwiseXOR(F.lit(1).cast("long"))
-        return acc.bitwiseXOR(F.call_function("shiftleft", chosen, t.bitwiseAND(F.lit(63).cast("long")).cast("int")))
-
-    return F.aggregate(toks, F.lit(0).cast("long"), flip)
+def parity(toks: str) -> Column:
+    """A 64-bit signature: of each bit, whether an odd number of tokens falls on it. Sets differ in as many tokens at least."""
+    return F.aggregate(toks, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
 def least_shared(n: Column) -> Column:
@@ -101,41 +95,41 @@ def least_shared(n: Column) -> Column:
 
 def needed(a: Column, b: Column) -> Column:
     """The least overlap of sets of sizes a and b at the threshold."""
-    return F.ceil((a + b) * NUM / F.lit(float(NUM + DEN)) - 1e-9)
+    return F.ceil((a + b) * NUM / F.lit(float(NUM + DEN)) - 1e-9).cast("int")
 
 
 def classes_of(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, classes), both stored: (doc_id, h, line, k1, k2) of each line with words; (c, k1, k2, first, lines, n, s0, s1, prefix) of each token set."""
+    """(lines, classes), both stored: (doc_id, h, line, k1, k2) of each line with words; (c, k1, k2, first, lines, n, bits, prefix) of each token set."""
     rows = lines_of(docs).where(F.size("words") > 0).select("doc_id", "h", "line", tokens(F.col("words"), levels(docs)).alias("toks"))
     n = F.size("toks")
     prefix = F.slice("toks", F.lit(1), n - least_shared(n) + 1)
-    keyed = rows.select("doc_id", "h", "line", F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(1), "toks").alias("k2"), n.alias("n"), parity("toks", 0).alias("s0"), parity("toks", 1).alias("s1"), prefix.alias("prefix"))
-    wide = store(keyed, f"{at}/wide", compression="zstd")
+    keyed = rows.select("doc_id", "h", "line", F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(1), "toks").alias("k2"), n.alias("n"), parity("toks").alias("bits"), prefix.alias("prefix"))
+    wide = store(keyed, f"{at}/wide")
     place = F.struct("doc_id", "h", "line")
-    grouped = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "prefix")])
+    grouped = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
     classes = store(grouped.withColumn("c", F.monotonically_increasing_id()), f"{at}/classes", compression="zstd")
-    lines = store(wide.drop("n", "s0", "s1", "prefix"), f"{at}/lines", compression="zstd")
+    lines = store(wide.drop("n", "bits", "prefix"), f"{at}/lines", compression="zstd")
     drop(docs.sparkSession, f"{at}/wide")
     return lines, classes
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b): classes that the filters don't keep apart, each pair at least once at its first common token."""
-    posts = classes.select("c", "n", "prefix", F.posexplode("prefix").alias("pos", "tok"))
-    posts = posts.select("tok", "c", "n", "pos", F.coalesce(F.get("prefix", F.col("pos") - 1), F.lit(-1).cast("long")).alias("before"))
+    posts = classes.select("c", "n", "bits", "prefix", F.posexplode("prefix").alias("pos", "tok"))
+    posts = posts.select("tok", "c", "n", "bits", "pos", F.coalesce(F.get("prefix", F.col("pos") - 1), F.lit(-1).cast("long")).alias("before"))
     a, b = posts.alias("a"), posts.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
     same = F.col("a.tok") == F.col("b.tok")
-    # The smaller set stands on the left.
-    order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c")))
-    lengths = F.col("a.n") * DEN >= F.col("b.n") * NUM
-    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    positions = rest >= needed(F.col("a.n"), F.col("b.n"))
+    # The smaller set stands on the left, where the tokens that a set of its own size has to share are few enough.
+    order = (n < m) | ((n == m) & (F.col("a.c") < F.col("b.c")))
+    short = F.col("a.pos") <= n - needed(n, n)
+    lengths = n * DEN >= m * NUM
+    need = needed(n, m)
+    positions = F.least(n - F.col("a.pos"), m - F.col("b.pos")) >= need
     first = (F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1)
-    met = a.join(b, same & order & lengths & positions & first).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-    signed = [classes.select(F.col("c").alias(x), *[F.col(k).alias(f"{x}_{k}") for k in ("n", "s0", "s1")]) for x in "ab"]
-    apart = F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) + F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
-    both = met.join(signed[0], "a").join(signed[1], "b")
-    return both.where(apart <= F.col("a_n") + F.col("b_n") - 2 * needed(F.col("a_n"), F.col("b_n"))).select("a", "b")
+    near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n + m - 2 * need
+    met = a.join(b, same & order & short & lengths & positions & first & near)
+    return met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
 
 
 def light(rows: DataFrame, size: Column) -> DataFrame:
