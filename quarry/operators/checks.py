@@ -49,8 +49,8 @@ def counted(rows: DataFrame, expected: int, what: str) -> DataFrame:
 def several_configs(rows: DataFrame, fields: list[str]) -> DataFrame:
     """The configurations of a ledger that was written under more than one."""
     configs = rows.select(*fields).distinct()
-    one = configs.agg(F.count("*").alias("n"))
-    return configs.crossJoin(F.broadcast(one)).where("n > 1").drop("n")
+    number = configs.agg(F.count("*").alias("_configs"))
+    return configs.crossJoin(F.broadcast(number)).where("_configs > 1").drop("_configs")
 
 
 def counted_twice(ledger: DataFrame, planned: DataFrame, keys: list[str], resume: bool) -> DataFrame:
