@@ -9,7 +9,7 @@ A token is a long: the rarity level of the word (1.5 log2 of how often its bucke
 end at 2**42 occurrences), then 57 bits of its hash, so that sorting puts rare words first and the order is the same
 everywhere. Lines with the same tokens are one class, represented by its first line. Classes meet by the tokens of their
 prefixes; pairs pass the length and the positional filter. A pair that also shares the token before is left to that one, so
-near copies aren't repeated for every token they share. Pairs whose 64-bit parities differ in more bits than matching sets
+near copies aren't repeated for every token they share. Pairs whose 128-bit parities differ in more bits than matching sets
 can differ in tokens go. What passes is verified on the words themselves, read again from the documents for the classes
 concerned alone.
 
@@ -83,9 +83,16 @@ def tokens(words: Column, level: Column) -> Column:
     return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), token))
 
 
-def parity(toks: str) -> Column:
-    """A 64-bit signature: of each bit, whether an odd number of tokens falls on it. Sets differ in as many tokens at least."""
-    return F.aggregate(toks, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+def parity(toks: str, half: bool) -> Column:
+    """A signature: of each of 64 bits, whether an odd number of tokens falls on it; with ``half`` only of the tokens whose
+    next bit is set. Together they tell 128 bits, in which sets differ at most as often as in tokens."""
+    one = F.lit(1).cast("long")
+
+    def flip(acc: Column, t: Column) -> Column:
+        bit = F.shiftrightunsigned(t, 6).bitwiseAND(one) if half else one
+        return acc.bitwiseXOR(F.call_function("shiftleft", bit, t.bitwiseAND(F.lit(63).cast("long")).cast("int")))
+
+    return F.aggregate(toks, F.lit(0).cast("long"), flip)
 
 
 def least_shared(n: Column) -> Column:
@@ -99,24 +106,24 @@ def needed(a: Column, b: Column) -> Column:
 
 
 def classes_of(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, classes), both stored: (doc_id, h, line, k1, k2) of each line with words; (c, k1, k2, first, lines, n, bits, prefix) of each token set."""
+    """(lines, classes), both stored: (doc_id, h, line, k1, k2) of each line with words; (c, k1, k2, first, lines, n, whole, half, prefix) of each token set."""
     rows = lines_of(docs).where(F.size("words") > 0).select("doc_id", "h", "line", tokens(F.col("words"), levels(docs)).alias("toks"))
     n = F.size("toks")
     prefix = F.slice("toks", F.lit(1), n - least_shared(n) + 1)
-    keyed = rows.select("doc_id", "h", "line", F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(1), "toks").alias("k2"), n.alias("n"), parity("toks").alias("bits"), prefix.alias("prefix"))
+    keyed = rows.select("doc_id", "h", "line", F.xxhash64("toks").alias("k1"), F.xxhash64(F.lit(1), "toks").alias("k2"), n.alias("n"), parity("toks", False).alias("whole"), parity("toks", True).alias("half"), prefix.alias("prefix"))
     wide = store(keyed, f"{at}/wide")
     place = F.struct("doc_id", "h", "line")
-    grouped = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
+    grouped = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "whole", "half", "prefix")])
     classes = store(grouped.withColumn("c", F.monotonically_increasing_id()), f"{at}/classes", compression="zstd")
-    lines = store(wide.drop("n", "bits", "prefix"), f"{at}/lines", compression="zstd")
+    lines = store(wide.drop("n", "whole", "half", "prefix"), f"{at}/lines", compression="zstd")
     drop(docs.sparkSession, f"{at}/wide")
     return lines, classes
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b): classes that the filters don't keep apart, each pair at least once at its first common token."""
-    posts = classes.select("c", "n", "bits", "prefix", F.posexplode("prefix").alias("pos", "tok"))
-    posts = posts.select("tok", "c", "n", "bits", "pos", F.coalesce(F.get("prefix", F.col("pos") - 1), F.lit(-1).cast("long")).alias("before"))
+    posts = classes.select("c", "n", "whole", "half", "prefix", F.posexplode("prefix").alias("pos", "tok"))
+    posts = posts.select("tok", "c", "n", "whole", "half", "pos", F.coalesce(F.get("prefix", F.col("pos") - 1), F.lit(-1).cast("long")).alias("before"))
     a, b = posts.alias("a"), posts.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
     same = F.col("a.tok") == F.col("b.tok")
@@ -127,7 +134,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     need = needed(n, m)
     positions = F.least(n - F.col("a.pos"), m - F.col("b.pos")) >= need
     first = (F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1)
-    near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n + m - 2 * need
+    whole, half = (F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}")) for x in ("whole", "half"))
+    near = F.bit_count(half) + F.bit_count(half.bitwiseXOR(whole)) <= n + m - 2 * need
     met = a.join(b, same & order & short & lengths & positions & first & near)
     return met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
 
@@ -139,7 +147,7 @@ def light(rows: DataFrame, size: Column) -> DataFrame:
 
 
 def word_sets(docs: DataFrame, places: DataFrame, at: str) -> DataFrame:
-    """(c, place, words): the words of the lines at ``places`` (c, first)."""
+    """(c, place, words): the words of the lines at ``places`` (c, first), more than once where a row is repeated."""
     wanted = places.groupBy(F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")).agg(F.collect_list(F.struct("first.line", "c")).alias("want"))
     wanted = light(store(wanted, f"{at}/wanted"), 64 + 32 * F.size("want"))
     own = docs.select("doc_id", text_key(F.col("text")).alias("h"), "text").alias("d")
@@ -149,7 +157,7 @@ def word_sets(docs: DataFrame, places: DataFrame, at: str) -> DataFrame:
     lines = F.transform("want", lambda w: F.struct(w.c.alias("c"), w.line.alias("line"), F.get("own", w.line).alias("text")))
     each = texts.select("doc_id", "h", F.size("own").alias("n"), lines.alias("lines")).select("doc_id", "h", "n", F.explode("lines").alias("w")).where("w.line < n")
     place = F.struct("doc_id", "h", F.col("w.line").alias("line"))
-    return each.select(F.col("w.c").alias("c"), place.alias("place"), F.array_distinct(_words(F.col("w.text"))).alias("words")).dropDuplicates(["c"])
+    return each.select(F.col("w.c").alias("c"), place.alias("place"), F.array_distinct(_words(F.col("w.text"))).alias("words"))
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -158,8 +166,9 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("c").alias("b"), F.col("place").alias("pb"), F.col("words").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
     true = both.where(F.col("shared") * DEN >= (F.size("wa") + F.size("wb") - F.col("shared")) * NUM)
-    ends = F.array(F.struct(F.col("a").alias("c"), (F.col("pb") < F.col("pa")).alias("late")), F.struct(F.col("b").alias("c"), (F.col("pa") < F.col("pb")).alias("late")))
-    return true.select(F.explode(ends).alias("x")).groupBy("x.c").agg(F.bool_or("x.late").alias("late"), F.count("*").alias("links"))
+    found = true.select("a", "b", (F.col("pb") < F.col("pa")).alias("a_late")).distinct()
+    ends = F.array(F.struct(F.col("a").alias("c"), F.col("a_late").alias("late")), F.struct(F.col("b").alias("c"), (~F.col("a_late")).alias("late")))
+    return found.select(F.explode(ends).alias("x")).groupBy("x.c").agg(F.bool_or("x.late").alias("late"), F.count("*").alias("links"))
 
 
 def matched(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
