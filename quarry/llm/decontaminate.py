@@ -9,7 +9,7 @@ of all its words. Work is done once for each distinct text, so groups of copies
 Items are broadcast while they have at most ``BROADCAST_ITEMS`` fingerprints, and joined by shuffle beyond.
 
 Cases: null and empty texts have no words and are clean; items without words occur nowhere; an item whose id is null marks
-words but is not named; repeated items count once; repeated rows are kept; empty tables give no rows, or clean ones;
+words but is not named; repeated items count once; long texts are read whole; repeated rows are kept; empty tables give no rows, or clean ones;
 other columns are ignored.
 """
 

@@ -10,7 +10,7 @@ reaches the driver is languages times ``DIM`` numbers, whatever the input.
 Letters are Unicode letters, lower-cased; other characters are word breaks, and runs of them count as one. Code points up
 to U+017F have a slot each, the rest share 128 hashed slots. Cases: null texts and texts without letters are ``und`` with
 score 0; rows with a null language don't train; without any training row all texts are ``und``; ties go to the first
-language by code point; repeated rows count each time; an empty table gives no rows; other columns are ignored.
+language by code point; long texts are read whole; repeated rows count each time; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ are joined to the counts table.
 
 Cases: null and empty texts are one end token; words never seen in training have count 0 and a tail class; without any
 training text the counts are 0 and the score is that of the untrained network; repeated rows are scored each; ties in the
-vocabulary go by word; an empty table gives no rows; other columns are ignored.
+vocabulary go by word; long texts are trained and scored whole, the state going on from window to window; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ The order is by a hash of the id. It is found without sorting a source: sizes ar
 only the range that holds the cut is ordered, so a source with a third of all rows costs no task more than its share.
 
 Cases: a null source is a source of its own, after all others; null or empty texts have size 0 and are taken or left like
-others; sources of size 0 have target 0; repeated rows fall on the same side of the cut; an empty table gives no rows.
+others; long texts are measured whole; ties in the order go by id; sources of size 0 have target 0; repeated rows fall on the same side of the cut; an empty table gives no rows.
 Columns beside ``doc_id``, ``text`` and ``source`` are left alone.
 """
 

@@ -11,7 +11,7 @@ A tile pair returns a spanning forest of its links instead of all pairs, which k
 link for each fingerprint. Components come from rounds of neighbour minima and pointer jumps over stored tables.
 
 Cases: null and empty texts have fingerprint zero and link like others; texts of fewer words than a shingle are one
-shingle; equal texts and repeated rows share a component; an empty table gives no rows; other columns are ignored.
+shingle; long texts are read whole; ties between bits give 0; equal texts and repeated rows share a component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
