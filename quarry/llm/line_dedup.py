@@ -179,6 +179,7 @@ def matched(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
     drop(spark)
     concerned = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     sets = store(word_sets(docs, classes.select("c", "first").join(concerned, "c"), at), f"{at}/sets", compression="zstd")
+    sets = light(sets, 64 + 24 * F.size("words"))  # else every pair carries two sets from task to task
     drop(spark)
     found = classes.select("c", "k1", "k2", "first", "lines").join(links(pairs, sets), "c", "left").where("lines > 1 or links > 0")
     status = found.select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
