@@ -132,7 +132,8 @@ def test_scores_of_repeated_rows_agree(docs, spark):
     model = lm_score.fit(own, vocabulary, 5)
     got = lm_score.score(own, vocabulary, counts, model).collect()
     assert len(got) == len(ROWS) and all(r.score < 0 for r in got)
-    assert len({(r.score, r.base_score) for r in got if r.doc_id == 8}) == 1
+    one, two = [r for r in got if r.doc_id == 8]
+    assert (one.score, one.base_score) == pytest.approx((two.score, two.base_score), rel=1e-5)  # single precision, by lanes
     assert lm_score.score(own.limit(0), vocabulary, counts, model).count() == 0
 
 
