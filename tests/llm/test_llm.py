@@ -159,7 +159,6 @@ def test_lm_base(docs, texts, spark):
 
 def test_lm_trains_over_every_text(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "SAMPLE", 2)
-    monkeypatch.setattr(lm_score, "SAMPLE_CHARS", 100)
     rng = np.random.default_rng(2)
     made = [*(" ".join(f"w{x}" for x in rng.integers(0, 200, 200)) for _ in range(10)), *("in every other text the same words come " * 50 for _ in range(40)), "a long one of its own " * 4000, None, ""]
     train = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
