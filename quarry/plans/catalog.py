@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import context, ledger, prompts, retrieval, scoring
+from ..operators import blocks, context, ledger, prompts, retrieval, scoring
 from ..sources.files import tables
 from ..streaming.ledger_stream import stream_latest
 from .registry import QUERIES, SQL, Query, query
@@ -67,8 +67,14 @@ qt AS ({terms}), r AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qi
 SELECT qid, id, round(CAST(score AS DOUBLE), 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {k}"""
 
 
+def ranked(spark, d, k: int, distinct: bool, fill: bool = False) -> DataFrame:
+    """The benchmark's passages as queries against all documents."""
+    index = blocks.build(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), tx.words)
+    return blocks.search(index, _asked(spark, d).select("qid", "tokens"), k, distinct, fill)
+
+
 def _bm25(k: int, distinct: bool, fill: bool = False) -> Query:
-    return lambda spark, d: retrieval.bm25(_corpus(spark, d), _asked(spark, d), k, distinct, fill).withColumn("score", F.round("score", 6))
+    return lambda spark, d: ranked(spark, d, k, distinct, fill).withColumn("score", F.round("score", 6))
 
 
 for _name, _args in {"bm25_top5_distinct": (5, True, False), "bm25_top25_repeat": (25, False, False), "bm25_top300_zero_fill": (300, False, True)}.items():
@@ -120,7 +126,7 @@ def chunk_fixed(spark, d):
 
 
 def _top(spark, d, k: int) -> DataFrame:
-    return retrieval.bm25(_corpus(spark, d), _asked(spark, d), k, False).join(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
+    return ranked(spark, d, k, False).join(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
 
 
 def _pack_sql(k: int, piece: str, cap: int) -> str:
@@ -146,7 +152,7 @@ def budget_pack_150k(spark, d):
 
 @query(f"WITH h AS ({_bm25_sql(5, True, False)}) SELECT qid, sha256(string_agg(text, chr(10) || chr(10) ORDER BY id)) AS sha FROM h JOIN documents ON doc_id = id GROUP BY qid")
 def source_order_packet(spark, d):
-    hits = retrieval.bm25(_corpus(spark, d), _asked(spark, d), 5, True).join(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
+    hits = ranked(spark, d, 5, True).join(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
     return context.joined(hits, "qid", "id", "text", "\n\n").select("qid", F.sha2("context", 256).alias("sha"))
 
 
@@ -200,7 +206,7 @@ def arm_fanout(spark, d):
 e AS (SELECT g.type, g.item_id, bool_or(contains(lower(d.text), gold)) AS hit FROM g JOIN h ON qid = item_id JOIN documents d ON d.doc_id = h.id GROUP BY ALL)
 SELECT type, count(*) FILTER (hit) AS hits, count(*) AS total FROM e GROUP BY GROUPING SETS ((type), ())""")
 def evidence_ceiling_by_type(spark, d):
-    hits = retrieval.bm25(_corpus(spark, d), _asked(spark, d), 5, True).join(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
+    hits = ranked(spark, d, 5, True).join(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id")
     gold = tables(spark, d, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") % 4).alias("type"), F.lower(F.substring("text", 1, 40)).alias("gold"))
     found = gold.join(hits, "qid").groupBy("type", "qid").agg(F.bool_or(F.lower("text").contains(F.col("gold"))).alias("hit"))
     return found.rollup("type").agg(F.count_if("hit").alias("hits"), F.count("*").alias("total"))

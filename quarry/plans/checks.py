@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import checks, prompts, retrieval, scoring
+from ..operators import checks, prompts, scoring
 from ..sources.files import tables
 from . import catalog
 from .registry import query
@@ -53,7 +53,7 @@ def _replay(k: int) -> str:
 @query(f"SELECT qid, 'ids' AS field FROM ({_replay(5)}) WHERE qid % 9 = 0")
 def check_ranking_replay(spark, d):
     """Rankings as recorded (every ninth turned round) against the ranking done again."""
-    hits = retrieval.bm25(catalog._corpus(spark, d), catalog._asked(spark, d), 5, True)
+    hits = catalog.ranked(spark, d, 5, True)
     again = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("x")).select("qid", F.transform("x", lambda r: r.id).alias("ids"))
     recorded = again.withColumn("ids", F.when(F.col("qid") % 9 == 0, F.concat(F.array(F.lit(-1).cast("long")), F.col("ids"))).otherwise(F.col("ids")))
     return checks.differing(recorded, again, ["qid"], ["ids"])

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a file that a row group may have: a table of fewer for each core can't keep all of them busy.
+PART_BYTES = 128 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``. Where that is unset a temporary folder will do on one machine; a
     cluster has none that its executors share, so that is an error."""
@@ -19,13 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
-def store(rows: DataFrame) -> DataFrame:
+def store(rows: DataFrame, **options: str) -> DataFrame:
     """``rows`` written to the shared folder and read again, for what is read several times."""
     path = shared_dir(rows.sparkSession)
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to all cores where their files are too small to be split among them; else as they are."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * PART_BYTES else rows
+
+
 def small(rows: DataFrame, most: int) -> bool:
     """Whether there are at most ``most`` rows; counts no further than that."""
     return rows.limit(most + 1).count() <= most
