@@ -20,13 +20,18 @@ def _letter(c: Column) -> Column:
     return F.when(first.rlike("^[ABCD]$"), first)
 
 
+def _last(mapping: Column, key: Column) -> Column:
+    """A key's value in a parsed object; of a key that is there several times, the last."""
+    return F.try_element_at(F.filter(F.map_entries(mapping), lambda e: e["key"] == key), F.lit(-1)).getField("value")
+
+
 def lenient(batches: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, qid, answer) for every question asked: the JSON mapping in the reply, or, if it has none that isn't empty,
-    lines such as ``q7: b``. Questions without a letter have a null answer."""
+    lines such as ``q7: b``. Of a repeated key the last value counts. Questions without a letter have a null answer."""
     mapping = F.from_json(tx.json_object(F.col("reply")), "map<string,string>")
     asked = batches.select(*keys, "reply", mapping.alias("m"), F.explode("qids").alias("qid"))
     line = F.call_function("regexp_extract", "reply", F.concat(F.lit(r"\Q"), "qid", F.lit(r"\E\s*[:=-]\s*([A-Da-d])\b")), F.lit(1))
-    given = F.when(F.coalesce(F.size("m"), F.lit(0)) > 0, F.try_element_at("m", F.col("qid"))).otherwise(line)
+    given = F.when(F.coalesce(F.size("m"), F.lit(0)) > 0, _last(F.col("m"), F.col("qid"))).otherwise(line)
     return asked.select(*keys, "qid", _letter(given).alias("answer"))
 
 
@@ -41,7 +46,7 @@ def strict(batches: DataFrame, keys: list[str]) -> DataFrame:
     every question's value to begin with A to D or be empty. Else ``error`` says what is wrong, and answers are null."""
     found = F.regexp_extract("reply", r"(?s)\{.*\}", 0)
     rows = batches.select(*keys, "qids", found.alias("found"), F.from_json(found, "map<string,string>").alias("m"))
-    letters = F.transform("qids", lambda q: F.upper(F.substring(F.trim(F.coalesce(F.try_element_at("m", q), F.lit("?"))), 1, 1)))
+    letters = F.transform("qids", lambda q: F.upper(F.substring(F.trim(F.coalesce(_last(F.col("m"), q), F.lit("?"))), 1, 1)))
     rows = rows.withColumn("letters", letters)
     error = F.when(F.col("found") == "", "no object").when(F.col("m").isNull(), "no JSON").when(F.exists("letters", lambda x: ~x.rlike("^[ABCD]?$")), "invalid")
     return rows.select(*keys, error.alias("error"), F.when(error.isNull(), F.map_from_arrays("qids", "letters")).alias("answers"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import store
+
 #: Marks that end the part of an answer that counts.
 ENDS = r"\.|<context>|<example>"
 
@@ -94,24 +100,66 @@ def letter_pick(c: Column) -> Column:
     return F.when(found == "", "?").otherwise(found)
 
 
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x of 1 and more, by Stirling's series eight places up."""
+    y, product = x + 8.0, x
+    for i in range(1, 8):
+        product = product * (x + float(i))
+    square = y * y
+    tail = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * square)) / square) / square) / y
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + tail - F.log(product)
+
+
 def mcnemar_p(b: Column, c: Column) -> Column:
-    """The exact two-sided p-value of ``b`` against ``c`` discordant pairs, by the recurrence of binomial terms."""
-    n, m = (b + c).cast("int"), F.least(b, c).cast("int")
-    first = F.struct(F.pow(F.lit(0.5), n).alias("t"), F.pow(F.lit(0.5), n).alias("s"))
-    add = F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")), first, lambda acc, i: F.struct((acc.t * (n - i + 1) / i).alias("t"), (acc.s + acc.t * (n - i + 1) / i).alias("s")))
-    return F.when(n == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), 2 * add.s), 6))
+    """The exact two-sided p-value of ``b`` against ``c`` discordant pairs.
+
+    The largest binomial term is found by its logarithm, the others by their ratio to the next. They shrink like a bell with the
+    root of n, so ten of its widths below the largest are more than a double can tell; no array grows with the counts."""
+    n, m = (b + c).cast("double"), F.least(b, c).cast("double")
+    largest = F.exp(log_gamma(n + 1) - log_gamma(m + 1) - log_gamma(n - m + 1) - n * math.log(2))
+    terms = F.least(m, F.ceil(5 * F.sqrt(n)) + 30).cast("int")
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def add(acc: Column, i: Column) -> Column:
+        t = acc.t * (m - i + 1) / (n - m + i)
+        return F.struct(t.alias("t"), (acc.s + t).alias("s"))
+
+    total = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")), start, add).s
+    return F.when(n == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), 2 * largest * total), 6))
+
+
+#: Distinct values of a key that are ordered in one window, and ranges that more of them are cut into.
+MOST_ORDERED, RANGES = 1_000_000, 64
 
 
 def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, median, upper): exact medians, and upper medians (the value at half the count, counted from 0).
 
-    Equal values are counted before they are ordered, so a key's window sees its distinct values alone."""
+    Equal values are counted before anything is ordered. While a key has more than ``MOST_ORDERED`` values its range is cut at
+    approximate quantiles of them, rows are counted by range, and only the ranges that the two middle rows are in go on,
+    so what a window orders is bounded however many values a key has."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
     own = Window.partitionBy(*keys)
-    upto = counts.withColumns({"upto": F.sum("c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(own)})
-
-    def at(place: Column) -> Column:
-        return F.min(F.when(F.col("upto") > place, F.col(value)))
 
-    lower, upper = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
-    return upto.groupBy(*keys).agg(F.first("n").alias("n"), ((lower + upper) / 2).alias("median"), upper.alias("upper"))
+    def ordered(left: DataFrame) -> DataFrame:
+        """(keys, n, median, upper) of values (keys, value, c, before, n), ``before`` rows of the key being smaller than all of them."""
+        upto = left.withColumn("upto", F.col("before") + F.sum("c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+        at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+        lower, upper = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
+        return upto.groupBy(*keys).agg(F.first("n").alias("n"), ((lower + upper) / 2).alias("median"), upper.alias("upper"))
+
+    same = lambda a, b: functools.reduce(operator.and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    counts = store(counts)
+    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("_values"), F.lit(0).cast("long").alias("before"))
+    left = counts.alias("x").join(sizes.alias("k"), same("x", "k")).select("x.*", "k.n", "k.before", "k._values")
+    while not left.where(F.col("_values") > MOST_ORDERED).isEmpty():
+        left = store(left)
+        points = left.where(F.col("_values") > MOST_ORDERED).groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)]).alias("_cuts"))
+        cut = left.alias("x").join(points.alias("p"), same("x", "p"), "left").select("x.*", F.size(F.filter(F.coalesce("p._cuts", F.array().cast(points.schema["_cuts"].dataType)), lambda c: c < F.col(f"x.{value}"))).alias("_range"))
+        ranges = cut.groupBy(*keys, "_range").agg(F.sum("c").alias("_rows"), F.count("*").alias("_here"), F.first("n").alias("n"), F.first("before").alias("_first"))
+        upto = F.col("_first") + F.sum("_rows").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+        ranges = ranges.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("_rows"))
+        middle = ranges.where((F.col("upto") > F.floor((F.col("n") - 1) / 2)) & (F.col("before") <= F.floor(F.col("n") / 2)))
+        middle = middle.groupBy(*keys).agg(F.min("_range").alias("_low"), F.max("_range").alias("_high"), F.min("before").alias("before"), F.sum("_here").alias("_values"))
+        left = cut.alias("x").join(middle.alias("m"), same("x", "m")).where(F.col("x._range").between(F.col("m._low"), F.col("m._high"))).select(*[f"x.{k}" for k in [*keys, value, "c", "n"]], "m.before", "m._values")
+    return ordered(left)

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from ..operators import answers, usage
 from ..sources.files import tables
+from ..sources.shared import spread, store
 from .registry import derived, derived_sql, query
 
 TYPES = ["FACT", "CURRENT", "EVOLUTION", "REASON", "RECOMMEND", "UNANSWER"]
 _Q = [f"concat('q', CAST(event_id % 400 * 5 + {j} AS STRING))" for j in range(5)]
 _L = [f"substr('ABCD', CAST((event_id % 13 + {j}) % 4 + 1 AS INT), 1)" for j in range(5)]
 _PAIRS = [f"""'"', {q}, '": "', {letter}, '"'""" for q, letter in zip(_Q, _L, strict=True)]
-#: Replies of six forms: an object among braces, one with a wrong and one with an empty value, lines, nothing, and a part.
-_REPLY = f"""CASE event_id % 6 WHEN 0 THEN concat('Sure {{so}}: {{', {", ', ', ".join(_PAIRS)}, '}} and {{more}}.')
+#: Replies of seven forms: an object among braces, one with a wrong and one with an empty value, lines, nothing, a part, and
+#: one in which a question's letter is given twice.
+_REPLY = f"""CASE event_id % 7 WHEN 0 THEN concat('Sure {{so}}: {{', {", ', ', ".join(_PAIRS)}, '}} and {{more}}.')
 WHEN 1 THEN concat('{{', {", ', ', ".join(_PAIRS[:4])}, ', "', {_Q[4]}, '": "none"}}') WHEN 2 THEN concat({_Q[0]}, ': ', lower({_L[0]}), chr(10), {_Q[1]}, ' - ', {_L[1]}, chr(10), {_Q[2]}, '=', {_L[2]})
-WHEN 3 THEN 'I cannot say.' WHEN 4 THEN concat('{{', {_PAIRS[0]}, '}}') ELSE concat('{{', {", ', ', ".join(_PAIRS[:4])}, ', "', {_Q[4]}, '": ""}}') END"""
+WHEN 3 THEN 'I cannot say.' WHEN 6 THEN concat('{{"', {_Q[0]}, '": "', {_L[1]}, '", ', {", ', ', ".join(_PAIRS[:3])}, ', "', {_Q[0]}, '": "', {_L[2]}, '"}}') WHEN 4 THEN concat('{{', {_PAIRS[0]}, '}}') ELSE concat('{{', {", ', ', ".join(_PAIRS[:4])}, ', "', {_Q[4]}, '": ""}}') END"""
 _LEDGER = {
     "arm": "CASE event_id % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'recipe' ELSE 'full' END", "batch": "event_id % 400", "attempt": "event_id", "ok": "event_type <> 'error'",
     "qids": f"array({', '.join(_Q)})", "reply": _REPLY, "input_tokens": "event_id % 700 + 100", "cache_read_tokens": "event_id % 50", "cache_write_tokens": "event_id % 7",
@@ -27,14 +29,14 @@ _LEDGER = {
 _B = derived_sql(_LEDGER).replace("array(", "list_value(")
 _OBJECT = r"list_filter(regexp_extract_all(reply, '\{[^{}]*\}'), lambda x: json_valid(x))[1]"
 _A = rf"""SELECT arm, batch, attempt, ok, qid, CASE WHEN upper(left(trim(v), 1)) IN ('A', 'B', 'C', 'D') THEN upper(left(trim(v), 1)) END AS answer FROM (SELECT *, CASE WHEN len(json_keys(obj)) > 0
-THEN json_extract_string(obj, '$.' || qid) ELSE regexp_extract(reply, qid || '\s*[:=-]\s*([A-Da-d])\b', 1) END AS v FROM (SELECT *, unnest(qids) AS qid, {_OBJECT} AS obj FROM ({_B})))"""
+THEN regexp_extract_all(obj, '"' || qid || '": "([^"]*)"', 1)[-1] ELSE regexp_extract(reply, qid || '\s*[:=-]\s*([A-Da-d])\b', 1) END AS v FROM (SELECT *, unnest(qids) AS qid, {_OBJECT} AS obj FROM ({_B})))"""
 _G = f"""SELECT 'q' || q AS qid, {TYPES!r}[q % 6 + 1] AS type, substr('ABCD', CAST(q % 4 + 1 AS INT), 1) AS gold FROM (SELECT DISTINCT unnest(range(event_id % 400 * 5, event_id % 400 * 5 + 5)) AS q FROM events)"""
 _U = f"SELECT arm, qid, arg_max(answer, attempt) AS answer, count(*) AS times FROM ({_A}) WHERE ok AND answer IS NOT NULL GROUP BY arm, qid"
 _GRADED = f"SELECT u.arm, u.qid, g.type, u.answer, u.answer = g.gold AS correct FROM ({_U}) u JOIN ({_G}) g USING (qid)"
 
 
 def batches(spark, d) -> DataFrame:
-    return derived(tables(spark, d, "events"), _LEDGER)
+    return spread(derived(tables(spark, d, "events"), _LEDGER))
 
 
 def gold(spark, d) -> DataFrame:
@@ -67,7 +69,7 @@ def answers_lenient_outcome(spark, d):
 
 
 _STRICT = rf"""SELECT *, CASE WHEN found = '' THEN 'no object' WHEN NOT json_valid(found) THEN 'no JSON' WHEN len(list_filter(letters, lambda x: NOT regexp_matches(x, '^[ABCD]?$'))) > 0 THEN 'invalid' END AS error
-FROM (SELECT *, CASE WHEN json_valid(found) THEN list_transform(qids, lambda q: upper(left(trim(coalesce(json_extract_string(found, '$.' || q), '?')), 1))) END AS letters FROM (SELECT *, regexp_extract(reply, '\{{.*\}}', 0, 's') AS found FROM ({_B})))"""
+FROM (SELECT *, CASE WHEN json_valid(found) THEN list_transform(qids, lambda q: upper(left(trim(coalesce(regexp_extract_all(found, '"' || q || '": "([^"]*)"', 1)[-1], '?')), 1))) END AS letters FROM (SELECT *, regexp_extract(reply, '\{{.*\}}', 0, 's') AS found FROM ({_B})))"""
 
 
 @query(f"SELECT attempt, error, CASE WHEN error IS NULL THEN array_to_string(letters, ',') END AS letters FROM ({_STRICT})")
@@ -165,12 +167,13 @@ SELECT arm, answered, correct, round(CAST(correct AS DOUBLE) / answered, 4) AS a
 output, total, round(CAST(total AS DOUBLE) / answered, 1) AS tokens_per_question, round(CAST(total AS DOUBLE) / correct, 1) AS tokens_per_correct, round(CAST(context_chars AS DOUBLE) / answered, 1) AS context_mean, retries, cost, latency
 FROM s JOIN u USING (arm) LEFT JOIN f USING (arm) LEFT JOIN p USING (arm)""")
 def arm_summary_batches(spark, d):
-    """A batch that a later attempt answered has not failed; means are over answered questions."""
-    b = batches(spark, d)
+    """A batch that a later attempt answered has not failed; means are over answered questions. Replies are parsed once."""
+    b, parsed = batches(spark, d), store(_answers(spark, d).where("ok"))
     failed = answers.failed_for_good(b, ["arm", "batch"]).groupBy("arm").agg(F.count("*").alias("failed_batches"))
-    part = answers.lenient_outcome(b.where("ok"), ["arm", "attempt"]).where("missing > 0").groupBy("arm").agg(F.count("*").alias("partial_batches"))
+    part = parsed.groupBy("arm", "attempt").agg(F.count_if(F.col("answer").isNull()).alias("missing")).where("missing > 0").groupBy("arm").agg(F.count("*").alias("partial_batches"))
     n = gold(spark, d).agg(F.count("*").alias("n"))
-    rows = _scores(spark, d).join(_spent(spark, d), "arm").join(failed, "arm", "left").join(part, "arm", "left").crossJoin(n).na.fill({"failed_batches": 0, "partial_batches": 0})
+    scores = answers.graded(answers.union_answers(parsed, ["arm"], "attempt"), gold(spark, d)).groupBy("arm").agg(F.count("*").alias("answered"), F.count_if("correct").alias("correct"))
+    rows = scores.join(_spent(spark, d), "arm").join(failed, "arm", "left").join(part, "arm", "left").crossJoin(n).na.fill({"failed_batches": 0, "partial_batches": 0})
 
     def each(x: str, per: str, digits: int):
         return F.round(F.col(x) / F.nullif(F.col(per), F.lit(0)), digits)
