@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import files, recorded, shared
+from ..sources import files, manifest, recorded, shared
 from ..sources.files import tables
 from .registry import derived, derived_sql, query
 
@@ -23,30 +23,38 @@ def file_jsonl(spark, d):
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY event_type")
 def file_replaced(spark, d):
-    """A table that was replaced by another: readers find the second."""
+    """A table that was replaced by another: readers find the second, and a replacement made from the first is refused."""
     at = f"{shared.shared_dir(spark)}/rows"
-    shared.replace(_events(spark, d), at)
-    shared.replace(_events(spark, d).where("event_id % 2 = 0"), at)
-    return files.jsonl(spark, at, "event_id long, event_type string").groupBy("event_type").agg(F.count("*").alias("n"))
+    manifest.replace(_events(spark, d), at)
+    first = manifest.version(at)
+    manifest.replace(_events(spark, d).where("event_id % 2 = 0"), at, made_from=first)
+    return manifest.read(spark, at).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type AS file, CAST(k - 1 AS INTEGER) AS position, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WHERE event_id < 900) WHERE k <= 5")
+@query("SELECT event_type AS file, CAST(k - 1 AS INTEGER) AS position, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)")
 def file_json_array(spark, d):
-    """The first five elements of the array in each of five files."""
+    """An array of all events of each type, a file each, written line by line."""
     at = f"{shared.shared_dir(spark)}/arrays"
-    rows = _events(spark, d).where("event_id < 900").groupBy("event_type").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id")))).alias("value"))
-    rows.repartition("event_type").write.partitionBy("event_type").text(at)
-    got = files.json_array(spark, f"{at}/*/*.txt", "struct<event_id: long>", first=5)
-    return got.select(F.regexp_extract("file", "event_type=([a-z_]+)", 1).alias("file"), "position", "event_id")
+    rows = _events(spark, d).select("event_type", "event_id", F.to_json(F.struct("event_id", "props")).alias("e"))
+    lead = F.when(F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) == 1, "[").otherwise(",")
+    ends = rows.groupBy("event_type").agg(F.max("event_id").alias("event_id")).select("event_type", "event_id", F.lit("]").alias("value"), F.lit(1).alias("last"))
+    text = rows.select("event_type", "event_id", F.concat(lead, "e").alias("value"), F.lit(0).alias("last")).unionByName(ends)
+    text.repartition("event_type").sortWithinPartitions("event_type", "event_id", "last").select("event_type", "value").write.partitionBy("event_type").text(at)
+    got = files.json_array(spark, at, "struct<event_id: long>")
+    return got.select(F.regexp_extract("file", "event_type=([a-z_]+)", 1).alias("file"), F.col("position").cast("int").alias("position"), "event_id")
 
 
-@query("SELECT CAST(doc_id AS INTEGER) AS idx, text FROM documents WHERE doc_id < 100")
+@query("SELECT CAST(doc_id AS INTEGER) AS idx, text FROM documents WHERE text IS NOT NULL")
 def file_json_map(spark, d):
-    """An arm's contexts as one JSON object."""
-    at = shared.shared_dir(spark)
-    rows = tables(spark, d, "documents").where("doc_id < 100").select(F.col("doc_id").cast("string").alias("k"), "text")
-    rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "text")))).alias("value")).coalesce(1).write.text(f"{at}/packet")
-    return files.arm_contexts(spark, at, "fast_packet", {"fast_packet": "packet"})
+    """An arm's contexts: JSON objects of texts by number, a file for each source of the documents."""
+    at = f"{shared.shared_dir(spark)}/packet"
+    rows = tables(spark, d, "documents").where("text is not null").select("source", F.col("doc_id").alias("k"), F.concat(F.to_json(F.array(F.col("doc_id").cast("string"))), F.lit(":"), F.to_json(F.array("text"))).alias("pair"))
+    lead = F.when(F.row_number().over(Window.partitionBy("source").orderBy("k")) == 1, "{").otherwise(",")
+    value = F.concat(lead, F.regexp_replace("pair", r"^\[(.*)\]:\[([\s\S]*)\]$", "$1:$2"))
+    ends = rows.groupBy("source").agg(F.max("k").alias("k")).select("source", "k", F.lit("}").alias("value"), F.lit(1).alias("last"))
+    text = rows.select("source", "k", value.alias("value"), F.lit(0).alias("last")).unionByName(ends)
+    text.repartition("source").sortWithinPartitions("source", "k", "last").select("source", "value").write.partitionBy("source").text(at)
+    return files.arm_contexts(spark, at.rsplit("/", 1)[0], "fast_packet", {"fast_packet": "packet"})
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY event_type")
@@ -59,15 +67,36 @@ def file_summary_json(spark, d):
     return files.json_document(spark, f"{at}/*/*.txt", "event_type string, n long, ids long")
 
 
-@query("SELECT concat(event_type, '_', user_id % 3, 'k_plain') AS file, count(*) AS n, count(*) FILTER (props LIKE '%1%') AS hits FROM events GROUP BY 1")
+@query("SELECT event_type AS task, concat(user_id % 3, 'k') AS length, 'plain_text' AS config, count(*) AS n, count(*) FILTER (props LIKE '%1%') AS hits FROM events GROUP BY 1, 2")
 def file_predictions(spark, d):
     """Predictions as CSV with a header, in files named by task, length and configuration."""
     at = f"{shared.shared_dir(spark)}/csv"
-    name = F.concat_ws("_", "event_type", F.concat((F.col("user_id") % 3).cast("string"), F.lit("k")), F.lit("plain"))
-    rows = _events(spark, d).select(F.col("props").alias("target"), F.lit("a, \"b\"").alias("output"), F.lit("q\nr").alias("question"), name.alias("name"))
-    rows.repartition("name").write.partitionBy("name").option("header", True).option("multiLine", True).option("escape", '"').csv(at)
-    got = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("target string, output string, question string, name string").csv(at)
-    return got.groupBy(F.col("name").alias("file")).agg(F.count("*").alias("n"), F.count_if(F.col("target").contains("1") & (F.col("question") == "q\nr")).alias("hits"))
+    name = F.concat_ws("_", F.replace("event_type", F.lit("_"), F.lit("-")), F.concat((F.col("user_id") % 3).cast("string"), F.lit("k")), F.lit("plain_text"))
+    rows = _events(spark, d).select(F.col("props").alias("target"), F.lit('a, "b"').alias("output"), F.lit("q\nr").alias("question"), name.alias("name"))
+    files.write_named(rows, at, "name", "csv", ".csv", header=True, multiLine=True, escape='"')
+    got = files.predictions(spark, at)
+    return got.groupBy(F.replace("task", F.lit("-"), F.lit("_")).alias("task"), "length", "config").agg(F.count("*").alias("n"), F.count_if(F.col("target").contains("1") & (F.col("question") == "q\nr")).alias("hits"))
+
+
+@query("SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn) || chr(10)) AS sha FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def file_whole_text(spark, d):
+    """Conversations as text files, each read as one text."""
+    at = f"{shared.shared_dir(spark)}/texts"
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text)
+    rows = tables(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_join(turns, "\n").alias("value"))
+    rows.write.partitionBy("conv_id").text(at)
+    return files.whole_text(spark, at).select(F.col("conv_id").cast("long").alias("conv_id"), F.sha2("value", 256).alias("sha"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, sha256(text) AS sha, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
+def file_packets(spark, d):
+    """A folder of packets and their manifest, loaded with its checks."""
+    at = f"{shared.shared_dir(spark)}/packets"
+    rows = tables(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("key"), F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("n"))
+    files.write_named(rows.withColumn("name", F.lit("packets")), at, "name", "json", ".jsonl")
+    found = files.file_hashes(spark, f"{at}/packets.jsonl").select(F.to_json(F.struct(F.lit("v1").alias("schema"), F.col("sha256").alias("packet_jsonl_sha256"))).alias("value"), F.lit("packet-manifest").alias("name"))
+    files.write_named(found, at, "name", "text", ".json")
+    return files.packets(spark, at, "key string, sha string, n long", rows, {"schema": "v1"})
 
 
 @query("SELECT user_id, count(*) FILTER (event_id % 9 > 2) AS events, count(*) FILTER (event_id % 9 = 0) AS invalid FROM events GROUP BY user_id")
@@ -75,8 +104,7 @@ def file_tolerant_lines(spark, d):
     at = f"{shared.shared_dir(spark)}/lines"
     line = F.expr("CASE event_id % 9 WHEN 0 THEN '{broken' WHEN 1 THEN '[1]' WHEN 2 THEN '7' ELSE props END")
     tables(spark, d, "events").select("user_id", line.alias("value")).repartition("user_id").write.partitionBy("user_id").text(at)
-    rows = spark.read.text(at)
-    return rows.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count_if(F.json_object_keys("value").isNotNull()).alias("events"), F.count_if(F.get_json_object("value", "$").isNull()).alias("invalid"))
+    return files.tolerant_lines(spark, at).select(F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long").alias("user_id"), "events", "invalid")
 
 
 @query("SELECT conv_id, turn, CAST(turn + 1 AS INTEGER) AS phrase_num, replace(text, chr(9), ' ') AS text, CASE WHEN role = 'user' THEN 'yes' END AS answer FROM conversations WHERE NOT contains(coalesce(text, ''), chr(10)) AND trim(text) <> ''")
@@ -87,7 +115,7 @@ def file_stories(spark, d):
     line = F.concat((F.col("turn") + 1).cast("string"), F.lit(" "), F.replace("text", F.lit("\t"), F.lit(" ")), F.when(F.col("role") == "user", F.lit("\tyes\t1 2")).otherwise(""))
     rows = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n").alias("value"))
     rows.repartition("conv_id").write.partitionBy("conv_id").text(at)
-    got = files.facts(spark, f"{at}/*/*.txt")
+    got = files.facts(spark, at)
     return got.select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), (F.col("phrase_num") - 1).cast("long").alias("turn"), "phrase_num", "text", "answer")
 
 
@@ -113,8 +141,6 @@ def hit_collection_missing(spark, d):
 @query("SELECT u.user_id, a IS NOT NULL AS ok, coalesce(a, l, 0)::BIGINT AS attempts, p AS payload FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, min(k) FILTER (event_type <> 'error') AS a, max(k) AS l, arg_min(props, k) FILTER (event_type <> 'error') AS p FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_id % 3 = 0) WHERE k <= 4 GROUP BY user_id) USING (user_id)")
 def recorded_search(spark, d):
     """A search for each user, answered by the first recorded try without an error, of four."""
-    from pyspark.sql import Window
-
     e = tables(spark, d, "events")
     tries = e.where("event_id % 3 = 0").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("attempt"), F.when(F.col("event_type") == "error", "failed").alias("error"), F.col("props").alias("payload"))
     return recorded.search(e.select("user_id").distinct(), tries, ["user_id"]).select("user_id", "ok", "attempts", "payload")
@@ -148,11 +174,12 @@ def artifact_packed(spark, d):
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def ledger_appended(spark, d):
-    """A ledger written in two goes."""
+    """A ledger written in two goes, the second of them twice under one name."""
     at = f"{shared.shared_dir(spark)}/ledger"
-    files.append_ledger(_events(spark, d).where("event_id % 2 = 0"), at)
-    files.append_ledger(_events(spark, d).where("event_id % 2 = 1"), at)
-    return files.jsonl(spark, at, "event_id long, user_id long, ts string").where("ts is not null").groupBy("user_id").agg(F.count("*").alias("n"))
+    files.append_ledger(_events(spark, d).where("event_id % 2 = 0"), at, "even")
+    for _ in range(2):
+        files.append_ledger(_events(spark, d).where("event_id % 2 = 1"), at, "odd")
+    return manifest.read(spark, at).where("ts is not null").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id AS key, sha256(string_agg(text, ' ' ORDER BY turn)) AS source_sha FROM conversations GROUP BY conv_id")

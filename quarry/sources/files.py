@@ -6,9 +6,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import checks
+from . import manifest, ranges
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +21,15 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str, element: str, first: int | None = None) -> DataFrame:
-    """A JSON array in each file, an element a row with its ``position``; file order is kept. With ``first`` the first so many
-    elements of each file, and an error where a file has fewer."""
-    kind = T.ArrayType(T._parse_datatype_string(element))
-    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("x"), F.input_file_name().alias("file"))
+    """The elements of the JSON array in each file, each a row with its ``position``; files are read in byte ranges. With
+    ``first`` the first so many elements of each file, and an error where a file has fewer."""
+    found = ranges.json_elements(spark, path)
     if first is not None:
-        enough = F.assert_true(F.size("x") >= first, F.concat(F.col("file"), F.lit(f" has fewer than {first} elements")))
-        rows = rows.select("file", F.when(enough.isNull(), F.slice("x", 1, first)).alias("x"))
-    return rows.select("file", F.posexplode("x").alias("position", "e")).select("file", "position", "e.*")
+        found = found.where(F.col("position") < first)
+        names = spark.createDataFrame([(f,) for f, _ in ranges.files(path)], "file string")
+        few = names.join(found.groupBy("file").agg(F.count("*").alias("n")), "file", "left").where(F.coalesce("n", F.lit(0)) < first)
+        checks.demand(few, f"fewer than {first} elements")
+    return found.select("file", "position", F.from_json("value", element).alias("e")).select("file", "position", "e.*")
 
 
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,9 +38,9 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of texts by integer key: (idx, text)."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.explode(F.from_json("value", "map<string,string>")).alias("idx", "text")).select(F.col("idx").cast("int"), "text")
+    """A JSON object of texts by integer key: (idx, text); files are read in byte ranges."""
+    pair = F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), "map<string,string>")
+    return ranges.json_elements(spark, path).select(F.explode(pair).alias("idx", "text")).select(F.col("idx").cast("int"), "text")
 
 
 def arm_contexts(spark: SparkSession, folder: str, arm: str, files: dict[str, str]) -> DataFrame:
@@ -50,8 +51,8 @@ def arm_contexts(spark: SparkSession, folder: str, arm: str, files: dict[str, st
 
 
 def tolerant_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, events, invalid): lines that are JSON objects, and lines that are no JSON; other values are neither."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    """(file, events, invalid) by file path: lines that are JSON objects, and lines that are no JSON; other values are neither."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     return rows.groupBy("file").agg(F.count_if(F.json_object_keys("value").isNotNull()).alias("events"), F.count_if(F.get_json_object("value", "$").isNull()).alias("invalid"))
 
 
@@ -89,21 +90,36 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files (target, output, question), named ``task_length_config.csv``, their parts as columns."""
+    """CSV files (target, output, question), named ``task_length_config.csv``, their parts as columns; fields may go over lines."""
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    rows = spark.read.option("header", True).schema("target string, output string, question string").csv(path)
+    rows = spark.read.options(header=True, multiLine=True, escape='"').schema("target string, output string, question string").csv(path)
     return rows.select("*", F.split(stem, "_", 3).alias("s")).select("target", "output", "question", F.get("s", F.lit(0)).alias("task"), F.get("s", F.lit(1)).alias("length"), F.get("s", F.lit(2)).alias("config"))
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    rows.withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssZ")).write.mode("append").json(path)
+def write_named(rows: DataFrame, path: str, name: str, kind: str, ending: str, **options) -> None:
+    """Writes a file for each value of the column ``name``, called by it."""
+    spark = rows.sparkSession
+    rows.repartition(name).write.partitionBy(name).options(**options).format(kind).save(f"{path}/_parts")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(where(f"{path}/_parts")):
+        own = folder.getPath().getName()
+        if "=" in own:
+            part = next(x.getPath() for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-"))
+            fs.rename(part, where(f"{path}/{own.split('=', 1)[1]}{ending}"))
+    fs.delete(where(f"{path}/_parts"), True)
 
 
-def facts(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered story lines with answers after tabs: (file, line, phrase_num, text, answer, refs, sample)."""
-    from pyspark.sql import Window
+def append_ledger(rows: DataFrame, path: str, name: str | None = None) -> None:
+    """Adds rows with the time to a ledger; under a name that was committed before, nothing."""
+    manifest.append(rows.withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssZ")), path, name)
+
 
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "raw")).where("raw <> ''")
-    parts = F.split(F.regexp_extract("raw", r"^(\d+) (.*)$", 2), "\t")
-    rows = lines.select("file", "line", F.regexp_extract("raw", r"^(\d+) ", 1).cast("int").alias("phrase_num"), F.trim(F.get(parts, F.lit(0))).alias("text"), F.get(parts, F.lit(1)).alias("answer"), F.split(F.get(parts, F.lit(2)), " ").cast("array<int>").alias("refs"))
-    return rows.withColumn("sample", F.sum((F.col("phrase_num") == 1).cast("int")).over(Window.partitionBy("file").orderBy("line")) - 1)
+def facts(spark: SparkSession, path: str) -> DataFrame:
+    """Numbered story lines with answers after tabs: (file, line, phrase_num, text, answer, refs, sample); a sample begins
+    with phrase 1. Large files are read by many tasks."""
+    found = ranges.lines(spark, path).where("value <> ''")
+    parts = F.split(F.regexp_extract("value", r"^(\d+) (.*)$", 2), "\t")
+    rows = found.select("file", "block", "line", F.regexp_extract("value", r"^(\d+) ", 1).cast("int").alias("phrase_num"), F.trim(F.get(parts, F.lit(0))).alias("text"), F.get(parts, F.lit(1)).alias("answer"), F.split(F.get(parts, F.lit(2)), " ").cast("array<int>").alias("refs"))
+    numbered = ranges.running(rows.withColumn("begins", (F.col("phrase_num") == 1).cast("int")), "begins", "sample")
+    return numbered.withColumn("sample", F.col("sample") - 1).drop("begins", "block")

@@ -42,17 +42,3 @@ def small(rows: DataFrame, most: int) -> bool:
     """Whether there are at most ``most`` rows; counts no further than that."""
     return rows.limit(most + 1).count() <= most
 
-
-def replace(rows: DataFrame, path: str, kind: str = "json", **options: str) -> None:
-    """Write ``rows`` beside ``path`` and put them in its place when they are complete: readers see the old table or the new."""
-    spark = rows.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    fresh, old = f"{path}.{uuid.uuid4().hex}.tmp", f"{path}.{uuid.uuid4().hex}.old"
-    rows.write.format(kind).options(**options).save(fresh)
-    where = jvm.org.apache.hadoop.fs.Path
-    fs = where(path).getFileSystem(conf)
-    if fs.exists(where(path)):
-        fs.rename(where(path), where(old))
-    if not fs.rename(where(fresh), where(path)):
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(where(old), True)
