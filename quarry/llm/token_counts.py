@@ -3,8 +3,9 @@
 A ``Ledger`` is a folder of committed batches. A batch is the signed sum of its changes by source, language and tokenizer
 version: an insert adds a document and its tokens, a delete takes them away, a revised count adds the difference. Totals
 are the sum over batches, so a batch costs what its changes cost and nothing is counted again; folding sums the batches
-there are into one table. A batch is written aside and counts from the moment it is given its name: committing it again
-changes nothing (other changes under its name are an error), and a batch that was broken off counts for nothing.
+there are into one table. A batch is written aside and counts from the moment the ledger's log names it: committing it again
+changes nothing (other changes under its name are an error), and a batch that was broken off counts for nothing. Commits and
+folds may run side by side: the log takes one of them at a time, and a fold only if it has summed all that is there.
 
 The query keeps the counts of ``documents`` through three batches: documents arrive with an estimate of their tokens (a
 quarter of their characters), the tokenizer revises every count, later exact copies of a text are deleted, and as documents
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -26,79 +28,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, store, table
+from ..sources import manifest
+from .common import ROW_GROUP, shared_dir, store, table
 
 KEYS = ["source", "lang", "tokenizer"]
 VERSION = "byte_bpe_50k/1"
+_BATCH = "batch "
 _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
 class Ledger:
-    """``path``/batches holds a table for each batch, ``path``/folds the sums of the batches whose names it lists."""
+    """``path``/data holds a table for each batch or fold, and the log beside it says which of them count."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self._at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, kind: str) -> list[str]:
-        root = self._at(f"{self.path}/{kind}")
-        if not self._fs.exists(root):
-            return []
-        return sorted(n for x in self._fs.listStatus(root) if not (n := x.getPath().getName()).startswith("_"))
-
-    def _put(self, fresh: str, kind: str, name: str) -> None:
-        """Gives a complete folder its name; of two writers the first does, and the other's stays without effect."""
-        self._fs.mkdirs(self._at(f"{self.path}/{kind}"))
-        target = self._at(f"{self.path}/{kind}/{name}")
-        if self._fs.exists(target) or not self._fs.rename(self._at(fresh), target):
-            self._fs.delete(self._at(fresh), True)
-
-    def _folded(self) -> tuple[str | None, list[str]]:
-        """The last fold and the names of its batches."""
-        folds = self._names("folds")
-        if not folds:
-            return None, []
-        at = f"{self.path}/folds/{folds[-1]}"
-        return at, [r.name for r in self.spark.read.schema("name string").parquet(f"{at}/names").collect()]
+        self.spark, self.path, self.log = spark, path, manifest.Log(path)
 
     def committed(self) -> list[str]:
         """Names of the batches that are done, folded ones included."""
-        return sorted({*self._names("batches"), *self._folded()[1]})
+        return sorted(n.removeprefix(_BATCH) for n in self.log.state().names if n.startswith(_BATCH))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add signed changes (source, lang, tokenizer, n_docs, n_tokens); False where the batch was there already, and an
         error where it was there with other changes (a folded batch isn't compared)."""
         summed = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        before = f"{self.path}/batches/{batch}"
-        if self._fs.exists(self._at(before)):
-            old = self.spark.read.schema(_SCHEMA).parquet(before)
-            if not summed.exceptAll(old).unionAll(old.exceptAll(summed)).isEmpty():
-                raise ValueError(f"batch {batch} was committed with other changes")
+        now = self.log.state()
+        if _BATCH + batch in now.names:
+            for before in [f for f in now.files if f.rpartition("-")[0] == batch]:
+                old = self._tables([before])
+                if not summed.exceptAll(old).unionAll(old.exceptAll(summed)).isEmpty():
+                    raise ValueError(f"batch {batch} was committed with other changes")
             return False
-        if batch in self.committed():
-            return False
-        fresh = f"{self.path}/_{uuid.uuid4().hex}"
-        summed.write.parquet(fresh)
-        self._put(fresh, "batches", batch)
-        return True
+        return self._put(summed, batch, _BATCH + batch)
 
     def fold(self) -> None:
-        """Sums all batches into one table, so that totals cost what came since; the batches go, their names stay."""
-        names, fresh = self.committed(), f"{self.path}/_{uuid.uuid4().hex}"
-        loose = self._names("batches")
-        self.totals().write.parquet(f"{fresh}/rows")
-        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{fresh}/names")
-        self._put(fresh, "folds", f"{len(self._names('folds')):08d}")
-        for n in loose:
-            self._fs.delete(self._at(f"{self.path}/batches/{n}"), True)
+        """Sums all batches into one table, so that totals cost what came since; their names stay. A batch that is
+        committed meanwhile isn't in the sums, so the log refuses them, and they are made again."""
+        while True:
+            now = self.log.state()
+            try:
+                self._put(self._sums(now.files), f"fold-{now.version}", f"fold {uuid.uuid4().hex}", now.version)
+                return
+            except manifest.Changed:
+                continue
 
     def totals(self) -> DataFrame:
-        fold, names = self._folded()
-        done = [f"{self.path}/batches/{n}" for n in self._names("batches") if n not in set(names)]
-        done += [f"{fold}/rows"] if fold else []
-        rows = self.spark.read.schema(_SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], _SCHEMA)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return self._sums(self.log.state().files)
+
+    def _put(self, rows: DataFrame, called: str, name: str, made_from: int | None = None) -> bool:
+        """Writes a table and has it count from one moment on; with ``made_from`` in the place of all others."""
+        table = f"{called}-{uuid.uuid4().hex}"
+        rows.write.option("parquet.block.size", str(ROW_GROUP)).parquet(f"{self.path}/data/{table}")
+        return self.log.commit(name, [table], json.dumps(_SCHEMA), made_from is not None, made_from)
+
+    def _tables(self, tables: list[str]) -> DataFrame:
+        return self.spark.read.schema(_SCHEMA).parquet(*[f"{self.path}/data/{t}" for t in tables]) if tables else self.spark.createDataFrame([], _SCHEMA)
+
+    def _sums(self, tables: list[str]) -> DataFrame:
+        return self._tables(tables).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def inserted(rows: DataFrame, tokens: str) -> DataFrame:

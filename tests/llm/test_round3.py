@@ -9,11 +9,36 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quarry.llm import quality, trie, whitening
+from quarry.llm import quality, token_counts, trie, whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# --- op1: a fold beside a commit
+
+
+def test_fold_beside_a_commit(spark, tmp_path, monkeypatch):
+    """A batch that comes while a fold is made counts once, whether it is delivered again or not."""
+    ledger, other = (token_counts.Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    rows = spark.createDataFrame([("a", "en", "v", 10)], "source string, lang string, tokenizer string, n long")
+    ledger.commit("1", token_counts.inserted(rows, "n"))
+    sums, between = ledger._sums, []
+
+    def slow(tables):
+        if not between:
+            between.append(other.commit("2", token_counts.inserted(rows, "n")))
+        return sums(tables)
+
+    monkeypatch.setattr(ledger, "_sums", slow)
+    ledger.fold()
+    assert between == [True] and not other.commit("2", token_counts.inserted(rows, "n"))
+    assert [(r.n_docs, r.n_tokens) for r in other.totals().collect()] == [(2, 20)]
+    assert other.committed() == ["1", "2"]
+    other.commit("3", token_counts.deleted(rows, "n"))
+    ledger.fold()
+    assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(1, 10)]
+
+
 # --- op12: prefix trie
 
 
@@ -225,6 +250,16 @@ def test_trees_without_labels_or_of_one_kind():
     assert (quality.fit(x, np.zeros(30, int)).score(x) < 0.5).all()
 
 
+def test_sample_is_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, *[i % 50 + j for j in range(len(quality.COUNTS))]) for i in range(400)], "doc_id long, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    labels = rows.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, falling: seen.append(len(y)))
+    for most in (1, 50, 400, 1000):
+        quality.learn(rows, labels, most)
+    assert seen[0] == 1 and seen[1] == 50 and seen[2:] == [400, 400]
+
+
 def test_quality_query(spark, tmp_path):
     rng = np.random.default_rng(8)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(400)]
