@@ -334,7 +334,7 @@ _NAMED = [f"CASE WHEN regexp_extract(m, '(?i){p}', 1) <> '' THEN CAST(regexp_ext
 
 
 @query(f"""SELECT event_id, failure, coalesce(named, CASE failure WHEN 'rate_limit' THEN 60.0 WHEN 'quota' THEN 300.0 END)::DOUBLE AS delay, named IS NULL AND failure IN ('rate_limit', 'quota') AS defaulted
-FROM (SELECT event_id, {_CLASS} AS failure, least(greatest(coalesce({_FIELD}, {", ".join(_NAMED)}), 0), 900.0)::DOUBLE AS named FROM (SELECT event_id, {_MESSAGE} AS m FROM events))""")
+FROM (SELECT event_id, {_CLASS} AS failure, CASE WHEN coalesce({_FIELD}, {", ".join(_NAMED)}) IS NOT NULL THEN least(greatest(coalesce({_FIELD}, {", ".join(_NAMED)}), 0), 900.0) END::DOUBLE AS named FROM (SELECT event_id, {_MESSAGE} AS m FROM events))""")
 def failure_class(spark, d):
     m = tables(spark, d, "events").select("event_id", F.expr(_MESSAGE).alias("m"))
     return m.select("event_id", tx.failure_class(F.col("m")).alias("failure"), tx.cooldown(F.col("m")).alias("c")).select("event_id", "failure", "c.*")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import trials
 from ..sources.files import tables
+from ..sources.shared import shared_dir
+from ..streaming import ledger_state
 from .registry import derived, derived_sql, query
 
 _TASK, _SIZE = "concat('qa', CAST(user_id % 20 + 1 AS STRING))", "CASE user_id % 3 WHEN 0 THEN '0k' WHEN 1 THEN '4k' ELSE '16k' END"
@@ -65,6 +67,19 @@ def ledger_reduced(spark, d):
     return trials.reduced(ledger(spark, d), ["reader", "key"]).select("reader", "key", "successes", "conflict", "failing", F.col("trial.line").alias("last"))
 
 
+_STREAMED = f"SELECT reader, key, count(*) FILTER ({_OK}) AS successes, least(count(*) FILTER (kind = 'failure'), 4) AS attempts, count(DISTINCT {_SAME}) FILTER ({_OK}) > 1 AS conflict, max(line) FILTER ({_OK}) AS last, arg_max(kind = 'failure', line) AS failing FROM ({_T}) WHERE ({_OK}) OR kind = 'failure' GROUP BY reader, key"
+
+
+@query(_STREAMED)
+def ledger_streamed(spark, d):
+    """The reducer as a stream: files of the ledger come two at a time, half of them after a restart."""
+    at, rows = shared_dir(spark), ledger(spark, d)
+    for half in (0, 1):
+        rows.where(F.pmod(F.xxhash64("line"), F.lit(2)) == half).repartition(4, "line").write.mode("append").parquet(f"{at}/ledger")
+        ledger_state.run(spark, f"{at}/ledger", rows.schema.simpleString()[7:-1].replace(":", " "), f"{at}/stream", F.lit("retry after 30 s"))
+    return ledger_state.current(spark, f"{at}/stream")
+
+
 @query(f"SELECT reader, count(*) FILTER (successes > 0) AS successful, count(*) FILTER (failing) AS failing, sum(greatest(successes - 1, 0))::BIGINT AS repeated, count(*) FILTER (conflict) AS conflicts FROM ({_REDUCED}) GROUP BY reader")
 def ledger_reader_summary(spark, d):
     return trials.reader_summary(ledger(spark, d))

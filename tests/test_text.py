@@ -55,3 +55,13 @@ def test_reduce_outcomes(spark):
     df = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 1, False), ("b", 2, True)], "k string, i int, ok boolean")
     got = {r["k"]: (r["done"], r["failed_last"]) for r in ledger.reduce_outcomes(df, "k", "i", F.col("ok")).collect()}
     assert got == {"a": (True, True), "b": (True, False)}
+
+
+def test_delays_named_and_by_default(spark):
+    said = ["retry after 5 s", "nothing", "429 too many requests", "quota is out", "quota, try again in 2 minutes", '{"retry_after": -3}', "wait for 99999 s", None]
+    rows = spark.createDataFrame([(m,) for m in said], "m string").select("m", tx.retry_seconds(F.col("m")).alias("named"), tx.cooldown(F.col("m")).alias("c")).collect()
+    got = {r.m: (r.named, r.c.delay, r.c.defaulted) for r in rows}
+    assert got == {
+        said[0]: (5.0, 5.0, False), said[1]: (None, None, False), said[2]: (None, 60.0, True), said[3]: (None, 300.0, True),
+        said[4]: (120.0, 120.0, False), said[5]: (0.0, 0.0, False), said[6]: (900.0, 900.0, False), None: (None, None, False),
+    }
