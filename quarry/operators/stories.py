@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import store
+from . import checks
 from .ledger import positions
 
 
@@ -45,14 +47,55 @@ def ring(texts: DataFrame, order: str, start: int) -> DataFrame:
     return positions(texts, order).crossJoin(F.broadcast(n)).withColumn("place", F.pmod(F.col("position") - start, F.col("n"))).drop("position", "n")
 
 
-def open_positions(sentences: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:
+def open_positions(sentences: DataFrame, keys: list[str], start: Column, end: Column, facts: Column | None = None) -> DataFrame:
     """Sentences (keys, position, length) before which facts may go: what stands before them is at least ``start`` and less
-    than ``end`` long."""
+    than ``end`` long, less the length of the ``facts``, so that these end within the range too."""
+    end = end if facts is None else end - facts
     before = F.sum("length").over(Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
     rows = sentences.withColumn("before", F.coalesce(before, F.lit(0)))
     return rows.where((F.col("before") >= start) & (F.col("before") < end))
 
 
+def demand_places(keys: DataFrame, places: DataFrame) -> None:
+    """An error where a key has no open place."""
+    checks.demand(keys.join(places, keys.columns, "left_anti"), "no place for the facts: make the range wider or the background longer")
+
+
+#: Tokens of a bucket of the corpus' positions.
+BUCKET_BITS = 12
+
+
+def corpus_index(sentences: DataFrame, order: list[str], tokens: str) -> DataFrame:
+    """``sentences`` as one long text: ``nth`` from 0 in ``order``, ``begins`` (tokens before it), and its ``bucket`` of
+    positions; stored. Sums run over ranges, and over the rows within each."""
+    spark = sentences.sparkSession
+    dealt = sentences.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranges = store(dealt.withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("c"), F.sum(tokens).alias("t"))  # a row for each range
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_range", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("_c"), F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("_t"))
+    own = Window.partitionBy("_range").orderBy(*order)
+    rows = ranges.join(F.broadcast(before), "_range").withColumn("nth", F.col("_c") + F.row_number().over(own) - 1)
+    rows = rows.withColumn("begins", F.col("_t") + F.sum(tokens).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col(tokens))
+    return store(rows.withColumn("bucket", F.shiftright("begins", BUCKET_BITS)).drop("_range", "_c", "_t"))
+
+
+def background(index: DataFrame, asked: DataFrame, tokens: str) -> DataFrame:
+    """(sample, lap, begins, .., used): for each sample (sample, nth, budget) the sentences from the nth on until the budget is full, the
+    last one cut to ``used`` tokens; the corpus is read in a circle. An error where there are no sentences."""
+    total = index.agg(F.sum(tokens).alias("total"), F.count("*").alias("c")).first()
+    if not total.total:
+        raise ValueError("there are no sentences to take a background from")
+    starts = asked.join(index.select("nth", F.col("begins").alias("lo")), "nth")
+    laps = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("lo") + F.col("budget") - 1) / total.total))).alias("lap")
+    parts = starts.where("budget > 0").select("sample", "lo", "budget", laps)
+    low, high = F.col("lo") - F.col("lap") * total.total, F.col("lo") + F.col("budget") - F.col("lap") * total.total
+    parts = parts.select("sample", "lap", F.greatest(low, F.lit(0)).alias("low"), F.least(high, F.lit(total.total)).alias("high"))
+    buckets = F.explode(F.sequence(F.shiftright("low", BUCKET_BITS), F.shiftright(F.col("high") - 1, BUCKET_BITS))).alias("bucket")
+    met = parts.select("*", buckets).join(index, "bucket").where("begins >= low and begins < high")
+    return met.withColumn("used", F.least(F.col(tokens), F.col("high") - F.col("begins"))).drop("bucket", "low", "high")
+
+
 def seeded_place(places: Column, *keys: Column) -> Column:
     """A place from 0 to ``places``, the same on every run: the first 28 bits of an MD5 of the keys, modulo."""
     digest = F.md5(F.concat_ws(":", *[k.cast("string") for k in keys]).cast("binary"))

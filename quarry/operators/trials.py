@@ -52,9 +52,30 @@ def reader_summary(trials: DataFrame) -> DataFrame:
     return reduced(trials, ["reader", "key"]).groupBy("reader").agg(*sums)
 
 
+def ascii_json(text: Column) -> Column:
+    """JSON text with everything beyond ASCII as escapes of UTF-16 units."""
+
+    def unit(units: Column, i: Column) -> Column:
+        u = F.substring(units, i * 4 + 1, F.lit(4))
+        return F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+
+    def escaped(units: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(units) / 4).cast("int") - 1), lambda i: unit(units, i)), "")
+
+    # Arrays of one element bind the text and its units to names, so that neither is made again for each unit.
+    once = F.transform(F.array(text), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.get(F.transform(F.array(F.hex(F.encode(t, "UTF-16BE"))), escaped), F.lit(0))).otherwise(t))
+    return F.get(once, F.lit(0))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON text in one form: names of all objects, nested ones too, in order, no spaces, ASCII alone. A variant keeps an
+    object's fields sorted by name, so going through it puts them in order at any depth."""
+    return ascii_json(F.to_json(F.parse_json(text)))
+
+
 def canonical(columns: list[str]) -> Column:
-    """A row as JSON without spaces, names in order, nulls written."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    """A row as canonical JSON, nulls written."""
+    return canonical_json(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
 
 
 def merged(*ledgers: DataFrame) -> DataFrame:

@@ -95,6 +95,16 @@ def ledger_merged(spark, d):
     return trials.merged(rows.where("line % 3 < 2"), rows.where("line % 3 > 0")).select("line", "row")
 
 
+@query("""SELECT event_id // 2 AS n, '{"a":' || event_id // 2 || ',"b":{"x":"caf\\u00e9 \\ud83d\\ude00","y":[1,{"p":null,"q":"z"}]}}' AS row FROM events GROUP BY event_id // 2""")
+def ledger_canonical(spark, d):
+    """Nested objects with their names in either order are one row."""
+    n = F.floor(F.col("event_id") / 2).cast("long")
+    one = F.concat(F.lit('{"b": {"y": [1, {"q": "z", "p": null}], "x": "café 😀"}, "a": '), n, F.lit("}"))
+    other = F.concat(F.lit('{"a":'), n, F.lit(', "b": {"x": "caf\\u00E9 😀", "y": [1, {"p": null, "q": "z"}]}}'))
+    rows = tables(spark, d, "events").select(n.alias("n"), F.when(F.col("event_id") % 2 == 0, one).otherwise(other).alias("text"))
+    return rows.select("n", trials.canonical_json(F.col("text")).alias("row")).distinct()
+
+
 @query(f"SELECT ts, key, kind FROM (SELECT DISTINCT ts, key, kind FROM ({_T})) ORDER BY coalesce(ts, ''), coalesce(key, ''), coalesce(kind, '') LIMIT 50")
 def ledger_head(spark, d):
     """The first 50 records in a ledger's order."""

@@ -74,6 +74,23 @@ def _draw(places: str, *keys: str) -> str:
     return f"CAST('0x' || left(md5(concat_ws(':', {', '.join(keys)})), 7) AS BIGINT) % ({places} + 1)"
 
 
+@query(f"""WITH s AS (SELECT doc_id, position, s, len(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+')) AS n FROM ({_SENTENCES}) WHERE n BETWEEN 10 AND 25),
+o AS (SELECT *, row_number() OVER w - 1 AS nth, sum(n) OVER w - n AS begins FROM s WINDOW w AS (ORDER BY doc_id, position)), t AS (SELECT count(*) AS c, sum(n) AS total FROM s),
+q AS (SELECT item_id AS sample, 30 + item_id % 50 * 200 AS budget, {_draw('c - 1', 'item_id')} AS nth FROM benchmark, t), a AS (SELECT q.*, o.begins AS lo FROM q JOIN o USING (nth)),
+l AS (SELECT *, unnest(range(0, CAST((lo + budget - 1) // (SELECT total FROM t) + 1 AS BIGINT))) AS lap FROM a)
+SELECT sample, count(*) AS sentences, CAST(sum(least(n, lo + budget - lap * total - begins)) AS BIGINT) AS tokens, sha256(string_agg(s, ' ' ORDER BY lap, begins)) AS sha
+FROM l JOIN t ON true JOIN o ON begins + lap * total >= lo AND begins + lap * total < lo + budget GROUP BY sample""")
+def background_budget(spark, d):
+    """Background of so many tokens for each passage, from a seeded sentence of the corpus on."""
+    rows = _sentences(spark, d).withColumn("n", F.size(tx.word_tokens(F.col("s"))).cast("long")).where("n between 10 and 25")
+    index = stories.corpus_index(rows, ["doc_id", "position"], "n")
+    items = tables(spark, d, "benchmark").select(F.col("item_id").alias("sample"), (30 + F.col("item_id") % 50 * 200).alias("budget"))
+    asked = items.withColumn("nth", stories.seeded_place(F.lit(index.count() - 1), F.col("sample")))
+    got = stories.background(index, asked, "n")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("lap", "begins", "s"))), lambda x: x.s)
+    return got.groupBy("sample").agg(F.count("*").alias("sentences"), F.sum("used").alias("tokens"), F.sha2(F.array_join(texts, " "), 256).alias("sha"))
+
+
 @query(f"""WITH b AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
 f AS (SELECT conv_id, turn, text, s, {_draw('len(s)', 'conv_id', 'turn')} AS drawn FROM conversations JOIN b ON doc_id = conv_id),
 p AS (SELECT a.conv_id, z.drawn AS place, 0 AS kind, a.k AS nth, a.text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM f) a JOIN (SELECT conv_id, drawn, row_number() OVER (PARTITION BY conv_id ORDER BY drawn, turn) AS k FROM f) z USING (conv_id, k)),
