@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,44 +76,94 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank) by cosine, ties by id; ``vectors`` is (id, vector), ``queries`` (qid, query), a query not being
     its own hit.
 
-    Queries go to the tasks in blocks of ``QUERY_BYTES``; each task multiplies its vectors with a block and keeps the k best
-    of each query, so what is shuffled is k rows a query and task."""
-    spark = vectors.sparkSession
+    Queries go to the tasks in blocks of ``QUERY_BYTES``, one block after the other; each task multiplies tiles of its vectors
+    and of the block, and keeps the k best of each query, so what is shuffled is k rows a query and task."""
     asked = store(queries.select(F.col("qid").cast("long").alias("qid"), F.col("query").cast("array<float>").alias("query")))
+    found = in_blocks(asked, lambda shared: vectors.select("id", "vector").mapInArrow(_nearest(shared, k), FOUND))
+    return _ranked(found, k)
+
+
+#: Vectors and queries that are multiplied at once.
+TILE = 1024
+FOUND = "qid long, id long, score double"
+
+
+def in_blocks(asked: DataFrame, search: Callable[[Broadcast], DataFrame], columns: tuple[str, ...] = ()) -> DataFrame:
+    """What ``search`` finds for all of ``asked`` (qid, query and ``columns``, stored), sent out in blocks of ``QUERY_BYTES``. A
+    block's rows are stored before the next goes out, so that there is one broadcast at a time."""
+    sc = asked.sparkSession.sparkContext
     shape = asked.agg(F.count("*").alias("n"), F.max(F.size("query")).alias("dim")).first()
     blocks = max(1, -(-shape.n * (shape.dim or 1) * 8 // QUERY_BYTES))
     out = None
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
-        found = vectors.select("id", "vector").mapInArrow(_nearest(spark.sparkContext.broadcast(_unit(own["qid"], own["query"])), k), "qid long, id long, score double")
+        shared = sc.broadcast((*unit(own["qid"], own["query"]), *(own[c].to_pylist() for c in columns)))
+        found = search(shared)
+        if blocks > 1:
+            found = store(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return out
 
 
-def _unit(ids: pa.Array, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def unit(ids: pa.Array, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids, and the vectors as rows of length 1."""
     if not len(ids):
         return np.empty(0, np.int64), np.empty((0, 0))
-    x = np.stack([np.asarray(v, np.float64) for v in rows.to_pylist()])
+    rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
     return np.asarray(ids.to_numpy(), np.int64), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+class Nearest:
+    """The k nearest ids of each of a block's queries so far."""
+
+    def __init__(self, qids: np.ndarray, asked: np.ndarray, k: int):
+        self.qids, self.asked, self.k = qids, asked, k
+        self.least = np.full(len(qids), -np.inf)
+        self.best = [(np.empty(0), np.empty(0, np.int64))] * len(qids)
+
+    def offer(self, ids: np.ndarray, x: np.ndarray, wanted: np.ndarray | None = None) -> None:
+        """Compares vectors with all queries, or with those of the numbers ``wanted``."""
+        for i in range(0, len(ids), TILE):
+            some, of = x[i : i + TILE], ids[i : i + TILE]
+            for j in range(0, len(self.qids) if wanted is None else len(wanted), TILE):
+                own = np.arange(j, min(j + TILE, len(self.qids))) if wanted is None else wanted[j : j + TILE]
+                scores = np.round(self.asked[own] @ some.T, 6)
+                scores[self.qids[own][:, None] == of] = -np.inf
+                better = scores >= self.least[own][:, None]
+                for row in np.flatnonzero(better.any(axis=1)):
+                    at = np.flatnonzero(better[row] & (scores[row] > -np.inf))
+                    self._keep(own[row], scores[row][at], of[at])
+
+    def _keep(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        if len(scores) > self.k:  # ties with the last stay
+            at = np.flatnonzero(scores >= np.partition(scores, -self.k)[-self.k])
+            scores, ids = scores[at], ids[at]
+        scores, ids = np.concatenate((self.best[q][0], scores)), np.concatenate((self.best[q][1], ids))
+        first = np.lexsort((ids, -scores))[: self.k]
+        self.best[q] = scores[first], ids[first]
+        if len(first) == self.k:
+            self.least[q] = scores[first[-1]]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for qid, (score, of) in zip(self.qids, self.best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), qid), pa.int64()), pa.array(of, pa.int64()), pa.array(score, pa.float64())], names=["qid", "id", "score"])
+
+
 def _nearest(shared: Broadcast, k: int):
     """The k best of a task's vectors for each query of a block."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, asked = shared.value
-        best = [(np.empty(0), np.empty(0, np.int64))] * len(qids)
+        near = Nearest(*shared.value, k)
         for batch in batches:
-            for i in range(0, batch.num_rows if len(qids) else 0, 2048):
-                ids, x = _unit(batch.column(0).slice(i, 2048), batch.column(1).slice(i, 2048))
-                scores = np.round(asked @ x.T, 6)
-                for q, row in enumerate(scores):
-                    every, of = np.concatenate((best[q][0], row[ids != qids[q]])), np.concatenate((best[q][1], ids[ids != qids[q]]))
-                    first = np.lexsort((of, -every))[:k]
-                    best[q] = every[first], of[first]
-        for q, (score, of) in enumerate(best):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), qids[q]), pa.int64()), pa.array(of, pa.int64()), pa.array(score, pa.float64())], names=["qid", "id", "score"])
+            for i in range(0, batch.num_rows if len(near.qids) else 0, TILE):
+                near.offer(*unit(batch.column(0).slice(i, TILE), batch.column(1).slice(i, TILE)))
+        yield from near.rows()
 
     return each
 

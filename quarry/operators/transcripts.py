@@ -108,20 +108,64 @@ def step_texts(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.where(F.col("delta").isNotNull()).groupBy(*keys, "step").agg(F.array_join(deltas, "").alias("text"))
 
 
-def order_contract(events: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, broken): which rules a session breaks; ``events`` is (keys, position, kind, turns).
-
-    Exactly two results, of one and two turns; a checkpoint after the first result; a graded answer between it and the last."""
-    rows = events.groupBy(*keys).agg(
-        F.count_if(F.col("kind") == "result").alias("results"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "result", F.struct("position", "turns")))), lambda x: x.turns).alias("turns"),
-        F.min(F.when(F.col("kind") == "result", F.col("position"))).alias("first"), F.max(F.when(F.col("kind") == "result", F.col("position"))).alias("last"),
-        F.min(F.when(F.col("kind") == "checkpoint", F.col("position"))).alias("checkpoint"), F.max(F.when(F.col("kind") == "graded", F.col("position"))).alias("graded"),
-    )
+def text_value(event: Column, path: str) -> Column:
+    """The text at a path: itself, or the text, response or content of the object there."""
+    return F.coalesce(*[F.get_json_object(event, f"{path}.{k}") for k in ("text", "response", "content")], F.get_json_object(event, path))
+
+
+def graded_steps(events: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, position, text): events with usage that are neither tools nor checkpoints, with what their step has said so far.
+
+    A step's text deltas add up; a text given whole takes their place. One step's events are one answer, so they make a row."""
+    e = F.col("event")
+    step = F.coalesce(F.get_json_object(e, "$.step_update.step_index"), F.concat(F.lit("at "), F.col("position").cast("string")))
+    direct = F.coalesce(*[text_value(e, f"$.step_update.{k}") for k in ("response", "text", "content")])
+    usable = F.coalesce(F.get_json_object(e, "$.step_update.usage").startswith("{"), F.lit(False)) & ~is_checkpoint_event(e) & ~is_tool_event(e)
+    said = events.select(*keys, step.alias("step"), F.struct("position", F.get_json_object(e, "$.step_update.text_delta").alias("delta"), direct.alias("direct"), usable.alias("usable")).alias("s"))
+    said = said.where("s.delta is not null or s.direct is not null or s.usable").groupBy(*keys, "step").agg(F.array_sort(F.collect_list("s")).alias("all"))
+    found = "array<struct<position: bigint, text: string>>"
+    start = F.struct(F.lit(None).cast("string").alias("text"), F.array().cast(found).alias("found"))
+
+    def add(acc: Column, s: Column) -> Column:
+        text = F.when(s.delta.isNotNull(), F.concat(F.coalesce(acc.text, F.lit("")), s.delta)).otherwise(F.coalesce(s.direct, acc.text))
+        more = F.array(F.struct(s.position.cast("long").alias("position"), text.alias("text")))
+        return F.struct(text.alias("text"), F.when(s.usable & text.isNotNull(), F.concat(acc.found, more)).otherwise(acc.found).alias("found"))
+
+    return said.select(*keys, F.explode(F.aggregate("all", start, add).found).alias("f")).select(*keys, "f.*")
+
+
+def order_contract(events: DataFrame, keys: list[str], messages: list[str], acknowledged: str) -> DataFrame:
+    """(keys, broken): the rules that a session of two turns breaks, the first being the one to report; ``events`` is (keys,
+    position, event as JSON), ``messages`` what was sent, ``acknowledged`` what the first is to be answered.
+
+    All a rule needs of a session are counts, and first and last events of a kind. These are put together from parts
+    of it, so a long session is summed where its events are, in many tasks, before its parts meet."""
+    e = F.col("event")
+    kind = lambda k: F.coalesce(F.get_json_object(e, "$.event") == k, F.lit(False))
+    result = kind("result") & F.coalesce(F.get_json_object(e, "$.result").startswith("{"), F.lit(False))
+    echo = F.when(kind("user") | F.coalesce(F.get_json_object(e, "$.type") == "user", F.lit(False)), F.coalesce(text_value(e, "$.message"), text_value(e, "$.content")))
+    admitted = F.coalesce(F.get_json_object(e, "$.step_update.step_type") == "user_input", F.lit(False))
+    outcome = F.when(result, F.struct("position", F.get_json_object(e, "$.result.num_turns").alias("turns"), F.coalesce(text_value(e, "$.result.response"), F.lit("")).alias("response")))
+    said, marked = F.when(echo.isNotNull(), F.struct("position", echo.alias("text"))), F.when(is_checkpoint_event(e), F.col("position"))
+    told = events.select(*keys, outcome.alias("outcome"), said.alias("said"), F.when(admitted, F.col("position")).alias("entry"), marked.alias("marked"))
+    whole = told.groupBy(*keys).agg(
+        F.count("outcome").alias("results"), F.min("outcome").alias("first"), F.max("outcome").alias("last"),
+        F.count("said").alias("echoes"), F.min("said").alias("asked"), F.max("said").alias("graded"),
+        F.count("entry").alias("admitted"), F.max("entry").alias("boundary"), F.max("marked").alias("checkpoint"),
+    )
+    steps = graded_steps(events, keys).join(whole.select(*keys, "last"), keys).where((F.col("text") == F.col("last.response")) & (F.col("text") != ""))
+    rows = whole.join(steps.groupBy(*keys).agg(F.max("position").alias("answer")), keys, "left")
     rules = {
-        "two results": F.col("results") == 2, "turns": F.col("turns") == F.array(F.lit(1).cast("long"), F.lit(2).cast("long")), "checkpoint after first": F.col("checkpoint") > F.col("first"),
-        "graded after checkpoint": F.col("graded") > F.col("checkpoint"), "graded before last": F.col("graded") < F.col("last"),
-    }
+        "missing result": F.col("results") > 0,
+        "two results": F.col("results") == 2,
+        "turns": (F.col("results") == 2) & (F.col("first.turns") == "1") & (F.col("last.turns") == "2"),
+        "user turns": (F.col("echoes") == 0) | ((F.col("echoes") == 2) & (F.col("asked.text") == messages[0]) & (F.col("graded.text") == messages[1])),
+        "admitted turns": F.col("admitted") == 2,
+        "acknowledgement": (F.col("first.position") < F.col("boundary")) & (F.trim(F.regexp_replace("first.response", r"\s+$|^\s+", "")) == acknowledged),
+        "checkpoint": F.col("checkpoint") < F.col("boundary"),
+        "graded response": F.col("answer").isNotNull(),
+        "graded in order": (F.col("answer") > F.col("checkpoint")) & (F.col("answer") < F.col("last.position")),
+    }
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
     return rows.select(*keys, broken.alias("broken"))
 

@@ -18,8 +18,8 @@ def _draw(n, *keys: str) -> str:
 
 
 def _personas(spark, d) -> DataFrame:
-    """A persona for each customer of the first 40."""
-    return tables(spark, d, "customer").where("c_custkey < 40").select(F.col("c_name").alias("persona"), F.col("c_custkey").cast("int").alias("number"))
+    """A persona for each customer."""
+    return tables(spark, d, "customer").select(F.col("c_name").alias("persona"), F.col("c_custkey").cast("int").alias("number"))
 
 
 def _slots(spark, d) -> DataFrame:
@@ -32,7 +32,7 @@ def _fillers(spark, d) -> DataFrame:
     return tables(spark, d, "region").select(F.lower("r_name").alias("filler"))
 
 
-_V = f"""WITH c AS (SELECT c_name AS persona, c_custkey AS number, lower(n_name) AS kind, n_nationkey AS slot, row_number() OVER (PARTITION BY c_name ORDER BY {_draw(1 << 28, "'slot'", "c_name", "lower(n_name)")}, lower(n_name)) - 1 AS place FROM customer CROSS JOIN nation WHERE c_custkey < 40),
+_V = f"""WITH c AS (SELECT c_name AS persona, c_custkey AS number, lower(n_name) AS kind, n_nationkey AS slot, row_number() OVER (PARTITION BY c_name ORDER BY {_draw(1 << 28, "'slot'", "c_name", "lower(n_name)")}, lower(n_name)) - 1 AS place FROM customer CROSS JOIN nation),
 r AS (SELECT *, {_draw(6, "'value'", "persona", "kind")} AS first, unnest(range(0, CASE WHEN place < 12 THEN 1 WHEN {_draw(10, "'three'", "persona", "kind")} < 4 THEN 3 ELSE 2 END)) AS version FROM c WHERE place < 22),
 v AS (SELECT persona, number, kind, slot, place, version, 'value ' || slot || '/' || (first + version) % 6 AS value, CASE WHEN version = 0 THEN place % 5 WHEN place % 5 = 4 THEN 4 + version ELSE 5 + (place + version - 1) % 5 END AS session FROM r)"""
 
@@ -49,7 +49,7 @@ def corpus_versions(spark, d):
 
 @query(f"""{_V}, t AS (SELECT *, lag(value) OVER (PARTITION BY persona, kind ORDER BY version) AS before, CAST(DATE '{START}' + CAST(session * 9 + number AS INTEGER) AS DATE) AS date FROM v),
 f AS (SELECT lower(r_name) AS filler, row_number() OVER (ORDER BY lower(r_name)) - 1 AS f FROM region), n AS (SELECT c_name AS persona, session, CAST(DATE '{START}' + CAST(session * 9 + c_custkey AS INTEGER) AS DATE) AS date, {_draw("(SELECT count(*) FROM region)", "'filler'", "c_name", "session", "nth")} AS f
-FROM customer, range(0, 10) s(session), range(1, 5) x(nth) WHERE c_custkey < 40)
+FROM customer, range(0, 10) s(session), range(1, 5) x(nth))
 SELECT persona, CAST(session AS INTEGER) AS session, date, kind, '[' || date || '] ' || persona || ', session ' || session || ': My ' || kind || CASE WHEN version = 0 THEN ' is ' || value ELSE ' is no longer ' || before || ', I moved to ' || value END || '.' AS text FROM t
 UNION ALL SELECT persona, CAST(session AS INTEGER), date, NULL, '[' || date || '] ' || persona || ', session ' || session || ': Besides, ' || filler || '.' FROM n JOIN f USING (f)""")
 def corpus_statements(spark, d):

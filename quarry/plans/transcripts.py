@@ -89,20 +89,40 @@ def step_texts(spark, d):
     return ts.step_texts(rows, ["user_id"])
 
 
-_SESSION = """SELECT event_id // 5 AS session, event_id % 5 AS position, CASE WHEN event_id % 5 = 0 THEN 'result' WHEN event_id % 5 = 4 AND (event_id // 5) % 7 > 0 THEN 'result' WHEN event_id % 5 = 1 THEN 'checkpoint' WHEN event_id % 5 = 2 + (event_id // 5) % 2 THEN 'graded' ELSE event_type END AS kind,
-CASE WHEN event_id % 5 = 0 THEN 1 WHEN event_id % 5 = 4 AND (event_id // 5) % 11 > 0 THEN 2 END AS turns FROM events"""
+#: Sessions of twelve events; nine of eleven break one rule each (two of them others in its wake).
+_S12, _B = "event_id % 12", "floor(event_id / 12) % 11"
+_CONTRACT = {
+    "session": "CAST(floor(event_id / 12) AS BIGINT)", "position": f"CAST({_S12} AS BIGINT)",
+    "event": f"""CASE WHEN {_S12} = 0 THEN CASE WHEN {_B} = 5 THEN '{{"type": "user", "message": "other"}}' ELSE '{{"type": "user", "message": {{"text": "boot"}}}}' END
+WHEN {_S12} = 1 THEN CASE WHEN {_B} = 6 THEN '{{}}' ELSE '{{"step_update": {{"step_type": "user_input"}}}}' END
+WHEN {_S12} = 2 THEN CASE WHEN {_B} = 8 THEN '{{"type": "note"}}' ELSE '{{"type": "checkpoint"}}' END
+WHEN {_S12} = 3 THEN CASE WHEN {_B} = 2 THEN '{{"event": "result"}}' WHEN {_B} = 7 THEN '{{"event": "result", "result": {{"num_turns": 1, "response": "no"}}}}' ELSE '{{"event": "result", "result": {{"num_turns": 1, "response": " ACK_BOOTSTRAP "}}}}' END
+WHEN {_S12} = 4 THEN '{{"event": "user", "content": "graded"}}' WHEN {_S12} = 5 THEN '{{"step_update": {{"step_type": "user_input"}}}}'
+WHEN {_S12} = 6 THEN '{{"step_update": {{"step_index": 3, "text_delta": "an"}}}}'
+WHEN {_S12} = 7 THEN CASE WHEN {_B} IN (9, 10) THEN '{{"step_update": {{"step_index": 3, "text_delta": "swerx", "usage": {{"o": 1}}}}}}' ELSE '{{"step_update": {{"step_index": 3, "text_delta": "swer", "usage": {{"o": 1}}}}}}' END
+WHEN {_S12} = 8 THEN '{{"step_update": {{"step_index": 4, "text": "answer", "step_type": "tool", "usage": {{"o": 1}}}}}}'
+WHEN {_S12} = 9 THEN '{{"step_update": {{"step_index": 5, "text": "other", "usage": {{"o": 1}}}}}}'
+WHEN {_S12} = 10 THEN CASE WHEN {_B} IN (2, 3) THEN '{{"event": "end"}}' WHEN {_B} = 4 THEN '{{"event": "result", "result": {{"num_turns": 3, "response": {{"text": "answer"}}}}}}' ELSE '{{"event": "result", "result": {{"num_turns": 2, "response": {{"text": "answer"}}}}}}' END
+ELSE CASE WHEN {_B} = 10 THEN '{{"step_update": {{"step_index": 9, "text": "answer", "usage": {{"o": 1}}}}}}' ELSE '{{"type": "text"}}' END END""",
+}
 
 
-@query(f"""WITH s AS ({_SESSION}), g AS (SELECT session, count(*) FILTER (kind = 'result') AS results, list(turns ORDER BY position) FILTER (kind = 'result') AS turns, min(position) FILTER (kind = 'result') AS first, max(position) FILTER (kind = 'result') AS last,
-min(position) FILTER (kind = 'checkpoint') AS checkpoint, max(position) FILTER (kind = 'graded') AS graded FROM s GROUP BY session)
-SELECT session, list_filter([CASE WHEN NOT coalesce(results = 2, false) THEN 'two results' END, CASE WHEN NOT coalesce(len(turns) = 2 AND turns[1] = 1 AND turns[2] = 2, false) THEN 'turns' END, CASE WHEN NOT coalesce(checkpoint > first, false) THEN 'checkpoint after first' END,
-CASE WHEN NOT coalesce(graded > checkpoint, false) THEN 'graded after checkpoint' END, CASE WHEN NOT coalesce(graded < last, false) THEN 'graded before last' END], lambda x: x IS NOT NULL) AS broken FROM g""")
+@query(f"""WITH e AS (SELECT session, position, event::JSON AS event FROM ({derived_sql(_CONTRACT)})),
+f AS (SELECT *, json_extract_string(event, '$.event') = 'result' AND json_type(event, '$.result') = 'OBJECT' AS result, json_extract_string(event, '$.result.num_turns') AS turns,
+coalesce(json_extract_string(event, '$.result.response.text'), json_extract_string(event, '$.result.response'), '') AS response,
+CASE WHEN 'user' IN (json_extract_string(event, '$.event'), json_extract_string(event, '$.type')) THEN coalesce(json_extract_string(event, '$.message.text'), json_extract_string(event, '$.message'), json_extract_string(event, '$.content')) END AS echo,
+coalesce(json_extract_string(event, '$.step_update.step_type') = 'user_input', false) AS admitted, coalesce(json_extract_string(event, '$.type') = 'checkpoint', false) AS mark,
+json_extract_string(event, '$.step_update.step_index') AS step, json_extract_string(event, '$.step_update.text_delta') AS delta, json_extract_string(event, '$.step_update.text') AS direct,
+json_type(event, '$.step_update.usage') = 'OBJECT' AND coalesce(json_extract_string(event, '$.step_update.step_type'), '') <> 'tool' AS usable FROM e),
+w AS (SELECT session, count(*) FILTER (result) AS results, arg_min(turns, position) FILTER (result) AS t1, arg_max(turns, position) FILTER (result) AS t2, arg_min(response, position) FILTER (result) AS r1, arg_max(response, position) FILTER (result) AS r2,
+min(position) FILTER (result) AS p1, max(position) FILTER (result) AS p2, list(echo ORDER BY position) FILTER (echo IS NOT NULL) AS echoes, count(*) FILTER (admitted) AS admitted, max(position) FILTER (admitted) AS boundary, max(position) FILTER (mark) AS mark FROM f GROUP BY session),
+c AS (SELECT session, position, usable, coalesce(direct, string_agg(delta, '') OVER (PARTITION BY session, step ORDER BY position)) AS text FROM f WHERE step IS NOT NULL),
+a AS (SELECT session, max(position) AS answer FROM c JOIN w USING (session) WHERE usable AND text = r2 AND r2 <> '' GROUP BY session)
+SELECT session, list_filter([CASE WHEN results = 0 THEN 'missing result' END, CASE WHEN results <> 2 THEN 'two results' END, CASE WHEN NOT coalesce(results = 2 AND t1 = '1' AND t2 = '2', false) THEN 'turns' END,
+CASE WHEN NOT coalesce(echoes = ['boot', 'graded'], true) THEN 'user turns' END, CASE WHEN admitted <> 2 THEN 'admitted turns' END, CASE WHEN NOT coalesce(p1 < boundary AND trim(r1) = 'ACK_BOOTSTRAP', false) THEN 'acknowledgement' END,
+CASE WHEN NOT coalesce(mark < boundary, false) THEN 'checkpoint' END, CASE WHEN answer IS NULL THEN 'graded response' END, CASE WHEN NOT coalesce(answer > mark AND answer < p2, false) THEN 'graded in order' END], lambda x: x IS NOT NULL) AS broken FROM w LEFT JOIN a USING (session)""")
 def event_order_contract(spark, d):
-    e, n = F.col("event_id") % 5, F.floor(F.col("event_id") / 5).cast("long")
-    kind = F.when(e == 0, "result").when((e == 4) & (n % 7 > 0), "result").when(e == 1, "checkpoint").when(e == 2 + n % 2, "graded").otherwise(F.col("event_type"))
-    turns = F.when(e == 0, F.lit(1)).when((e == 4) & (n % 11 > 0), F.lit(2)).cast("long")
-    rows = tables(spark, d, "events").select(n.alias("session"), e.alias("position"), kind.alias("kind"), turns.alias("turns"))
-    return ts.order_contract(rows, ["session"])
+    return ts.order_contract(derived(tables(spark, d, "events"), _CONTRACT), ["session"], ["boot", "graded"], "ACK_BOOTSTRAP")
 
 
 @query("SELECT event_id, CASE WHEN s = 429 THEN 'rate_limit' WHEN s IN (401, 403) THEN 'authentication' ELSE 'transport' END AS failure FROM (SELECT event_id, 400 + event_id % 40 AS s FROM events)")

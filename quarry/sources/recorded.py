@@ -5,6 +5,7 @@ No service is called here. A search or a reader is a table of what it said, keye
 from __future__ import annotations
 
 import gzip
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,19 +61,47 @@ def unpacked(data: Column) -> Column:
     return unpack(data)
 
 
+#: Hex digits of a hash that make a folder of the store, and hashes that are looked for by name.
+FOLDER_DIGITS, MOST_NAMED = 2, 1000
+
+
+def _folder(hashes: Column) -> Column:
+    return F.substring(hashes, 1, FOLDER_DIGITS)
+
+
 def put(rows: DataFrame, content: str, path: str) -> None:
-    """Adds the contents to a store (hash, content), each once; the store is made if it isn't there."""
+    """Adds the contents to a store (hash, content), made if it isn't there; what is there already isn't written again.
+
+    Every call writes below a name of its own, in folders by the beginning of hashes, files with a Bloom filter of these. Two
+    writers at once may both write a content: it is the same, and ``get`` gives it once, so nothing has to be locked."""
     spark = rows.sparkSession
-    fresh = rows.select(F.sha2(content, 256).alias("hash"), F.col(content).alias("content")).dropDuplicates(["hash"])
+    fresh = rows.where(F.col(content).isNotNull()).select(F.sha2(content, 256).alias("hash"), F.col(content).alias("content")).dropDuplicates(["hash"]).withColumn("folder", _folder(F.col("hash")))
     if exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select("hash"), "hash", "left_anti")
-    fresh.write.mode("append").parquet(path)
+        fresh = fresh.join(_stored(spark, path).select("folder", "hash"), ["folder", "hash"], "left_anti")
+    bloom = {"parquet.bloom.filter.enabled#hash": "true", "parquet.bloom.filter.expected.ndv#hash": "100000"}
+    fresh.repartition("folder").write.mode("append").options(**bloom).partitionBy("folder").parquet(f"{path}/put={uuid.uuid4().hex}")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("hash string, content string, put string, folder string").parquet(path).drop("put")
 
 
 def get(wanted: DataFrame, key: str, path: str) -> DataFrame:
-    """``wanted`` with the content of its hash; a hash that doesn't fit its content is no answer."""
-    store = wanted.sparkSession.read.parquet(path).where(F.sha2("content", 256) == F.col("hash"))
-    return wanted.join(store.withColumnRenamed("hash", key), key, "left")
+    """``wanted`` with the content of its hash; a hash that doesn't fit its content is no answer.
+
+    A few hashes are looked for by name: only their folders are listed, and of the files there those are read whose Bloom
+    filters may hold one. Only contents that were asked for are hashed again."""
+    spark = wanted.sparkSession
+    asked = wanted.where(F.col(key).isNotNull()).select(F.col(key).alias("hash")).distinct()
+    there = _stored(spark, path)
+    named = asked.limit(MOST_NAMED + 1).collect()
+    if len(named) <= MOST_NAMED:
+        hashes = [r.hash for r in named]
+        there = there.where(F.col("folder").isin(sorted({h[:FOLDER_DIGITS] for h in hashes})) & F.col("hash").isin(hashes))
+    else:
+        there = there.join(asked.withColumn("folder", _folder(F.col("hash"))), ["folder", "hash"])
+    right = there.where(F.sha2("content", 256) == F.col("hash")).groupBy("hash").agg(F.any_value("content").alias("content"))
+    return wanted.join(right.withColumnRenamed("hash", key), key, "left")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
