@@ -8,8 +8,10 @@ not multiples of three are sorted and named, names recurse, the other suffixes a
 next one's rank, and both are merged. Neighbours of the suffix array that agree in ``SPAN`` bytes are one string, and all
 of its places but the first start a removed run. Every window is compared this way: nothing is sampled or capped.
 
-The unit of sorting is the runs of some grams, at most about ``UNIT`` bytes. A gram with more than ``HOT`` different
-runs is dealt out anew, window by window by the hash of its bytes, and those units are sorted the same way.
+The unit of sorting is the runs of some grams, about ``UNIT`` bytes and one gram's runs more at most. A gram that more than
+``HOT`` different runs share, such as one of a sentence on millions of pages, isn't sorted, as its runs would make a unit
+that grows with them: its windows are told apart by 128-bit hashes, those that a task has twice are settled there, and of the
+others the first of each hash is found by an aggregate.
 
 A full difference-cover sort of the corpus, a row for each byte, was not used: its rows alone are over ten times the input.
 
@@ -322,20 +324,58 @@ def _ordinals(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _with_runs(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc, h, text, runs) of the documents that have runs in ``shared``."""
+    by_doc = shared.groupBy("doc", "h").agg(F.collect_list(F.struct("gram", "at", "n")).alias("runs"))
+    return keyed(docs).join(by_doc, ["doc", "h"]).select("doc", "h", "text", "runs")
+
+
+def resolve_hot(docs: DataFrame, shared: DataFrame, at: str) -> DataFrame:
+    """(doc, h, at, n): the repeated windows of runs whose gram is hot, by a window's hash alone."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = xxhash.xxh3_128_digest
+        for batch in batches:
+            docs, own, places, digests = [], [], [], []
+
+            def told() -> pa.RecordBatch:
+                w = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+                cols = [w[:, 0], w[:, 1], np.array(docs, np.int64), np.array(own, np.int64), np.array(places, np.int64)]
+                order = np.lexsort(cols[::-1])
+                cols = [c[order] for c in cols]
+                there = ~_same(cols)  # a document that is there again has the same windows
+                cols = [c[there] for c in cols]
+                return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(_same(cols[:2]))], names=["w", "v", "doc", "h", "at", "late"])
+
+            for i in range(batch.num_rows):
+                doc, h, raw, rows = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode(), batch.column(3)[i].values
+                for p, n in zip(rows.field(1).to_numpy().tolist(), rows.field(2).to_numpy().tolist(), strict=True):
+                    places += range(p, p + n)
+                    digests += [hashed(raw[q : q + SPAN]) for q in range(p, p + n)]
+                    docs += [doc] * n
+                    own += [h] * n
+                    if len(places) >= 200_000:
+                        yield told()
+                        docs, own, places, digests = [], [], [], []
+            if places:
+                yield told()
+
+    windows = store(_with_runs(docs, shared).mapInArrow(cut, "w long, v long, doc long, h long, at long, late boolean"), at)
+    once = windows.where("not late")
+    first = once.groupBy("w", "v").agg(F.min(F.struct("doc", "h", "at")).alias("first"))
+    late = once.join(first, ["w", "v"]).where(F.struct("doc", "h", "at") != F.col("first"))
+    return windows.where("late").select("doc", "h", "at").unionByName(late.select("doc", "h", "at")).withColumn("n", F.lit(1).cast("long"))
+
+
 def resolve(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """(doc, h, at, n): the repeated windows of runs that share their gram with others, as runs to remove."""
-    by_doc = shared.groupBy("doc", "h").agg(F.collect_list(F.struct("gram", "at", "n", "many")).alias("runs"))
-    own = keyed(docs).join(by_doc, ["doc", "h"]).select("doc", "h", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, h, raw, rows = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode(), batch.column(3)[i].values
-                gram, at, n, many = (rows.field(k).to_numpy() for k in range(4))
-                out = [(g, p, raw[p : p + k + SPAN - 1]) for g, p, k, m in zip(gram.tolist(), at.tolist(), n.tolist(), many.tolist(), strict=True) if m <= HOT]
-                for p, k in zip(at[many > HOT].tolist(), n[many > HOT].tolist(), strict=True):
-                    for q in range(p, p + k):
-                        out.append((xxhash.xxh64_intdigest(raw[q : q + SPAN]) - (1 << 63), q, raw[q : q + SPAN]))
+                gram, at, n = (rows.field(k).to_numpy() for k in range(3))
+                out = [(g, p, raw[p : p + k + SPAN - 1]) for g, p, k in zip(gram.tolist(), at.tolist(), n.tolist(), strict=True)]
                 for j in range(0, len(out), 20_000):
                     g, p, t = zip(*out[j : j + 20_000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([doc] * len(g), pa.int64()), pa.array([h] * len(g), pa.int64()), pa.array(p, pa.int64()), pa.array(t, pa.binary())], names=["gram", "doc", "h", "at", "bytes"])
@@ -349,7 +389,7 @@ def resolve(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 of = which[new]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(h[of]), pa.array(at[of] + place[new]), pa.array(n)], names=["doc", "h", "at", "n"])
 
-    pieces = own.mapInArrow(cut, "gram long, doc long, h long, at long, bytes binary")
+    pieces = _with_runs(docs, shared).mapInArrow(cut, "gram long, doc long, h long, at long, bytes binary")
     return pieces.repartition("gram").sortWithinPartitions("gram", "doc", "h", "at").mapInArrow(compare, "doc long, h long, at long, n long")
 
 
@@ -371,9 +411,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
     found = store(settle(all_runs(docs)), f"{at}/settled")
     drop(spark)
-    late = store(resolve(docs, found.where("gram is not null")), f"{at}/resolved")
+    late = store(resolve(docs, found.where(F.col("gram").isNotNull() & (F.col("many") <= HOT))), f"{at}/resolved")
     drop(spark)
     gone = found.where("gram is null").select("doc", "h", "at", "n").unionByName(late)
+    hot = found.where(F.col("many") > HOT)
+    if not hot.isEmpty():
+        gone = gone.unionByName(store(resolve_hot(docs, hot, f"{at}/windows"), f"{at}/hot"))
+        drop(spark, f"{at}/windows")
     gone = gone.groupBy("doc", "h").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     own = keyed(docs).join(gone, ["doc", "h"], "left").select("doc_id", "text", "runs")
 

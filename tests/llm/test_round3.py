@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quarry.llm import quality, token_counts, trie, whitening
+from quarry.llm import quality, suffix, token_counts, trie, whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +39,36 @@ def test_fold_beside_a_commit(spark, tmp_path, monkeypatch):
     assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(1, 10)]
 
 
+# --- op5: grams of a sentence that many documents share
+
+
+def test_hot_grams(spark, monkeypatch):
+    """Many documents around one passage: bytes as by brute force, and no unit of sorting that grows with them."""
+    monkeypatch.setattr(suffix, "HOT", 40)
+    rng = np.random.default_rng(9)
+    passage = "".join(rng.choice(list("abcdefgh "), 110))
+    word = lambda n: "".join(rng.choice(list("ijklmnop "), n))
+    texts = {i: word(int(rng.integers(0, 160))) + passage + word(int(rng.integers(0, 160))) for i in range(700)}
+    texts |= {1000: texts[3], 1001: passage * 3, 1002: passage[:99], 1003: "", 1004: None}
+    rows = [*texts.items(), (5, texts[5]), (5, texts[6])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = suffix.settle(suffix.all_runs(docs)).where("gram is not null").cache()
+    assert found.where(f"many > {suffix.HOT}").count() > 1000
+    assert found.where(f"many <= {suffix.HOT}").groupBy("gram").count().where(f"count > {suffix.HOT}").isEmpty()
+    got = suffix.dedup(docs).collect()
+    order = sorted({(i, suffix.text_hash((t or "").encode()), t or "") for i, t in rows})
+    seen, kept = set(), {}
+    for i, h, t in order:
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(raw[p : p + 100])
+        kept[i, raw] = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got) == sorted((i, kept[i, (t or "").encode()]) for i, t in rows)
+
+
 # --- op12: prefix trie
 
 
