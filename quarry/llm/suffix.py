@@ -10,8 +10,8 @@ of its places but the first start a removed run. Every window is compared this w
 
 The unit of sorting is the runs of some grams, about ``UNIT`` bytes and one gram's runs more at most. A gram that more than
 ``HOT`` different runs share, such as one of a sentence on millions of pages, isn't sorted, as its runs would make a unit
-that grows with them: its windows are told apart by 128-bit hashes, those that a task has twice are settled there, and of the
-others the first of each hash is found by an aggregate.
+that grows with them: its windows are told apart by 128-bit hashes, those that a task has twice are settled there, and the
+others meet by their hashes, all but the first of each being removed.
 
 A full difference-cover sort of the corpus, a row for each byte, was not used: its rows alone are over ten times the input.
 
@@ -330,8 +330,11 @@ def _with_runs(docs: DataFrame, shared: DataFrame) -> DataFrame:
     return keyed(docs).join(by_doc, ["doc", "h"]).select("doc", "h", "text", "runs")
 
 
-def resolve_hot(docs: DataFrame, shared: DataFrame, at: str) -> DataFrame:
-    """(doc, h, at, n): the repeated windows of runs whose gram is hot, by a window's hash alone."""
+def resolve_hot(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc, h, at, n): the repeated windows of runs whose gram is hot, by a window's hash alone.
+
+    A task tells the windows apart that it has; those it has twice are settled as runs, negative and under a key of their own.
+    So of one window no more rows meet than there are batches, and they go by in order, none being held."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh3_128_digest
@@ -340,12 +343,9 @@ def resolve_hot(docs: DataFrame, shared: DataFrame, at: str) -> DataFrame:
 
             def told() -> pa.RecordBatch:
                 w = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-                cols = [w[:, 0], w[:, 1], np.array(docs, np.int64), np.array(own, np.int64), np.array(places, np.int64)]
-                order = np.lexsort(cols[::-1])
-                cols = [c[order] for c in cols]
-                there = ~_same(cols)  # a document that is there again has the same windows
-                cols = [c[there] for c in cols]
-                return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(_same(cols[:2]))], names=["w", "v", "doc", "h", "at", "late"])
+                content, gram = w[:, 0], w[:, 1]
+                cols = _local(gram, content, np.array(docs, np.int64), np.array(own, np.int64), np.array(places, np.int64), np.ones(len(w), np.int64))
+                return pa.RecordBatch.from_arrays([*map(pa.array, cols[:5]), pa.array(cols[5].astype(np.int32))], names=RUN)
 
             for i in range(batch.num_rows):
                 doc, h, raw, rows = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode(), batch.column(3)[i].values
@@ -354,17 +354,30 @@ def resolve_hot(docs: DataFrame, shared: DataFrame, at: str) -> DataFrame:
                     digests += [hashed(raw[q : q + SPAN]) for q in range(p, p + n)]
                     docs += [doc] * n
                     own += [h] * n
-                    if len(places) >= 200_000:
+                    if len(places) >= 500_000:
                         yield told()
                         docs, own, places, digests = [], [], [], []
             if places:
                 yield told()
 
-    windows = store(_with_runs(docs, shared).mapInArrow(cut, "w long, v long, doc long, h long, at long, late boolean"), at)
-    once = windows.where("not late")
-    first = once.groupBy("w", "v").agg(F.min(F.struct("doc", "h", "at")).alias("first"))
-    late = once.join(first, ["w", "v"]).where(F.struct("doc", "h", "at") != F.col("first"))
-    return windows.where("late").select("doc", "h", "at").unionByName(late.select("doc", "h", "at")).withColumn("n", F.lit(1).cast("long"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.zeros(1, np.int64)] * 5  # the row before
+        begun = False
+        for batch in batches:
+            cols = [batch.column(i).to_numpy().astype(np.int64) for i in range(6)]
+            settled = cols[5] < 0
+            out = [c[settled] for c in (*cols[2:5], -cols[5])]
+            cols = [np.concatenate((x, c[~settled])) for x, c in zip(last, cols[:5], strict=True)]
+            again = _same(cols[:2]) & ~_same(cols)
+            again[0] = False
+            if not begun and len(again) > 1:  # nothing stood before
+                again[1], begun = False, True
+            last = [c[-1:] for c in cols]
+            late = [c[again] for c in cols[2:5]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(out, (*late, np.ones(len(late[0]), np.int64)), strict=True)], names=["doc", "h", "at", "n"])
+
+    found = _with_runs(docs, shared).mapInArrow(cut, "gram long, content long, doc long, h long, at long, n int")
+    return found.repartition("gram").sortWithinPartitions(*RUN[:5]).mapInArrow(compare, "doc long, h long, at long, n long")
 
 
 def resolve(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -416,8 +429,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = found.where("gram is null").select("doc", "h", "at", "n").unionByName(late)
     hot = found.where(F.col("many") > HOT)
     if not hot.isEmpty():
-        gone = gone.unionByName(store(resolve_hot(docs, hot, f"{at}/windows"), f"{at}/hot"))
-        drop(spark, f"{at}/windows")
+        gone = gone.unionByName(store(resolve_hot(docs, hot), f"{at}/hot"))
+        drop(spark)
     gone = gone.groupBy("doc", "h").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     own = keyed(docs).join(gone, ["doc", "h"], "left").select("doc_id", "text", "runs")
 
