@@ -3,8 +3,9 @@
 Word counts, and all that follows from them (both vocabularies, classes, the base, the tail distributions), are over every
 training text, and so grow with the corpus: they are summed in a shuffled table. The network's weights are begun in one
 task, on the training documents of the ``SAMPLE`` least seeded hashes, so that the others have a common start, and then
-trained over every training text, whole: in each of ``ROUNDS`` rounds tasks train from the same weights over their texts of
-the round, and the weights they store are averaged by their tokens. A text is in one round.
+trained over every training text, whole: texts are dealt out by hash to ``ROUNDS`` rounds and in each to shards of some ``SHARD``
+tokens; a round's shards are trained from the same weights, and the weights that they store are averaged by their tokens. Which
+texts train together thus depends on the corpus alone, not on how its table is split or on the cluster.
 Workers know the counts of the most frequent words, ``MID`` at most, cut where a count ends; each document's other words
 are joined to the counts table.
 
@@ -29,6 +30,8 @@ from . import gru
 from .common import UPPER, crc_mod, shared_dir, store, table
 
 MID, SAMPLE, SEED, ROUNDS = 1 << 17, 3000, 17, 2
+#: Tokens of a shard of a round, or so.
+SHARD = 1 << 20
 #: Tokens that are scored at once.
 PIECE = 2_000_000
 #: Distinct words that a task counts before it sends them on.
@@ -144,19 +147,31 @@ def head_tokens(words: list[bytes]):
 
 
 def go_on(train: DataFrame, vocabulary: Vocabulary, model: gru.Model, at: str) -> gru.Model:
-    """The model trained over all texts of ``train``; the tasks' weights are stored under ``at``."""
+    """The model trained over all texts of ``train``; the shards' weights are stored under ``at``."""
     spark = train.sparkSession
-    words, turn = vocabulary.words[: len(model.of) - 1], F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(ROUNDS))
+    words, h = vocabulary.words[: len(model.of) - 1], F.xxhash64(F.lit(SEED + 1), "doc_id", "text")
+    shards = max(1, -(-vocabulary.tokens // (ROUNDS * SHARD)))
+    dealt = train.select("text", h.alias("h")).select("text", "h", F.pmod("h", F.lit(ROUNDS)).alias("turn"), F.pmod(F.shiftright("h", 8), F.lit(shards)).alias("shard"))
 
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((words, model.p, model.of))
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words, p, of = shared.value
-            own = gru.Model({k: x.copy() for k, x in p.items()}, of)
-            moments, tokens, held, size, n = gru.Moments(own), head_tokens(words), [], 0, 0
+            tokens, shard, own, held, size, n = head_tokens(words), None, None, [], 0, 0
+
+            def told() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], names=["n", "weights"])
+
             for batch in batches:
-                for text in batch.column(0):
+                for text, s in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    if s != shard:  # each begins anew from the round's weights
+                        if held:
+                            n += gru.train_on(own, held, moments)
+                        if n:
+                            yield told()
+                        own = gru.Model({k: x.copy() for k, x in p.items()}, of)
+                        shard, moments, held, size, n = s, gru.Moments(own), [], 0, 0
                     held.append(tokens(text.as_py()))
                     size += len(held[-1])
                     if size >= gru.PASS_LANES * gru.WINDOW * gru.PASS_WINDOWS:
@@ -165,9 +180,10 @@ def go_on(train: DataFrame, vocabulary: Vocabulary, model: gru.Model, at: str) -
             if held:
                 n += gru.train_on(own, held, moments)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], names=["n", "weights"])
+                yield told()
 
-        trained = store(train.where(turn == k).select("text").mapInArrow(each, "n long, weights binary"), f"{at}/weights{k}")
+        rows = dealt.where(F.col("turn") == k).repartition(shards, "shard").sortWithinPartitions("shard", "h", F.xxhash64("text")).select("text", "shard")
+        trained = store(rows.mapInArrow(each, "n long, weights binary"), f"{at}/weights{k}")
         if not trained.isEmpty():
             n, total = trained.rdd.map(lambda r: (r.n, r.n * np.frombuffer(r.weights, np.float32).astype(np.float64))).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
             model = model.filled((total / n).astype(np.float32))

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quarry.llm import quality, suffix, token_counts, trie, whitening
+from quarry.llm import gru, lm_score, quality, suffix, token_counts, trie, whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +39,23 @@ def test_fold_beside_a_commit(spark, tmp_path, monkeypatch):
     assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(1, 10)]
 
 
+# --- op3: shards
+
+
+def test_scores_do_not_depend_on_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 300)
+    rng = np.random.default_rng(10)
+    rows = [(i if i % 9 else None, " ".join(f"w{x}" for x in rng.zipf(1.5, 30) % 60), i % 10 == 0) for i in range(120)]
+    found = []
+    for parts in (3, 7):
+        train = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(parts).where("not held_out")
+        vocabulary, _ = lm_score.count_words(train, str(tmp_path / str(parts)))
+        start = gru.Model.fresh(vocabulary.counts[: gru.HEAD], vocabulary.tails[:, 0])
+        found.append((start.flat(), lm_score.go_on(train, vocabulary, start, str(tmp_path / f"w{parts}")).flat()))
+    assert np.abs(found[0][0] - found[0][1]).max() > 1e-4
+    np.testing.assert_allclose(found[0][1], found[1][1], rtol=1e-5, atol=1e-7)
+
+
 # --- op5: grams of a sentence that many documents share
 
 
