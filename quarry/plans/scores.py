@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import scoring
-from ..sources import shared
+from ..sources import files, shared
 from ..sources.files import tables
 from .registry import derived, derived_sql, query
 
@@ -113,6 +113,6 @@ def combined_csv(spark, d):
     """The tables of two models in one file with a header, without the columns that only their making needs."""
     grid = _grid(spark, d).withColumns({"len_avg": F.lit(0.0), "best_cfg": F.lit("cfg")})
     both = grid.withColumn("model", F.lit("north")).unionByName(grid.withColumns({"model": F.lit("south"), "score": F.col("score") / 2}))
-    at = f"{shared.shared_dir(spark)}/combined"
-    shared.replace(both.select("model", "task", "length", F.round("score", 3).alias("score")).coalesce(1), at, "csv", header="true")
-    return spark.read.option("header", True).schema("model string, task string, length string, score double").csv(at)
+    at = shared.shared_dir(spark)
+    files.write_named(both.select("model", "task", "length", F.round("score", 3).alias("score"), F.lit("combined").alias("name")), at, "name", "csv", ".csv", header=True)
+    return spark.read.option("header", True).schema("model string, task string, length string, score double").csv(f"{at}/combined.csv")
