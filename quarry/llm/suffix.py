@@ -10,13 +10,14 @@ of its places but the first start a removed run. Every window is compared this w
 
 The unit of sorting is the runs of some grams, about ``UNIT`` bytes and one gram's runs more at most. A gram that more than
 ``HOT`` different runs share, such as one of a sentence on millions of pages, isn't sorted, as its runs would make a unit
-that grows with them: its windows are told apart by 128-bit hashes, those that a task has twice are settled there, and the
+that grows with them: its windows are told apart by their hashes, those that a task has twice are settled there, and the
 others meet by their hashes, all but the first of each being removed.
 
 A full difference-cover sort of the corpus, a row for each byte, was not used: its rows alone are over ten times the input.
 
 Equal runs are aggregated before they are sorted: within a task's piece of text, where later ones are removed at once, and
-then for each gram. They are equal by the 64-bit hash of their bytes among runs that share the gram's 64-bit hash.
+then for each gram. They, and windows of hot grams, are equal by the 64-bit hash of their bytes among those that share the
+gram's 64-bit hash.
 
 Cases: null and empty texts have no bytes; a text shorter than ``SPAN`` keeps all; overlaps within a document count; rows
 that repeat id and text are one document (they share their result, and are no copies of each other), rows that share an id
@@ -337,26 +338,25 @@ def resolve_hot(docs: DataFrame, shared: DataFrame) -> DataFrame:
     So of one window no more rows meet than there are batches, and they go by in order, none being held."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = xxhash.xxh3_128_digest
+        hashed = xxhash.xxh3_64_intdigest
         for batch in batches:
-            docs, own, places, digests = [], [], [], []
+            docs, own, grams, places, hashes = [], [], [], [], []
 
             def told() -> pa.RecordBatch:
-                w = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-                content, gram = w[:, 0], w[:, 1]
-                cols = _local(gram, content, np.array(docs, np.int64), np.array(own, np.int64), np.array(places, np.int64), np.ones(len(w), np.int64))
+                cols = _local(np.array(grams, np.int64), np.array(hashes, np.uint64).view(np.int64), np.array(docs, np.int64), np.array(own, np.int64), np.array(places, np.int64), np.ones(len(places), np.int64))
                 return pa.RecordBatch.from_arrays([*map(pa.array, cols[:5]), pa.array(cols[5].astype(np.int32))], names=RUN)
 
             for i in range(batch.num_rows):
                 doc, h, raw, rows = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode(), batch.column(3)[i].values
-                for p, n in zip(rows.field(1).to_numpy().tolist(), rows.field(2).to_numpy().tolist(), strict=True):
+                for g, p, n in zip(*(rows.field(k).to_numpy().tolist() for k in range(3)), strict=True):
                     places += range(p, p + n)
-                    digests += [hashed(raw[q : q + SPAN]) for q in range(p, p + n)]
+                    hashes += [hashed(raw[q : q + SPAN]) for q in range(p, p + n)]
+                    grams += [g] * n
                     docs += [doc] * n
                     own += [h] * n
                     if len(places) >= 500_000:
                         yield told()
-                        docs, own, places, digests = [], [], [], []
+                        docs, own, grams, places, hashes = [], [], [], [], []
             if places:
                 yield told()
 
@@ -377,7 +377,7 @@ def resolve_hot(docs: DataFrame, shared: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(out, (*late, np.ones(len(late[0]), np.int64)), strict=True)], names=["doc", "h", "at", "n"])
 
     found = _with_runs(docs, shared).mapInArrow(cut, "gram long, content long, doc long, h long, at long, n int")
-    return found.repartition("gram").sortWithinPartitions(*RUN[:5]).mapInArrow(compare, "doc long, h long, at long, n long")
+    return found.repartition("gram", "content").sortWithinPartitions(*RUN[:5]).mapInArrow(compare, "doc long, h long, at long, n long")
 
 
 def resolve(docs: DataFrame, shared: DataFrame) -> DataFrame:
