@@ -299,22 +299,25 @@ def repeated(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.nd
     return of[late], inner[late]
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """Whole grams of sorted rows (gram, doc, h, at, bytes), about UNIT bytes at once."""
-    doc, own, at, texts, size, last = [], [], [], [], 0, None
-    for batch in batches:
-        for g, d, h, p, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if size >= UNIT and g != last:
-                yield np.array(doc), np.array(own), np.array(at), texts
-                doc, own, at, texts, size = [], [], [], [], 0
-            doc.append(d)
-            own.append(h)
-            at.append(p)
-            texts.append(t)
-            size += len(t)
-            last = g
-    if texts:
-        yield np.array(doc), np.array(own), np.array(at), texts
+class _Units:
+    """Whole grams of sorted rows (gram, content, doc, h, at, n, bytes), about UNIT bytes at once."""
+
+    def __init__(self):
+        self.rows, self.size, self.last = [], 0, None
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        for g, *row in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 6)), strict=True):
+            if self.size >= UNIT and g != self.last:
+                yield from self.rest()
+            self.rows.append(row)
+            self.size += len(row[3])
+            self.last = g
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        if self.rows:
+            doc, own, at, texts = zip(*self.rows, strict=True)
+            self.rows, self.size = [], 0
+            yield np.array(doc), np.array(own), np.array(at), list(texts)
 
 
 def _ordinals(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -325,85 +328,83 @@ def _ordinals(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _with_runs(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc, h, text, runs) of the documents that have runs in ``shared``."""
-    by_doc = shared.groupBy("doc", "h").agg(F.collect_list(F.struct("gram", "at", "n")).alias("runs"))
-    return keyed(docs).join(by_doc, ["doc", "h"]).select("doc", "h", "text", "runs")
-
-
-def resolve_hot(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc, h, at, n): the repeated windows of runs whose gram is hot, by a window's hash alone.
+def resolve(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc, h, at, n): the repeated windows of runs that share their gram with others, as runs to remove.
 
-    A task tells the windows apart that it has; those it has twice are settled as runs, negative and under a key of their own.
-    So of one window no more rows meet than there are batches, and they go by in order, none being held."""
+    Texts are read once for both kinds of grams. Of a hot gram every window goes by its hash, without its bytes: a task tells the windows
+    apart that it has, and those it has twice are settled as runs, negative and under a key of their own. So of one window
+    no more rows meet than there are batches, and they go by in order, none being held."""
+    by_doc = shared.groupBy("doc", "h").agg(F.collect_list(F.struct("gram", "at", "n", "many")).alias("runs"))
+    own = keyed(docs).join(by_doc, ["doc", "h"]).select("doc", "h", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            docs, own, grams, places, hashes = [], [], [], [], []
 
-            def told() -> pa.RecordBatch:
-                cols = _local(np.array(grams, np.int64), np.array(hashes, np.uint64).view(np.int64), np.array(docs, np.int64), np.array(own, np.int64), np.array(places, np.int64), np.ones(len(places), np.int64))
-                return pa.RecordBatch.from_arrays([*map(pa.array, cols[:5]), pa.array(cols[5].astype(np.int32))], names=RUN)
+        def rows(cols: list, texts: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.int32()), texts], names=[*RUN, "bytes"])
 
-            for i in range(batch.num_rows):
-                doc, h, raw, rows = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode(), batch.column(3)[i].values
-                for g, p, n in zip(*(rows.field(k).to_numpy().tolist() for k in range(3)), strict=True):
-                    places += range(p, p + n)
-                    hashes += [hashed(raw[q : q + SPAN]) for q in range(p, p + n)]
-                    grams += [g] * n
-                    docs += [doc] * n
-                    own += [h] * n
-                    if len(places) >= 500_000:
-                        yield told()
-                        docs, own, grams, places, hashes = [], [], [], [], []
-            if places:
-                yield told()
+        def windows(hot: list) -> pa.RecordBatch:
+            grams, docs, own, places, hashes = (np.concatenate(x) for x in zip(*hot, strict=True))
+            cols = _local(grams, hashes, docs, own, places, np.ones(len(places), np.int64))
+            return rows(cols, pa.nulls(len(cols[0]), pa.binary()))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [np.zeros(1, np.int64)] * 5  # the row before
-        begun = False
-        for batch in batches:
-            cols = [batch.column(i).to_numpy().astype(np.int64) for i in range(6)]
-            settled = cols[5] < 0
-            out = [c[settled] for c in (*cols[2:5], -cols[5])]
-            cols = [np.concatenate((x, c[~settled])) for x, c in zip(last, cols[:5], strict=True)]
-            again = _same(cols[:2]) & ~_same(cols)
-            again[0] = False
-            if not begun and len(again) > 1:  # nothing stood before
-                again[1], begun = False, True
-            last = [c[-1:] for c in cols]
-            late = [c[again] for c in cols[2:5]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(out, (*late, np.ones(len(late[0]), np.int64)), strict=True)], names=["doc", "h", "at", "n"])
-
-    found = _with_runs(docs, shared).mapInArrow(cut, "gram long, content long, doc long, h long, at long, n int")
-    return found.repartition("gram", "content").sortWithinPartitions(*RUN[:5]).mapInArrow(compare, "doc long, h long, at long, n long")
-
-
-def resolve(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc, h, at, n): the repeated windows of runs that share their gram with others, as runs to remove."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hot, size = [], 0
             for i in range(batch.num_rows):
-                doc, h, raw, rows = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode(), batch.column(3)[i].values
-                gram, at, n = (rows.field(k).to_numpy() for k in range(3))
-                out = [(g, p, raw[p : p + k + SPAN - 1]) for g, p, k in zip(gram.tolist(), at.tolist(), n.tolist(), strict=True)]
-                for j in range(0, len(out), 20_000):
-                    g, p, t = zip(*out[j : j + 20_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([doc] * len(g), pa.int64()), pa.array([h] * len(g), pa.int64()), pa.array(p, pa.int64()), pa.array(t, pa.binary())], names=["gram", "doc", "h", "at", "bytes"])
+                doc, h, raw, runs_ = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py().encode(), batch.column(3)[i].values
+                gram, at, n, many = (runs_.field(k).to_numpy() for k in range(4))
+                cold = np.flatnonzero(many <= HOT)
+                for j in range(0, len(cold), 20_000):
+                    c = cold[j : j + 20_000]
+                    t = [raw[p : p + k + SPAN - 1] for p, k in zip(at[c].tolist(), n[c].tolist(), strict=True)]
+                    zero = np.zeros(len(c), np.int64)
+                    yield rows([gram[c], zero, zero + doc, zero + h, at[c], zero], pa.array(t, pa.binary()))
+                for g, p, k in zip(*(x[many > HOT].tolist() for x in (gram, at, n)), strict=True):
+                    one = np.full(k, 1, np.int64)
+                    hashes = np.fromiter((hashed(raw[q : q + SPAN]) for q in range(p, p + k)), np.uint64, k).view(np.int64)
+                    hot.append((one * g, one * doc, one * h, np.arange(p, p + k), hashes))
+                    size += k
+                    if size >= 500_000:
+                        yield windows(hot)
+                        hot, size = [], 0
+            if hot:
+                yield windows(hot)
+
+    def removed(doc, h, at, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, h, at, n)], names=["doc", "h", "at", "n"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, h, at, texts in _units(batches):
-            which, place = repeated(texts, _ordinals(doc, h), at)
-            if len(which):
-                new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1))))
-                n = np.diff(np.concatenate((new, [len(which)])))
-                of = which[new]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(h[of]), pa.array(at[of] + place[new]), pa.array(n)], names=["doc", "h", "at", "n"])
-
-    pieces = _with_runs(docs, shared).mapInArrow(cut, "gram long, doc long, h long, at long, bytes binary")
-    return pieces.repartition("gram").sortWithinPartitions("gram", "doc", "h", "at").mapInArrow(compare, "doc long, h long, at long, n long")
+        last, units = None, _Units()  # the last window of a hot gram
+        for batch in batches:
+            n = batch.column(5).to_numpy()
+            for unit in units.add(batch.filter(pa.array(n == 0))):
+                yield from sorted_(unit)
+            cols = [batch.column(i).to_numpy()[n != 0] for i in range(5)]
+            size = n[n != 0].astype(np.int64)
+            if not len(size):
+                continue
+            settled = size < 0
+            yield removed(*(c[settled] for c in cols[2:]), -size[settled])
+            cols = [c[~settled] for c in cols]
+            if len(cols[0]):
+                whole = cols if last is None else [np.concatenate((x, c)) for x, c in zip(last, cols, strict=True)]
+                late = _same(whole[:2]) & ~_same(whole)
+                last = [c[-1:] for c in cols]
+                yield removed(*(c[late] for c in whole[2:]), np.ones(int(late.sum()), np.int64))
+        for unit in units.rest():
+            yield from sorted_(unit)
+
+    def sorted_(unit) -> Iterator[pa.RecordBatch]:
+        doc, h, at, texts = unit
+        which, place = repeated(texts, _ordinals(doc, h), at)
+        if len(which):
+            new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1))))
+            n = np.diff(np.concatenate((new, [len(which)])))
+            of = which[new]
+            yield removed(doc[of], h[of], at[of] + place[new], n)
+
+    pieces = own.mapInArrow(cut, "gram long, content long, doc long, h long, at long, n int, bytes binary")
+    return pieces.repartition("gram", "content").sortWithinPartitions(*RUN[:5]).mapInArrow(compare, "doc long, h long, at long, n long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -424,13 +425,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     spark, at = docs.sparkSession, shared_dir(docs.sparkSession)
     found = store(settle(all_runs(docs)), f"{at}/settled")
     drop(spark)
-    late = store(resolve(docs, found.where(F.col("gram").isNotNull() & (F.col("many") <= HOT))), f"{at}/resolved")
+    late = store(resolve(docs, found.where("gram is not null")), f"{at}/resolved")
     drop(spark)
     gone = found.where("gram is null").select("doc", "h", "at", "n").unionByName(late)
-    hot = found.where(F.col("many") > HOT)
-    if not hot.isEmpty():
-        gone = gone.unionByName(store(resolve_hot(docs, hot), f"{at}/hot"))
-        drop(spark)
     gone = gone.groupBy("doc", "h").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     own = keyed(docs).join(gone, ["doc", "h"], "left").select("doc_id", "text", "runs")
 
