@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,15 @@ def test_words_equal_the_column_expression(spark):
     texts = ["Straße ÉTÉ naïve_x 12½ ٣٤ 日本語 Ω", "a-b.c_d'e", "İstanbul ΣΑΣ", "", "x́y é", "tab\tnew\nline²", "snake__case 1_000"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tx.word_tokens(F.col("text")).alias("t")).collect()
     assert all(r.t == tx.words(r.text) for r in rows)
+
+
+def test_a_row_group_holds_few_blocks(spark, monkeypatch):
+    """A task holds one row group of blocks, however many it makes; a block without words is one too."""
+    monkeypatch.setattr(blocks, "BLOCK_DOCS", 10)
+    docs = spark.range(400).select("id", F.when(F.col("id") >= 200, F.concat(F.lit("a b "), F.col("id").cast("string"))).alias("text")).coalesce(1)
+    built = blocks.build(docs, tx.words)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in built.inputFiles()]
+    assert built.count() >= 40
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 2
+    asked = spark.createDataFrame([(1, ["b", "399"])], "qid long, tokens array<string>")
+    assert [r.id for r in blocks.search(built, asked, 2, True).orderBy("rank").collect()] == [399, 200]
