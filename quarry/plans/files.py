@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import files, manifest, recorded, shared
@@ -14,6 +14,14 @@ def _events(spark, d) -> DataFrame:
     return tables(spark, d, "events").select("event_id", "user_id", "event_type", "props")
 
 
+def _element(file: str, order: str, element: Column, brackets: str) -> Column:
+    """An element as a line of its file, beside the bracket where the file begins or ends, else a comma. Brackets aren't rows of
+    their own: after a union, ``repartition`` by the file's column can leave a file's rows in two tasks."""
+    w = Window.partitionBy(file).orderBy(order)
+    lead = F.when(F.row_number().over(w) == 1, brackets[0]).otherwise(",")
+    return F.concat(lead, element, F.when(F.lead(F.lit(1)).over(w).isNull(), "\n" + brackets[1]).otherwise(""))
+
+
 @query("SELECT event_id, user_id, event_type, props FROM events")
 def file_jsonl(spark, d):
     at = f"{shared.shared_dir(spark)}/rows"
@@ -36,10 +44,8 @@ def file_json_array(spark, d):
     """An array of all events of each type, a file each, written line by line."""
     at = f"{shared.shared_dir(spark)}/arrays"
     rows = _events(spark, d).select("event_type", "event_id", F.to_json(F.struct("event_id", "props")).alias("e"))
-    lead = F.when(F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) == 1, "[").otherwise(",")
-    ends = rows.groupBy("event_type").agg(F.max("event_id").alias("event_id")).select("event_type", "event_id", F.lit("]").alias("value"), F.lit(1).alias("last"))
-    text = rows.select("event_type", "event_id", F.concat(lead, "e").alias("value"), F.lit(0).alias("last")).unionByName(ends)
-    text.repartition("event_type").sortWithinPartitions("event_type", "event_id", "last").select("event_type", "value").write.partitionBy("event_type").text(at)
+    text = rows.select("event_type", "event_id", _element("event_type", "event_id", F.col("e"), "[]").alias("value"))
+    text.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(at)
     got = files.json_array(spark, at, "struct<event_id: long>")
     return got.select(F.regexp_extract("file", "event_type=([a-z_]+)", 1).alias("file"), F.col("position").cast("int").alias("position"), "event_id")
 
@@ -49,11 +55,9 @@ def file_json_map(spark, d):
     """An arm's contexts: JSON objects of texts by number, a file for each source of the documents."""
     at = f"{shared.shared_dir(spark)}/packet"
     rows = tables(spark, d, "documents").where("text is not null").select("source", F.col("doc_id").alias("k"), F.concat(F.to_json(F.array(F.col("doc_id").cast("string"))), F.lit(":"), F.to_json(F.array("text"))).alias("pair"))
-    lead = F.when(F.row_number().over(Window.partitionBy("source").orderBy("k")) == 1, "{").otherwise(",")
-    value = F.concat(lead, F.regexp_replace("pair", r"^\[(.*)\]:\[([\s\S]*)\]$", "$1:$2"))
-    ends = rows.groupBy("source").agg(F.max("k").alias("k")).select("source", "k", F.lit("}").alias("value"), F.lit(1).alias("last"))
-    text = rows.select("source", "k", value.alias("value"), F.lit(0).alias("last")).unionByName(ends)
-    text.repartition("source").sortWithinPartitions("source", "k", "last").select("source", "value").write.partitionBy("source").text(at)
+    pair = F.regexp_replace("pair", r"^\[(.*)\]:\[([\s\S]*)\]$", "$1:$2")
+    text = rows.select("source", "k", _element("source", "k", pair, "{}").alias("value"))
+    text.repartition("source").sortWithinPartitions("source", "k").select("source", "value").write.partitionBy("source").text(at)
     return files.arm_contexts(spark, at.rsplit("/", 1)[0], "fast_packet", {"fast_packet": "packet"})
 
 
