@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,11 +39,15 @@ def scraped(output: Column, spaced: bool = False) -> Column:
     return F.replace(F.regexp_extract(output, pattern, 1), F.lit(","), F.lit("")).try_cast("long")
 
 
-def _counter(usage: Column, field: str | None, required: bool) -> tuple[Column, Column]:
-    """(count, error) of a field of a JSON object."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value being worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _counter(raw: Column, field: str | None, required: bool) -> tuple[Column, Column]:
+    """(count, error) of a field's text in a JSON object."""
     if field is None:
         return F.lit(0).cast("long"), F.lit(None).cast("string")
-    raw = F.get_json_object(usage, f"$.{field}")
     count = safe_count(raw)
     missing = F.when(raw.isNull(), F.lit(f"missing {field}")) if required else F.lit(None).cast("string")
     wrong = F.when(raw.isNotNull() & count.isNull(), F.lit(f"invalid {field}"))
@@ -53,18 +59,24 @@ def normalized(usage: Column, provider: str) -> Column:
     output, reasoning and total tokens, null with an ``error`` where a counter is missing, negative, no number, or a part
     that is more than its whole. Reasoning is a part of the output."""
     names = FIELDS[provider]
+    within = provider in CACHED_WITHIN
+
+    def texts(own: Column) -> Column:
+        return F.struct(*[(F.get_json_object(own, f"$.{f}") if f else F.lit(None).cast("string")).alias(k) for k, f in zip("abcd", names, strict=True)])
+
+    def counters(raw: Column) -> Column:
+        parts = [_counter(raw[k], f, required) for k, f, required in zip("abcd", names, (True, False, True, False), strict=True)]
+        return F.struct(*[n.alias(k) for k, (n, _) in zip("abcd", parts, strict=True)], F.coalesce(*[e for _, e in parts]).alias("error"))
+
+    def told(n: Column) -> Column:
+        checks = [n["error"], *([F.when(n["b"] > n["a"], F.lit("cached exceeds input"))] if within else []), F.when(n["d"] > n["c"], F.lit("reasoning exceeds output"))]
+        fresh = n["a"] - n["b"] if within else n["a"]
+        counts = {"fresh": fresh, "cached": n["b"], "input": fresh + n["b"], "output": n["c"], "reasoning": n["d"], "total": fresh + n["b"] + n["c"]}
+        return _once(F.coalesce(*checks), lambda error: F.struct(*[F.when(error.isNull(), c).alias(k) for k, c in counts.items()], error.alias("error")))
+
     top = F.coalesce(*[F.get_json_object(usage, f"$.{f}") for f in names if f])
     own = F.when(top.isNull(), F.coalesce(F.get_json_object(usage, "$.usage"), usage)).otherwise(usage)
-    parts = [_counter(own, f, required) for f, required in zip(names, (True, False, True, False), strict=True)]
-    (first, cached, output, reasoning), errors = zip(*parts, strict=True)
-    within = provider in CACHED_WITHIN
-    fresh = first - cached if within else first
-    checks = [*errors, F.when(reasoning > output, F.lit("reasoning exceeds output"))]
-    if within:
-        checks.insert(4, F.when(cached > first, F.lit("cached exceeds input")))
-    error = F.coalesce(*checks)
-    counts = {"fresh": fresh, "cached": cached, "input": fresh + cached, "output": output, "reasoning": reasoning, "total": fresh + cached + output}
-    return F.struct(*[F.when(error.isNull(), c).alias(k) for k, c in counts.items()], error.alias("error"))
+    return _once(own, lambda own: _once(texts(own), lambda raw: _once(counters(raw), told)))
 
 
 def by_provider(usage: Column, provider: Column) -> Column:
