@@ -2,7 +2,8 @@
 
 At similarity 0.8 SimHash fingerprints differ in some ten of 64 bits, give or take three; blocks that all such pairs agree in
 would be of three or four bits, so tiles would compare all pairs. Candidates therefore are documents that agree in the
-fingerprint or in one of ``BANDS`` bands of ``ROWS`` min-hashes: a pair at 0.8 agrees in none with probability 3e-6.
+component of their fingerprints (links within ``RADIUS`` bits, by ``simhash``'s exact tiles), or in one of ``BANDS`` bands of ``ROWS``
+min-hashes, for pairs whose fingerprints are farther apart: a pair at 0.8 agrees in none of these with probability 3e-6.
 
 Each distinct set stands for its documents. Members of a band's group are compared by their shingles' XXH64 hashes, a whole
 tile at a time; a group of over ``CELLS`` hashes or ``TILE`` sets is dealt out as pairs of tiles. A tile returns a spanning
@@ -26,6 +27,7 @@ from . import simhash
 from .common import give_back, shared_dir, small, store
 
 SHINGLE, LEAST = 5, 0.8
+RADIUS = 2
 BANDS, ROWS, SEED = 24, 4, 29
 TILE, CELLS = 4096, 1 << 19
 _RNG = np.random.default_rng(SEED)
@@ -130,11 +132,21 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return dealt.join(hashes, "s").groupBy("key", "p", "q").applyInPandas(tile, "a long, b long")
 
 
+def by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with the least fingerprint of its component in place of each set's own, its first key."""
+    at = shared_dir(distinct.sparkSession)
+    fps = store(distinct.where(F.size("keys") > 0).select(F.get("keys", F.lit(0)).alias("fp")).distinct(), f"{at}/fingerprints")
+    roots = simhash.components(store(simhash.links(fps, RADIUS), f"{at}/links"), at).withColumnRenamed("node", "fp")
+    rows = distinct.withColumn("fp", F.get("keys", F.lit(0))).join(roots, "fp", "left")
+    first = F.coalesce("root", "fp")
+    return rows.withColumn("keys", F.when(F.size("keys") > 0, F.concat(F.array(first), F.slice("keys", 2, F.lit(BANDS)))).otherwise(F.col("keys"))).drop("fp", "root")
+
+
 def near_copies(docs: DataFrame, *names: str) -> DataFrame:
     """``names`` and ``root`` of each row: rows of a component have the same root."""
     at = shared_dir(docs.sparkSession)
     own = store(sets(docs.select("text", *names, F.xxhash64("text").alias("t")), *names, "t"), f"{at}/sets")
     distinct = store(own.groupBy("s").agg(F.first("n").alias("n"), F.min("t").alias("t"), F.first("keys").alias("keys")), f"{at}/distinct")
-    edges = store(links(docs, distinct), f"{at}/links")
+    edges = store(links(docs, store(by_fingerprint(distinct), f"{at}/keyed")), f"{at}/links")
     roots = simhash.components(edges, at).withColumnRenamed("node", "s")
     return own.select(*names, "s").join(roots, "s", "left").select(*names, F.coalesce("root", "s").alias("root"))
