@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 #: The providers' names for their counters, (fresh or whole input, cached, output, reasoning).
 FIELDS = {
     "codex": ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens"),
@@ -39,11 +39,6 @@ def scraped(output: Column, spaced: bool = False) -> Column:
     return F.replace(F.regexp_extract(output, pattern, 1), F.lit(","), F.lit("")).try_cast("long")
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, the value being worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _counter(raw: Column, field: str | None, required: bool) -> tuple[Column, Column]:
     """(count, error) of a field's text in a JSON object."""
     if field is None:
@@ -72,11 +67,11 @@ def normalized(usage: Column, provider: str) -> Column:
         checks = [n["error"], *([F.when(n["b"] > n["a"], F.lit("cached exceeds input"))] if within else []), F.when(n["d"] > n["c"], F.lit("reasoning exceeds output"))]
         fresh = n["a"] - n["b"] if within else n["a"]
         counts = {"fresh": fresh, "cached": n["b"], "input": fresh + n["b"], "output": n["c"], "reasoning": n["d"], "total": fresh + n["b"] + n["c"]}
-        return _once(F.coalesce(*checks), lambda error: F.struct(*[F.when(error.isNull(), c).alias(k) for k, c in counts.items()], error.alias("error")))
+        return once(F.coalesce(*checks), lambda error: F.struct(*[F.when(error.isNull(), c).alias(k) for k, c in counts.items()], error.alias("error")))
 
     top = F.coalesce(*[F.get_json_object(usage, f"$.{f}") for f in names if f])
     own = F.when(top.isNull(), F.coalesce(F.get_json_object(usage, "$.usage"), usage)).otherwise(usage)
-    return _once(own, lambda own: _once(texts(own), lambda raw: _once(counters(raw), told)))
+    return once(own, lambda own: once(texts(own), lambda raw: once(counters(raw), told)))
 
 
 def by_provider(usage: Column, provider: Column) -> Column:
