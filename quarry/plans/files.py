@@ -170,6 +170,7 @@ def artifact_store(spark, d):
 @query("SELECT doc_id, sha256(text) AS sha, base64(encode(left(text, 30))) AS head FROM documents")
 def artifact_packed(spark, d):
     """Texts through gzip and back, and base64 of their beginnings."""
+    shared.small_batches(spark)
     docs = tables(spark, d, "documents")
     packed = docs.select("doc_id", "text", recorded.packed(F.col("text")).alias("data"))
     head = F.base64(F.encode(F.substring("text", 1, 30), "utf-8"))
