@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import by_keys
+
 #: What mustn't stand in published text, home folders and mail addresses of the big providers.
 PRIVATE = r"(?:/Users/|/home/)[A-Za-z0-9._-]+|[A-Za-z0-9._%+-]+@(?:gmail|outlook|hotmail|yahoo|icloud)\.com"
 
@@ -25,6 +27,7 @@ def differing(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) ->
 
 def mismatched(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """``differing``, and keys of one side alone with the field ``missing`` (not in ``a``) or ``extra`` (not in ``b``)."""
+    a, b = by_keys(keys, a.select(*keys, *fields), b.select(*keys, *fields))
     both = a.select(*keys).distinct().withColumn("in_a", F.lit(True)).join(b.select(*keys).distinct().withColumn("in_b", F.lit(True)), keys, "full_outer")
     alone = both.where("in_a is null or in_b is null").select(*keys, F.when(F.col("in_a").isNull(), "missing").otherwise("extra").alias("field"))
     return differing(a, b, keys, fields).unionByName(alone)
