@@ -107,8 +107,8 @@ def file_packets(spark, d):
 def file_tolerant_lines(spark, d):
     at = f"{shared.shared_dir(spark)}/lines"
     line = F.expr("CASE event_id % 9 WHEN 0 THEN '{broken' WHEN 1 THEN '[1]' WHEN 2 THEN '7' ELSE props END")
-    tables(spark, d, "events").select("user_id", line.alias("value")).repartition("user_id").write.partitionBy("user_id").text(at)
-    return files.tolerant_lines(spark, at).select(F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long").alias("user_id"), "events", "invalid")
+    files.write_each(tables(spark, d, "events").select("user_id", line.alias("value")), at, "user_id")
+    return files.tolerant_lines(spark, at).select(files.name_in("file", "user_id").alias("user_id"), "events", "invalid")
 
 
 @query("SELECT conv_id, turn, CAST(turn + 1 AS INTEGER) AS phrase_num, replace(text, chr(9), ' ') AS text, CASE WHEN role = 'user' THEN 'yes' END AS answer FROM conversations WHERE NOT contains(coalesce(text, ''), chr(10)) AND trim(text) <> ''")
