@@ -88,8 +88,8 @@ def file_whole_text(spark, d):
     at = f"{shared.shared_dir(spark)}/texts"
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text)
     rows = tables(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_join(turns, "\n").alias("value"))
-    rows.write.partitionBy("conv_id").text(at)
-    return files.whole_text(spark, at).select(F.col("conv_id").cast("long").alias("conv_id"), F.sha2("value", 256).alias("sha"))
+    files.write_each(rows, at, "conv_id")
+    return files.whole_text(spark, at).select(files.name_in("_metadata.file_path", "conv_id").alias("conv_id"), F.sha2("value", 256).alias("sha"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS key, sha256(text) AS sha, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
