@@ -118,9 +118,9 @@ def file_stories(spark, d):
     t = tables(spark, d, "conversations").where(~F.contains(F.coalesce("text", F.lit("")), F.lit("\n")) & (F.trim("text") != ""))
     line = F.concat((F.col("turn") + 1).cast("string"), F.lit(" "), F.replace("text", F.lit("\t"), F.lit(" ")), F.when(F.col("role") == "user", F.lit("\tyes\t1 2")).otherwise(""))
     rows = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n").alias("value"))
-    rows.repartition("conv_id").write.partitionBy("conv_id").text(at)
+    files.write_each(rows, at, "conv_id")
     got = files.facts(spark, at)
-    return got.select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), (F.col("phrase_num") - 1).cast("long").alias("turn"), "phrase_num", "text", "answer")
+    return got.select(files.name_in("file", "conv_id").alias("conv_id"), (F.col("phrase_num") - 1).cast("long").alias("turn"), "phrase_num", "text", "answer")
 
 
 _RESPONSES = {
