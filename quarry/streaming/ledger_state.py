@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,8 +31,9 @@ class Outcomes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("outcome", _STATE)
 
-    def _row(self, key: tuple, what: str, s: dict) -> Row:
-        return Row(reader=key[0], key=key[1], what=what, seen=s["seen"], successes=s["successes"], attempts=min(s["failures"], MOST_ATTEMPTS), conflict=s["conflict"], last=s["last"], failing=s["failing"])
+    def _row(self, key: tuple, what: str, s: dict) -> pd.DataFrame:
+        row = {"reader": key[0], "key": key[1], "what": what, "seen": s["seen"], "successes": s["successes"], "attempts": min(s["failures"], MOST_ATTEMPTS), "conflict": s["conflict"], "last": s["last"], "failing": s["failing"]}
+        return pd.DataFrame({k: pd.Series([x], dtype=object if x is None else None) for k, x in row.items()})
 
     def _get(self) -> dict:
         names = [c.split(" ")[0] for c in _STATE.split(", ")]
@@ -39,19 +42,23 @@ class Outcomes(StatefulProcessor):
     def _put(self, s: dict) -> None:
         self.state.update(tuple(s.values()))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = self._get()
         delay = None
-        for r in rows:
-            s["seen"] += 1
-            if r.ok:
-                s["conflict"] |= s["successes"] > 0 and r.same != s["same"]
-                s["successes"], s["same"] = s["successes"] + 1, s["same"] if s["successes"] else r.same
-                s["last"] = r.line if s["last"] is None else max(s["last"], r.line)
-            else:
-                s["failures"] += 1
-            if s["latest"] is None or r.line >= s["latest"]:
-                s["latest"], s["failing"], delay = r.line, not r.ok, r.delay
+        for some in rows:
+            if some.empty:
+                continue
+            line, ok = some["line"].to_numpy(), some["ok"].to_numpy(bool)
+            good, same = line[ok], some["same"].to_numpy()[ok]
+            if len(good):
+                s["same"] = s["same"] if s["successes"] else same[0]
+                s["conflict"] |= bool((same != s["same"]).any())
+                s["last"] = int(good.max()) if s["last"] is None else max(s["last"], int(good.max()))
+            s["seen"], s["successes"], s["failures"] = s["seen"] + len(some), s["successes"] + len(good), s["failures"] + len(some) - len(good)
+            at = len(line) - 1 - int(np.argmax(line[::-1]))  # the last of the greatest
+            if s["latest"] is None or line[at] >= s["latest"]:
+                wait = some["delay"].iloc[at]
+                s["latest"], s["failing"], delay = int(line[at]), not bool(ok[at]), None if pd.isna(wait) else float(wait)
         if s["ready"] is not None:
             self.handle.deleteTimer(s["ready"])
             s["ready"] = None
@@ -61,7 +68,7 @@ class Outcomes(StatefulProcessor):
         self._put(s)
         yield self._row(key, "state", s)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s = self._get()
         if s["ready"] == expiredTimerInfo.getExpiryTimeInMs():
             s["ready"] = None
@@ -78,7 +85,7 @@ def outcomes(ledger: DataFrame, message: Column) -> DataFrame:
     kept = ledger.where(trials.succeeded() | (F.col("kind") == "failure"))
     same = F.to_json(F.struct(*trials.SAME), {"ignoreNullFields": "false"})
     rows = kept.select("reader", "key", "line", trials.succeeded().alias("ok"), same.alias("same"), F.when(F.col("kind") == "failure", tx.cooldown(message).delay).alias("delay"))
-    return rows.groupBy("reader", "key").transformWithState(Outcomes(), _OUT, "Update", "ProcessingTime")
+    return rows.groupBy("reader", "key").transformWithStateInPandas(Outcomes(), _OUT, "Update", "ProcessingTime")
 
 
 def run(spark: SparkSession, path: str, schema: str, at: str, message: Column, files: int = 2) -> None:

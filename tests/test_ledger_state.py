@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,27 @@ def test_cooldowns_run_out(spark, tmp_path):
             time.sleep(1.5)
     told = spark.read.parquet(f"{at}/rows").where("what = 'retry'").collect()
     assert [(r.key, r.attempts, r.failing) for r in told] == [("waits", 1, True)]
+
+
+def test_rows_come_in_frames():
+    """A key's rows are met some thousands at once, not one by one, and state goes on from frame to frame."""
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    held = Held()
+    own = ledger_state.Outcomes()
+    own.init(type("Handle", (), {"getValueState": lambda *_: held})())
+    frame = lambda *rows: pd.DataFrame(rows, columns=["line", "ok", "same", "delay"])
+    frames = [frame((5, True, "a", None), (9, False, "a", None)), frame(), frame((7, True, "b", None), (9, True, "a", None))]
+    [got] = own.handleInputRows(("r", "k"), iter(frames), None)
+    assert got.iloc[0].to_dict() == {"reader": "r", "key": "k", "what": "state", "seen": 4, "successes": 3, "attempts": 1, "conflict": True, "last": 9, "failing": False}
