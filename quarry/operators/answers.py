@@ -16,8 +16,7 @@ USAGE = ["input_tokens", "cache_read_tokens", "cache_write_tokens", "output_toke
 
 def _letter(c: Column) -> Column:
     """The first character of an answer, upper-cased; null unless it is one of A to D."""
-    first = F.upper(F.substring(F.trim(c), 1, 1))
-    return F.when(first.rlike("^[ABCD]$"), first)
+    return tx.once(F.upper(F.substring(F.trim(c), 1, 1)), lambda x: F.when(x.rlike("^[ABCD]$"), x))
 
 
 def _last(mapping: Column, key: Column) -> Column:
@@ -29,10 +28,15 @@ def lenient(batches: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, qid, answer) for every question asked: the JSON mapping in the reply, or, if it has none that isn't empty,
     lines such as ``q7: b``. Of a repeated key the last value counts. Questions without a letter have a null answer."""
     mapping = F.from_json(tx.json_object(F.col("reply")), "map<string,string>")
-    asked = batches.select(*keys, "reply", mapping.alias("m"), F.explode("qids").alias("qid"))
-    line = F.call_function("regexp_extract", "reply", F.concat(F.lit(r"\Q"), "qid", F.lit(r"\E\s*[:=-]\s*([A-Da-d])\b")), F.lit(1))
-    given = F.when(F.coalesce(F.size("m"), F.lit(0)) > 0, _last(F.col("m"), F.col("qid"))).otherwise(line)
-    return asked.select(*keys, "qid", _letter(given).alias("answer"))
+
+    def told(q: Column) -> Column:
+        line = F.call_function("regexp_extract", "reply", F.concat(F.lit(r"\Q"), q, F.lit(r"\E\s*[:=-]\s*([A-Da-d])\b")), F.lit(1))
+        given = F.when(F.coalesce(F.size("m"), F.lit(0)) > 0, _last(F.col("m"), q)).when(F.col("reply").contains(q), line)
+        return F.struct(q.alias("qid"), _letter(given).alias("answer"))
+
+    # Letters are found before a batch's questions become rows: what is asked of them later doesn't find them again.
+    asked = batches.select(*keys, "qids", "reply", mapping.alias("m")).select(*keys, F.explode(F.transform("qids", told)).alias("x"))
+    return asked.select(*keys, "x.qid", "x.answer")
 
 
 def lenient_outcome(batches: DataFrame, keys: list[str]) -> DataFrame:

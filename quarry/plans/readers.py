@@ -36,13 +36,13 @@ _GRADED = f"SELECT u.arm, u.qid, g.type, u.answer, u.answer = g.gold AS correct
 
 
 def batches(spark, d) -> DataFrame:
-    return spread(derived(tables(spark, d, "events"), _LEDGER))
+    return derived(spread(tables(spark, d, "events")), _LEDGER)
 
 
 def gold(spark, d) -> DataFrame:
-    q = F.explode(F.sequence(F.col("event_id") % 400 * 5, F.col("event_id") % 400 * 5 + 4)).alias("q")
+    q = F.explode(F.sequence(F.col("batch") * 5, F.col("batch") * 5 + 4)).alias("q")
     names = F.array(*[F.lit(t) for t in TYPES])
-    rows = tables(spark, d, "events").select(q).distinct()
+    rows = tables(spark, d, "events").select((F.col("event_id") % 400).alias("batch")).distinct().select(q)
     return rows.select(F.concat(F.lit("q"), F.col("q").cast("string")).alias("qid"), F.get(names, (F.col("q") % 6).cast("int")).alias("type"), F.substring(F.lit("ABCD"), (F.col("q") % 4 + 1).cast("int"), F.lit(1)).alias("gold"))
 
 
@@ -184,8 +184,13 @@ def arm_summary_batches(spark, d):
 
 @query(f"SELECT * FROM (SELECT arm, count(*) AS answered, count(*) FILTER (correct) AS correct, round(count(*) FILTER (correct) / CAST(count(*) AS DOUBLE), 4) AS accuracy FROM ({_GRADED}) GROUP BY arm) JOIN ({_TYPES_TEXT.format(_GRADED)}) USING (arm) JOIN (SELECT arm, cost, latency FROM ({_SPENT})) USING (arm)")
 def arm_summary_short(spark, d):
-    rows = _scores(spark, d).withColumn("accuracy", F.round(F.col("correct") / F.col("answered"), 4))
-    return rows.join(_type_text(_graded(spark, d)), "arm").join(_spent(spark, d).select("arm", "cost", "latency"), "arm")
+    """Scores and types come from the same counts, so that replies are parsed once."""
+    per = _graded(spark, d).groupBy("arm", "type").agg(F.count("*").alias("n"), F.count_if("correct").alias("hits"))
+    each = F.concat("type", F.lit("="), F.col("hits").cast("string"), F.lit("/"), F.col("n").cast("string"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", each.alias("r")))), lambda x: x["r"]), ";")
+    rows = per.groupBy("arm").agg(F.sum("n").alias("answered"), F.sum("hits").alias("correct"), text.alias("by_type"))
+    rows = rows.select("arm", "answered", "correct", F.round(F.col("correct") / F.col("answered"), 4).alias("accuracy"), "by_type")
+    return rows.join(_spent(spark, d).select("arm", "cost", "latency"), "arm")
 
 
 _LOCAL = {

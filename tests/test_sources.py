@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import answers, checks, generate, ledger, prompts, retrieval, scoring, stories, trials, usage
 from quarry.operators import transcripts as ts
+from quarry.plans import readers
 from quarry.sources import files, recorded
 
 
@@ -218,3 +219,9 @@ def test_corpus_is_resolved_by_dates(spark):
         assert own[0].session < 5 and all(r.session >= 5 for r in own[1:])
     for q in generate.questions(values, slots).collect():
         assert len(set(q.options)) == 4 and q.options["ABCD".index(q.answer)] == q.answer_text
+
+
+def test_a_summary_parses_replies_once(spark):
+    """Scores and types of an arm come from one pass over its replies, and asking for letters doesn't find them again."""
+    plan = readers.arm_summary_short(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("ArrowEvalPython"), plan.count("regexp_extract(")) == (1, 1)
