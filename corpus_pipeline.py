@@ -23,7 +23,7 @@ from quarry.llm.common import crc_mod, drop, shared_dir, store, table
 #: unrelated bundles. At sf0.1 one of 2,499 held-out documents is below it, and four of 500 of their first five words.
 LEAST_SCORE = 4 / langid.DIM**0.5
 #: Words whose ids the last stage's workers keep: fewer than by default, as the executors' memory has grown by then.
-MEMO = 150_000
+MEMO = 100_000
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -37,10 +37,10 @@ def _unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Whole texts go to the Python workers some megabytes at a time, as a batch stands in memory several times over.
+    """Whole texts go to the Python workers two megabytes at a time, as a batch stands in memory several times over.
     The settings stay with the session, as stages are run after they return."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

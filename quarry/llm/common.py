@@ -7,7 +7,9 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 from contextlib import suppress
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +64,24 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, made by ``make`` where it isn't there: one thing at a time."""
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Frees what the worker keeps. Workers live on into other stages and jobs, whose tasks call this as they begin."""
+    if _kept:
+        _kept.clear()
+        give_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,21 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, give_back, table
+from .common import crc_mod, give_back, let_go, table
 
 DIM, N, SLOTS, SEED = 1024, 3, 512, 20240601
 #: Characters that are counted at once.
 PIECE = 4_000_000
 #: Texts that are compared at once, and n-grams whose vectors are made numbers at once.
-TOGETHER, TOGETHER_GRAMS = 96, 4096
+TOGETHER, TOGETHER_GRAMS = 96, 2048
 
 
 @functools.cache
 def _slots() -> np.ndarray:
     """The slot of each code point; 0 where it is no letter."""
-    at = np.arange(0x110000)
-    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    return np.where(letter, np.where(at < 0x180, at, 384 + (at * 2654435761 >> 7) % 128), 0).astype(np.int32)
+    out = np.zeros(0x110000, np.int32)
+    for i in range(0, len(out), 0x10000):
+        at = np.arange(i, i + 0x10000)
+        letter = np.fromiter(map(str.isalpha, map(chr, range(i, i + 0x10000))), bool, 0x10000)
+        out[i : i + 0x10000] = np.where(letter, np.where(at < 0x180, at, 384 + (at * 2654435761 >> 7) % 128), 0)
+    return out
 
 
 @functools.cache
@@ -69,24 +72,28 @@ def vectors(codes: np.ndarray) -> np.ndarray:
 
 
 class _Known:
-    """Vectors of the n-grams seen last, a byte each for its numbers: ``most`` rows, so 20 MB."""
+    """Vectors of the n-grams seen last, a byte each for its numbers: ``most`` rows, so 20 MB, each written once in its place."""
 
     def __init__(self, most: int = 20_000):
-        self.most, self.codes, self.rows = most, np.empty(0, np.int32), np.empty((0, DIM), np.int8)
+        self.most, self.codes, self.places, self.rows = most, np.empty(0, np.int32), np.empty(0, np.int32), np.empty((most, DIM), np.int8)
 
     def at(self, codes: np.ndarray) -> np.ndarray | None:
-        """Row numbers of sorted, distinct codes; None where they are too many to keep."""
+        """Row numbers of distinct codes; None where they are too many to keep."""
         if len(codes) > self.most:
             return None
         new = np.setdiff1d(codes, self.codes, assume_unique=True)
         if len(new):
             if len(self.codes) + len(new) > self.most:
-                self.codes, self.rows, new = self.codes[:0], self.rows[:0], codes
+                self.codes, self.places, new = self.codes[:0], self.places[:0], codes
+            n = len(self.codes)
+            for i in range(0, len(new), TOGETHER_GRAMS):
+                part = new[i : i + TOGETHER_GRAMS]
+                self.rows[n + i : n + i + len(part)] = vectors(part)
             joined = np.concatenate((self.codes, new))
             order = np.argsort(joined, kind="stable")
-            self.rows = np.concatenate((self.rows, vectors(new)))[order]
+            self.places = np.concatenate((self.places, np.arange(n, n + len(new), dtype=np.int32)))[order]
             self.codes = joined[order]
-        return np.searchsorted(self.codes, codes)
+        return self.places[np.searchsorted(self.codes, codes)]
 
 
 def bundles(codes: np.ndarray, counts: np.ndarray, known: _Known) -> np.ndarray:
@@ -116,6 +123,7 @@ def learn(rows: DataFrame) -> dict[str, np.ndarray]:
     """Unit prototypes by language from all rows of ``rows`` (text, lang) that have both."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         total: dict[str, np.ndarray] = {}
         known = _Known()
 
@@ -155,6 +163,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     at = docs.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = _Known()
         for batch in batches:
             langs, scores = [], []

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, shared_dir, store, table
+from .common import drop, kept, let_go, shared_dir, store, table
 
 END, SCALE, LOW = 2, 20, 1 << 31
 BLOCK, LANES = 1 << 18, 1024
@@ -55,7 +55,7 @@ class Encoder:
     letters itself, so ASCII ones may be before, but for texts with special tokens or combining marks."""
 
     def __init__(self, path: str, most: int = MEMO):
-        self.tokenizer, self.most, self.memo, self.old = _tokenizer(path), most, {}, {}
+        self.tokenizer, self.most, self.memo, self.old = _tokenizer.__wrapped__(path), most, {}, {}
         self.stops = {s: array.array("I", self.tokenizer.encode(s.decode(), add_special_tokens=False).ids).tobytes() for s in (b".", b",")}
 
     def __call__(self, text: str | None) -> bytes:
@@ -87,10 +87,9 @@ class Encoder:
         return b"".join(map(self.memo.__getitem__, words)) + END.to_bytes(4, "little")
 
 
-@functools.cache
 def _encoder(path: str, most: int) -> Encoder:
     """One for each worker process, so that its words stay known from task to task."""
-    return Encoder(path, most)
+    return kept((Encoder, path, most), lambda: Encoder(path, most))
 
 
 def tokenize(docs: DataFrame, vocabulary: str, memo: int = MEMO) -> DataFrame:
@@ -217,6 +216,7 @@ def write(docs: DataFrame, vocabulary: str, at: str, files: int | None = None, m
     shared = spark.sparkContext.broadcast(freq.astype(np.uint32))  # a number for each id of the vocabulary
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         own, shard, block, first, held = Table(shared.value), TaskContext.get().partitionId(), 0, 0, np.empty(0, kind)
         ends: list[int] = []
         docs_: list[int] = []
@@ -264,6 +264,7 @@ def read(blocks: DataFrame, frequencies: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((freq, bases))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         own, bases = Table(shared.value[0]), shared.value[1]
         for batch in batches:
             for value in batch.column(0):

@@ -2,14 +2,17 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.llm import gru, lm_score, quality, suffix, token_counts, trie, whitening
+from quarry.llm import common, gru, langid, lm_score, quality, rans, suffix, token_counts, trie, whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -334,3 +337,35 @@ def test_quality_query(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(empty / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(empty / "labels.parquet"))
     assert quality.op11_quality(spark, str(empty)).isEmpty()
+
+
+# --- the pipeline's memory: what workers keep
+
+
+def test_workers_keep_one_thing(spark, monkeypatch):
+    """A worker's words don't stay in memory beside the language vectors of a later stage."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = rans._encoder(path, 100)
+    assert rans._encoder(path, 100) is first and rans._encoder(path, 200) is not first
+    assert list(common._kept) == [(rans.Encoder, path, 200)]
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    here = langid.learn(docs.withColumn("lang", F.lit("en")))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three"]})
+    got = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, each, schema: got.extend(each(iter([batch]))))
+    langid.identify(docs, here)
+    assert got[0].column(2).to_pylist() == ["en"] and not common._kept
+
+
+def test_language_vectors_are_written_once():
+    """Vectors that are kept aren't copied when others join them."""
+    tracemalloc.start()
+    known, codes = langid._Known(), np.arange(1, 20_001, dtype=np.int32) * 997
+    for i in range(0, len(codes), 1000):
+        at = known.at(codes[: i + 1000])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(known.rows[at], langid.vectors(codes))
+    assert most < 1.5 * known.rows.nbytes
