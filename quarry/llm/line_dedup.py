@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ NUM, DEN = 4, 5
 BUCKET_BITS = 18
 #: Bits of a token's hash, below its level.
 BITS = 57
+#: Rounds in which classes meet, each by its share of the tokens, and pairs are verified, so that only that share is shuffled at once.
+ROUNDS = 3
 #: Bytes of a table that is broadcast, by an estimate of its rows.
 BROADCAST_BYTES = 32 << 20
 BLANKS = "\t\x0b\x0c\r"
@@ -120,9 +123,9 @@ def classes_of(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
     return lines, classes
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): classes that the filters don't keep apart, each pair at least once at its first common token."""
-    posts = classes.select("c", "n", "whole", "half", "prefix", F.posexplode("prefix").alias("pos", "tok"))
+def candidates(classes: DataFrame, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """(a, b): classes that the filters don't keep apart, each pair at least once at its first common token, met by the tokens of one round."""
+    posts = classes.select("c", "n", "whole", "half", "prefix", F.posexplode("prefix").alias("pos", "tok")).where(F.pmod("tok", F.lit(rounds)) == turn)
     posts = posts.select("tok", "c", "n", "whole", "half", "pos", F.coalesce(F.get("prefix", F.col("pos") - 1), F.lit(-1).cast("long")).alias("before"))
     a, b = posts.alias("a"), posts.alias("b")
     n, m = F.col("a.n"), F.col("b.n")
@@ -140,6 +143,17 @@ def candidates(classes: DataFrame) -> DataFrame:
     return met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
 
 
+def all_candidates(classes: DataFrame, at: str) -> DataFrame:
+    """The candidates of all rounds, stored; a round's shuffles go before the next one's are written."""
+    spark, parts = classes.sparkSession, []
+    for k in range(ROUNDS):
+        parts.append(store(candidates(classes, k, ROUNDS), f"{at}/pairs-{k}"))
+        drop(spark)
+    pairs = store(reduce(DataFrame.union, parts).distinct(), f"{at}/pairs")
+    drop(spark, *[f"{at}/pairs-{k}" for k in range(ROUNDS)])
+    return pairs
+
+
 def light(rows: DataFrame, size: Column) -> DataFrame:
     """``rows`` (stored), broadcast where the sum of ``size`` says that they are small."""
     total = rows.agg(F.sum(size)).first()[0] or 0
@@ -160,31 +174,40 @@ def word_sets(docs: DataFrame, places: DataFrame, at: str) -> DataFrame:
     return each.select(F.col("w.c").alias("c"), place.alias("place"), F.array_distinct(_words(F.col("w.text"))).alias("words"))
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(c, late, links): of each class that matches others, whether one of them is earlier, and how many they are."""
+def links(pairs: DataFrame, sets: DataFrame, at: str) -> DataFrame:
+    """(c, late, links): of each class that matches others, whether one of them is earlier, and how many they are. Pairs are
+    verified in rounds, as they travel with word sets."""
+    spark, parts = pairs.sparkSession, []
+    for k in range(ROUNDS):
+        parts.append(store(verified(pairs.where(F.pmod("b", F.lit(ROUNDS)) == k), sets), f"{at}/found-{k}"))
+        drop(spark)
+    found = reduce(DataFrame.union, parts)
+    ends = F.array(F.struct(F.col("a").alias("c"), F.col("a_late").alias("late")), F.struct(F.col("b").alias("c"), (~F.col("a_late")).alias("late")))
+    return found.select(F.explode(ends).alias("x")).groupBy("x.c").agg(F.bool_or("x.late").alias("late"), F.count("*").alias("links"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, a_late): the pairs whose words match, once each."""
     left = sets.select(F.col("c").alias("a"), F.col("place").alias("pa"), F.col("words").alias("wa"))
     right = sets.select(F.col("c").alias("b"), F.col("place").alias("pb"), F.col("words").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("wa", "wb")))
     true = both.where(F.col("shared") * DEN >= (F.size("wa") + F.size("wb") - F.col("shared")) * NUM)
-    found = true.select("a", "b", (F.col("pb") < F.col("pa")).alias("a_late")).distinct()
-    ends = F.array(F.struct(F.col("a").alias("c"), F.col("a_late").alias("late")), F.struct(F.col("b").alias("c"), (~F.col("a_late")).alias("late")))
-    return found.select(F.explode(ends).alias("x")).groupBy("x.c").agg(F.bool_or("x.late").alias("late"), F.count("*").alias("links"))
+    return true.select("a", "b", (F.col("pb") < F.col("pa")).alias("a_late")).distinct()
 
 
 def matched(docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
     """(lines, status), both stored: of each class that has several lines or matches others (k1, k2, first, late, links)."""
     spark = docs.sparkSession
     lines, classes = classes_of(docs, at)
-    pairs = store(candidates(classes), f"{at}/pairs")
-    drop(spark)
+    pairs = all_candidates(classes, at)
     concerned = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     sets = store(word_sets(docs, classes.select("c", "first").join(concerned, "c"), at), f"{at}/sets", compression="zstd")
     sets = light(sets, 64 + 24 * F.size("words"))  # else every pair carries two sets from task to task
     drop(spark)
-    found = classes.select("c", "k1", "k2", "first", "lines").join(links(pairs, sets), "c", "left").where("lines > 1 or links > 0")
+    found = classes.select("c", "k1", "k2", "first", "lines").join(links(pairs, sets, at), "c", "left").where("lines > 1 or links > 0")
     status = found.select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     status = store(status, f"{at}/status")
-    drop(spark, f"{at}/pairs", f"{at}/sets", f"{at}/classes")
+    drop(spark, f"{at}/pairs", f"{at}/sets", f"{at}/classes", *[f"{at}/found-{k}" for k in range(ROUNDS)])
     return lines, status
 
 

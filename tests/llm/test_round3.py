@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import common, gru, langid, lm_score, quality, rans, suffix, token_counts, trie, whitening
+from quarry.llm import common, gru, langid, line_dedup, lm_score, quality, rans, suffix, token_counts, trie, whitening
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -369,3 +369,23 @@ def test_language_vectors_are_written_once():
     tracemalloc.stop()
     assert np.array_equal(known.rows[at], langid.vectors(codes))
     assert most < 1.5 * known.rows.nbytes
+
+
+# --- op4: rounds of tokens
+
+
+def test_candidates_meet_in_rounds(spark, tmp_path, monkeypatch):
+    """A round's join takes its own tokens alone; the rounds together give the pairs of one join over all tokens."""
+    base = [f"w{i}" for i in range(20)]
+    texts = [" ".join(base[:k] + [f"x{j}"] + base[k + 1 :]) for k in range(20) for j in range(2)] + ["one two three", "three two one four"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, classes = line_dedup.classes_of(docs, str(tmp_path / "a"))
+    every = {tuple(r) for r in line_dedup.candidates(classes).collect()}
+    prefixes = {r.c: set(r.prefix) for r in classes.collect()}
+    rounds = [{tuple(r) for r in line_dedup.candidates(classes, k, 3).collect()} for k in range(3)]
+    assert len(every) > 100 and set.union(*rounds) == every
+    for k, pairs in enumerate(rounds):
+        assert pairs < every and all(any(t % 3 == k for t in prefixes[a] & prefixes[b]) for a, b in pairs)
+    for n in (1, 3):
+        monkeypatch.setattr(line_dedup, "ROUNDS", n)
+        assert sorted(map(tuple, line_dedup.all_candidates(classes, str(tmp_path / f"r{n}")).collect())) == sorted(every)
