@@ -20,6 +20,7 @@ from __future__ import annotations
 import array
 import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -49,14 +50,28 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Letters of ASCII and Latin-1 (all composed, none lower-cased by its neighbours), then marks that no pattern of the vocabulary joins with them.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: The vocabulary's letters for the bytes 128 to 255.
+_BYTES = {c: chr(c if 0xA1 <= c != 0xAD else 0x121 + c - 0x7F if c < 0xA1 else 0x143) for c in range(128, 256)}
+
+
+def _spelled(letters: bytes) -> str:
+    """Lower-cased letters as the vocabulary's model has them, a character for each byte."""
+    return letters.decode().lower().encode().decode("latin-1").translate(_BYTES)
+
+
 class Encoder:
     """Token ids of whole texts by the tokenizers library. The vocabulary's model never joins text over ASCII white space,
-    nor letters with a full stop or comma after them, so words are encoded once and their ids kept. It lower-cases
-    letters itself, so ASCII ones may be before, but for texts with special tokens or combining marks."""
+    nor letters with marks after them, so words, letters and runs of marks are encoded once and their ids kept. It
+    lower-cases letters itself, so ASCII ones may be before, but for texts with special tokens or combining marks."""
 
     def __init__(self, path: str, most: int = MEMO):
         self.tokenizer, self.most, self.memo, self.old = _tokenizer.__wrapped__(path), most, {}, {}
-        self.stops = {s: array.array("I", self.tokenizer.encode(s.decode(), add_special_tokens=False).ids).tobytes() for s in (b".", b",")}
+        self.marks = {}
+
+    def _ids(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers, the end id last."""
@@ -68,17 +83,23 @@ class Encoder:
         if new:
             if len(self.memo) + len(new) > self.most:
                 self.old, self.memo, new = self.memo, {}, set(words)
-            memo, old, others = self.memo, self.old, []
+            memo, old, marks, others = self.memo, self.old, self.marks, []
+            plain, tokenize = _PLAIN.fullmatch, self.tokenizer.model.tokenize
             for w in new:
                 if (ids := old.get(w)) is None:
-                    stop = self.stops.get(w[-1:], b"")
-                    core = w[:-1] if stop else w
-                    if not core.isalpha():  # of ASCII letters alone
+                    if not (found := plain(w)):
                         others.append(w)
                         continue
+                    core, end = found.groups()
                     if (ids := memo.get(core) or old.get(core)) is None:
-                        ids = memo[core] = array.array("I", [t.id for t in self.tokenizer.model.tokenize(core.lower().decode())]).tobytes()
-                    ids += stop
+                        letters = core.lower().decode() if core.isalpha() else _spelled(core)
+                        ids = memo[core] = array.array("I", [t.id for t in tokenize(letters)]).tobytes()
+                    if end:
+                        if end not in marks:
+                            if len(marks) >= 4096:
+                                marks.clear()
+                            marks[end] = self._ids(end.decode())
+                        ids += marks[end]
                 memo[w] = ids
             for i in range(0, len(others), 4096):
                 part = others[i : i + 4096]

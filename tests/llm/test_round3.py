@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -389,3 +390,29 @@ def test_candidates_meet_in_rounds(spark, tmp_path, monkeypatch):
     for n in (1, 3):
         monkeypatch.setattr(line_dedup, "ROUNDS", n)
         assert sorted(map(tuple, line_dedup.all_candidates(classes, str(tmp_path / f"r{n}")).collect())) == sorted(every)
+
+
+# --- op2: letters and marks apart
+
+
+def test_words_with_marks_are_encoded_once(monkeypatch):
+    """Latin letters and the marks after them go word by word to the model, the ids being those of whole texts."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, met = rans.Encoder(path), []
+
+    class Seen:
+        model = encoder.tokenizer.model
+
+        def encode(self, text, **options):
+            return whole.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            met.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    whole, encoder.tokenizer = encoder.tokenizer, Seen()
+    marks = ["", ".", ",", "$$$", "!?", "''", "s'", "-x", "9", "\u0301"]
+    texts = [f"{w}{m} {w.upper()}{m}" for w in ("tretre", "éleréque", "Éèenment", "größe", "ñieez", "ÿ×÷", "ªº", "straße", "ŁÓDŹ", "ΣΑΣ", "İx") for m in marks]
+    for t in texts:
+        assert np.frombuffer(encoder(t), np.uint32).tolist() == [*whole.encode(t, add_special_tokens=False).ids, rans.END]
+    assert not {"tretre$$$", "éleréque,", "größe!?", "ñieez."} & set(met) and "tretre9" in met
